@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from calltide.runtime import drop_path, new_path
 
 
-def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30, schema=None, glob: str | None = None) -> int:
+def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30, schema=None) -> int:
     """Copy all files of source not yet taken into target/batch=N, and return the number of batches taken so far.
 
     Call it again to take files that arrived since. A batch has up to ``files_per_batch`` files where that is given,
     else about ``bytes_per_batch`` of files. Rows are copied as they stand.
     """
-    schema = schema or spark.read.parquet(source).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema or spark.read.parquet(source).schema)
     reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", bytes_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream's source is a folder
+        reader, source = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
@@ -63,7 +63,6 @@ def compact(
     files_per_batch: int | None = None,
     bytes_per_batch: int = 64 << 30,
     file_bytes: int = 256 << 20,
-    glob: str | None = None,
 ) -> DataFrame:
     """Consolidate all files of source; the result is the consolidated table with the column ``_copies``.
 
@@ -75,7 +74,7 @@ def compact(
         raise ValueError("the source has a column named _copies")
     work = new_path(spark, "compaction")
     target = target or f"{work}/table"
-    stage(spark, source, f"{work}/staged", f"{work}/checkpoint", files_per_batch, bytes_per_batch, schema, glob)
+    stage(spark, source, f"{work}/staged", f"{work}/checkpoint", files_per_batch, bytes_per_batch, schema)
     finish(spark, f"{work}/staged", target, keys, prefer, schema, file_bytes)
     drop_path(spark, f"{work}/staged")
     return spark.read.parquet(target)
