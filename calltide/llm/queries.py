@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.names import plain_name, plain_name_sql
-from calltide.llm import runs, sketch
+from calltide.llm import leaks, runs, sketch
 from calltide.operators.calls import distinct_rows
 from calltide.runtime import cut
 
@@ -51,8 +51,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_runs(spark, sf_dir).filter("n > 1").select("rank", "tid", F.col("first_order").alias("first_seq_id"), F.col("last_order").alias("last_seq_id"))
 
 
+def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share a seed, with the run and the overlap found."""
+    return leaks.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items with 13 or more consecutive words in common."""
+    return p9_overlaps(spark, sf_dir).filter(F.col("n_run") >= leaks.SPAN).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p4_found, p4_runs)}
+    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p4_found, p4_runs, p9_found, p9_overlaps)}
 
 
 def _p1_sql(groups: list[str]) -> str:
