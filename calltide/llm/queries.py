@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.names import plain_name, plain_name_sql
-from calltide.llm import leaks, runs, sketch
+from calltide.llm import leaks, patterns, runs, sketch
 from calltide.operators.calls import distinct_rows
 from calltide.runtime import cut
 
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 ERROR = 0.01
 MAX_PAUSE_TICKS = 5_000_000
+PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_SHORTEST, PATTERN_LONGEST = 0.3, 2, 3, 5
 
 
 def _daily_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,25 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_rows(rows, ["rank", "seq_id"], [known.desc(), "tid", "terminal_id", "func_id", "func", "tick_start", "tick_end"])
 
 
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.closed_patterns(_records(spark, sf_dir), "rank", "seq_id", "terminal_id", PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_LONGEST)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of 3 to 5 different call signatures that at least 30 % of the ranks share, recovered from the closed ones."""
+    return patterns.all_supports(_closed(spark, sf_dir), PATTERN_SHORTEST, PATTERN_LONGEST).select(patterns.as_text(F.col("pat")).alias("pattern"))
+
+
+def p2_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lists with the number of ranks and the functions behind the signatures."""
+    found = patterns.all_supports(_closed(spark, sf_dir), PATTERN_SHORTEST, PATTERN_LONGEST)
+    found = found.select(patterns.as_text(F.col("pat")).alias("pattern"), F.col("support").alias("n_ranks"), F.posexplode("pat").alias("step", "terminal_id"))
+    names = spark.read.parquet(f"{sf_dir}/function_list.parquet").select("func_id", "name").groupBy("func_id").agg(F.min("name").alias("name"))
+    behind = spark.read.parquet(f"{sf_dir}/cst.parquet").filter("terminal_id is not null").groupBy("terminal_id").agg(F.min("func_id").alias("func_id")).join(F.broadcast(names), "func_id", "left")
+    steps = found.join(behind.select("terminal_id", "name"), "terminal_id", "left").groupBy("pattern", "n_ranks").agg(F.sort_array(F.collect_list(F.struct("step", "name"))).alias("s"))
+    return steps.select("pattern", "n_ranks", F.concat_ws(">", F.transform("s", lambda x: F.coalesce(x["name"], F.lit("?")))).alias("functions"))
+
+
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of calls with runs of one function collapsed."""
     calls = runs.decoded_function(spark.read.parquet(f"{sf_dir}/function_list.parquet"), _records(spark, sf_dir))
@@ -62,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p4_found, p4_runs, p9_found, p9_overlaps)}
+    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p9_found, p9_overlaps)}
 
 
 def _p1_sql(groups: list[str]) -> str:
@@ -94,8 +114,27 @@ s as (select *, sum(case when f = pf and tick_start - pe <= {MAX_PAUSE_TICKS} th
 """
 
 
+_P2_SQL = f"""
+with d as (select rank, seq_id, max(terminal_id) as t from records group by 1, 2),
+n as (select count(distinct rank) as ranks from records),
+p as (select rank, t, row_number() over (partition by rank order by seq_id) as i from d where t is not null),
+f as (select t from p group by t having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+e as (select a.rank, a.i as i, b.i as j, a.t as x, b.t as y from p a join p b on a.rank = b.rank and b.i > a.i and b.i <= a.i + {PATTERN_BETWEEN + 1} and a.t <> b.t
+      where a.t in (from f) and b.t in (from f)),
+g as (select * from e where (x, y) in (select (x, y) from e group by x, y having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n))),
+s3 as (select a.rank, a.x as t1, a.y as t2, b.y as t3, b.j as j from g a join g b on a.rank = b.rank and b.i = a.j and b.y <> a.x),
+k3 as (select t1, t2, t3 from s3 group by 1, 2, 3 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+s4 as (select a.rank, t1, t2, t3, b.y as t4, b.j as j from (select * from s3 where (t1, t2, t3) in (select (t1, t2, t3) from k3)) a join g b on a.rank = b.rank and b.i = a.j and b.y not in (t1, t2)),
+k4 as (select t1, t2, t3, t4 from s4 group by 1, 2, 3, 4 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+s5 as (select a.rank, t1, t2, t3, t4, b.y as t5 from (select * from s4 where (t1, t2, t3, t4) in (select (t1, t2, t3, t4) from k4)) a join g b on a.rank = b.rank and b.i = a.j and b.y not in (t1, t2, t3)),
+k5 as (select t1, t2, t3, t4, t5 from s5 group by 1, 2, 3, 4, 5 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n))
+select concat_ws('>', t1, t2, t3) as pattern from k3 union all select concat_ws('>', t1, t2, t3, t4) from k4 union all select concat_ws('>', t1, t2, t3, t4, t5) from k5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2_SQL,
         "p1_percentiles": _p1_sql(["func", "day"]),
         "p1_percentiles_all_days": _p1_sql(["func"]),
         "p4_found": _P4_SQL + "select rank, tid, min(seq_id) as first_seq_id, max(seq_id) as last_seq_id from s group by rank, tid, run having count(*) > 1",
