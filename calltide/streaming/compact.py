@@ -2,8 +2,8 @@
 
 A file stream discovers every file once: its checkpoint logs which files belong to which batch before the batch runs,
 so a batch that is retried after a failure reads the same files under the same number. Each batch overwrites the folder
-named after its number, so a retry replaces what a lost attempt left. ``finish`` then writes the well-sized files: one
-shuffle by call key brings repeated rows together wherever they arrived.
+named after its number, so a retry replaces what a lost attempt left. ``finish`` then finds the keys stored more than
+once, whichever batches they came in, and writes the well-sized files.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.runtime import drop_path, new_path
+from calltide.runtime import cut, drop_path, new_path
 
 
 def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30, schema=None) -> int:
@@ -39,19 +39,28 @@ def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_
 def finish(spark: SparkSession, staged: str, target: str, keys: Sequence[str], prefer: Sequence[Column], schema, file_bytes: int = 256 << 20) -> None:
     """Write target from the staged batches: each key once, with its number of stored rows in ``_copies``.
 
-    The row that stands is the least by ``prefer``, then by its own columns. Equal keys are merged before the shuffle as
-    well as after it, so a call stored very often doesn't reach one task whole. The number of files follows from the
-    staged bytes. Written with overwrite, so a repeated call replaces the result.
+    The row that stands is the least by ``prefer``, then by a hash of its content, then by its place in the staged files.
+    Only keys are shuffled, summed before the shuffle; rows are compared only for keys that occur more than once, and
+    stay where they were read unless those keys are too many to broadcast. The number of files follows from the staged
+    bytes. Written with overwrite, so a repeated call replaces the result.
     """
-    names = [f.name for f in schema]
-    rest = [n for n in names if n not in keys]
     rows = spark.read.schema(schema).parquet(f"{staged}/batch=*")
     path = spark._jvm.org.apache.hadoop.fs.Path(staged)
     total = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    best = F.min(F.struct(*[c.alias(f"_by{i}") for i, c in enumerate(prefer)], F.struct(*rest).alias("_row")))
-    once = rows.groupBy(*keys).agg(F.count("*").alias("_copies"), best.alias("_best"))
-    columns = [F.col(n) if n in keys else F.col(f"_best._row.`{n}`") for n in names]
-    once.select(*columns, "_copies").coalesce(max(1, -(-total // file_bytes))).write.mode("overwrite").parquet(target)
+
+    def same(other: str) -> list[Column]:
+        return [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
+
+    place = rows.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    repeated = cut(rows.groupBy(*keys).agg(F.count("*").alias("_copies")).filter("_copies > 1"), "repeated-keys")
+    order = F.struct(*[c.alias(f"_by{i}") for i, c in enumerate(prefer)], F.xxhash64(*schema.names).alias("_content"), "_file", "_row")
+    candidates = place.select(*keys, order.alias("_order")).alias("r").join(repeated.alias("k"), same("k")).select("r.*", "k._copies")
+    stands = cut(candidates.groupBy(*keys).agg(F.max("_copies").alias("_copies"), F.min("_order").alias("_best")), "standing-rows")
+    stands = stands.select(*keys, "_copies", F.col("_best._file").alias("_keep_file"), F.col("_best._row").alias("_keep_row"))
+    joined = place.alias("r").join(stands.alias("k"), same("k"), "left")
+    once = joined.filter(F.col("k._copies").isNull() | ((F.col("r._file") == F.col("k._keep_file")) & (F.col("r._row") == F.col("k._keep_row"))))
+    once = once.select(*[F.col(f"r.{n}") for n in schema.names], F.coalesce("k._copies", F.lit(1)).alias("_copies"))
+    once.coalesce(max(1, -(-total // file_bytes))).write.mode("overwrite").parquet(target)
 
 
 def compact(
