@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.names import plain_name, plain_name_sql
-from calltide.llm import leaks, patterns, runs, sketch
+from calltide.llm import leaks, packing, patterns, runs, sketch
 from calltide.operators.calls import distinct_rows
 from calltide.runtime import cut
 
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 ERROR = 0.01
 MAX_PAUSE_TICKS = 5_000_000
+VOCABULARY = os.environ.get("CALLTIDE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_SHORTEST, PATTERN_LONGEST = 0.3, 2, 3, 5
 
 
@@ -71,6 +74,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_runs(spark, sf_dir).filter("n > 1").select("rank", "tid", F.col("first_order").alias("first_seq_id"), F.col("last_order").alias("last_seq_id"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, in tokens, placed in containers of each kind."""
+    counts = cut(packing.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", VOCABULARY), "token-counts")
+    return packing.pack_items(counts, spark.read.parquet(f"{sf_dir}/containers.parquet"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.container_fill(p8_packed(spark, sf_dir))
+
+
 def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share a seed, with the run and the overlap found."""
     return leaks.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
@@ -82,7 +96,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p9_found, p9_overlaps)}
+    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps)}
 
 
 def _p1_sql(groups: list[str]) -> str:
