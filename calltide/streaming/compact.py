@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.runtime import cut, drop_path, new_path
+from calltide.runtime import BROADCAST_ROWS, cut, drop_path, new_path
 
 
 def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30, schema=None) -> int:
@@ -57,7 +57,8 @@ def finish(spark: SparkSession, staged: str, target: str, keys: Sequence[str], p
     candidates = place.select(*keys, order.alias("_order")).alias("r").join(repeated.alias("k"), same("k")).select("r.*", "k._copies")
     stands = cut(candidates.groupBy(*keys).agg(F.max("_copies").alias("_copies"), F.min("_order").alias("_best")), "standing-rows")
     stands = stands.select(*keys, "_copies", F.col("_best._file").alias("_keep_file"), F.col("_best._row").alias("_keep_row"))
-    joined = place.alias("r").join(stands.alias("k"), same("k"), "left")
+    few = stands.count() <= BROADCAST_ROWS
+    joined = place.alias("r").join(F.broadcast(stands.alias("k")) if few else stands.alias("k"), same("k"), "left")
     once = joined.filter(F.col("k._copies").isNull() | ((F.col("r._file") == F.col("k._keep_file")) & (F.col("r._row") == F.col("k._keep_row"))))
     once = once.select(*[F.col(f"r.{n}") for n in schema.names], F.coalesce("k._copies", F.lit(1)).alias("_copies"))
     once.coalesce(max(1, -(-total // file_bytes))).write.mode("overwrite").parquet(target)
