@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.names import plain_name, plain_name_sql
-from calltide.llm import leaks, packing, patterns, runs, sketch
+from calltide.llm import leaks, packing, patterns, residue, runs, sketch
 from calltide.operators.calls import distinct_rows
 from calltide.runtime import cut
 
@@ -95,8 +95,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_overlaps(spark, sf_dir).filter(F.col("n_run") >= leaks.SPAN).select("doc_id", "item_id")
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with passages, with its highest log-odds of being residue."""
+    return residue.residue(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose own content holds residue."""
+    return p10_scores(spark, sf_dir).filter(F.col("score") >= residue.THRESHOLD).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps)}
+    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps, p10_found, p10_scores)}
 
 
 def _p1_sql(groups: list[str]) -> str:
