@@ -175,11 +175,11 @@ def happens_before(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """
     nodes = known.select(F.col("rank"), F.col("seq_id"), F.col("idx")).distinct()
     asked = pairs.select(F.col("a_rank").alias("rank"), F.col("a_seq").alias("seq_id")).union(pairs.select("b_rank", "b_seq")).distinct().filter("rank is not null and seq_id is not null")
-    marks = asked.join(nodes, ["rank", "seq_id"], "left").unionByName(nodes.join(asked, ["rank", "seq_id"], "left_anti"))
+    marks = cut(asked.join(nodes, ["rank", "seq_id"], "left").unionByName(nodes.join(asked, ["rank", "seq_id"], "left_anti")), "asked")
     here = F.when(F.col("idx").isNotNull(), F.struct("seq_id", "idx"))
     up = scan(marks, ["rank"], ["seq_id"], {"nxt": ("last", here, True)}, SEQ_BLOCK, descending=True)
     down = scan(up, ["rank"], ["seq_id"], {"prv": ("last", here, True)}, SEQ_BLOCK)
-    places = down.select("rank", "seq_id", F.col("nxt.idx").alias("sends"), F.col("prv.seq_id").alias("hears"))
+    places = cut(down.select("rank", "seq_id", F.col("nxt.idx").alias("sends"), F.col("prv.seq_id").alias("hears")), "places")
     a = places.select(F.col("rank").alias("a_rank"), F.col("seq_id").alias("a_seq"), "sends")
     b = places.select(F.col("rank").alias("b_rank"), F.col("seq_id").alias("b_seq"), "hears")
     out = pairs.join(a, ["a_rank", "a_seq"], "left").join(b, ["b_rank", "b_seq"], "left")
@@ -194,7 +194,7 @@ def nearest_calls(accesses: DataFrame, calls: DataFrame, names: tuple[str, ...],
     """accesses (rank, seq_id) with ``to``: the seq_id of the next (or previous) call of the rank with one of the names."""
     marked = calls.filter(F.col("func").isin(*names)).select("rank", "seq_id", F.lit(True).alias("_hit"))
     asked = accesses.select("rank", "seq_id").distinct().withColumn("_hit", F.lit(False))
-    both = asked.unionByName(marked).groupBy("rank", "seq_id").agg(F.bool_or("_hit").alias("_hit"))
+    both = cut(asked.unionByName(marked).groupBy("rank", "seq_id").agg(F.bool_or("_hit").alias("_hit")), "marks")
     found = scan(both, ["rank"], ["seq_id"], {to: ("last", F.when(F.col("_hit"), F.col("seq_id")), False)}, SEQ_BLOCK, descending=following)
     return accesses.join(found.select("rank", "seq_id", to), ["rank", "seq_id"], "left")
 
@@ -207,7 +207,7 @@ def verify(conflicts: DataFrame, calls: DataFrame, known: DataFrame, rule: str =
     A pair counts in either direction.
     """
     rule = rule.lower()
-    pair = conflicts.select("rank1", "seq1", "rank2", "seq2").distinct()
+    pair = cut(conflicts.select("rank1", "seq1", "rank2", "seq2").distinct(), "pairs")
     if rule == "posix":
         ends = {"a1": F.col("seq1"), "b2": F.col("seq2"), "a2": F.col("seq2"), "b1": F.col("seq1")}
         full = pair
@@ -215,15 +215,17 @@ def verify(conflicts: DataFrame, calls: DataFrame, known: DataFrame, rule: str =
         closing, opening = RULES[rule]
         ops = pair.select(F.col("rank1").alias("rank"), F.col("seq1").alias("seq_id")).union(pair.select("rank2", "seq2")).distinct()
         ops = nearest_calls(ops, calls, closing, True, "close_seq")
-        ops = nearest_calls(ops, calls, opening, False, "open_seq") if opening else ops.withColumn("open_seq", F.col("seq_id"))
+        ops = nearest_calls(cut(ops, "closing"), calls, opening, False, "open_seq") if opening else ops.withColumn("open_seq", F.col("seq_id"))
+        ops = cut(ops, "syncs")
         full = pair
         for i in (1, 2):
             full = full.join(ops.select(F.col("rank").alias(f"rank{i}"), F.col("seq_id").alias(f"seq{i}"), F.col("close_seq").alias(f"c{i}"), F.col("open_seq").alias(f"o{i}")), [f"rank{i}", f"seq{i}"], "left")
+        full = cut(full, "pair-syncs")
         ends = {"a1": F.col("c1"), "b2": F.col("o2"), "a2": F.col("c2"), "b1": F.col("o1")}
     cols = ["rank1", "seq1", "rank2", "seq2"]
     one = full.select(*cols, F.col("rank1").alias("a_rank"), ends["a1"].alias("a_seq"), F.col("rank2").alias("b_rank"), ends["b2"].alias("b_seq"))
     two = full.select(*cols, F.col("rank2").alias("a_rank"), ends["a2"].alias("a_seq"), F.col("rank1").alias("b_rank"), ends["b1"].alias("b_seq"))
-    judged = happens_before(one.unionByName(two), known)
+    judged = happens_before(cut(one.unionByName(two), "asked-pairs"), known)
     return judged.groupBy(*cols).agg(F.bool_or("before").alias("ok"))
 
 

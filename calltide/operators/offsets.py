@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.facts import MPIIO, POSIX, feeds_intervals, is_data_name, number
 from calltide.operators.sequence import scan
+from calltide.runtime import cut
 
 #: Blocks of ticks for running values.
 TICK_BLOCK = 1 << 26
@@ -74,7 +75,7 @@ def _by_window(events: DataFrame, width: int) -> DataFrame:
     """Files without end-of-file dependence: offset = what the cursor was set to last + the moves since."""
     order = ["tick", "rank", "seq_id"]
     moves = F.when(F.col("kind").isin("data", "move"), F.col("amount")).otherwise(F.lit(0))
-    moved = scan(events, ["rank", "filename"], order, {"_moved": ("sum", moves, False)}, width)
+    moved = cut(scan(events, ["rank", "filename"], order, {"_moved": ("sum", moves, False)}, width), "moved")
     to = F.when(F.col("kind") == "set", F.col("amount")).when(F.col("kind") == "close", F.lit(0))
     based = scan(moved, ["rank", "filename"], order, {"_base": ("last", to - F.col("_moved"), False)}, width)
     return based.withColumn("offset", F.when(F.col("kind") == "at", F.col("at")).otherwise(F.coalesce("_base", F.lit(0)) + F.col("_moved")))
@@ -111,7 +112,7 @@ def intervals(calls: DataFrame, flag_abi: str = "linux", count_fprintf: bool = F
     a seek from the end takes the highest byte that earlier data calls of any rank touched, reads included, and
     ignores the seek's own offset.
     """
-    events = cursor_events(attribute_handles(calls, width, per_rank_handles), flag_abi, count_fprintf)
+    events = cut(cursor_events(attribute_handles(calls, width, per_rank_handles), flag_abi, count_fprintf), "cursor-events")
     dependent = events.filter("kind = 'end'").select(F.col("filename").alias("_f")).distinct()
     same = F.col("filename") == F.col("_f")
     plain = _by_window(events.join(dependent, same, "left_anti"), width).filter(F.col("kind").isin("data", "at") & F.col("offset").isNotNull())
