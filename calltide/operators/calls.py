@@ -21,4 +21,7 @@ def distinct_rows(df: DataFrame, keys: Sequence[str], prefer: Sequence[Column])
     is repeated very often doesn't reach one task whole. Null keys count as equal.
     """
     w = Window.partitionBy(*keys).orderBy(*prefer)
-    return df.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+    nth = "_nth"
+    while nth in df.columns:
+        nth += "_"
+    return df.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
