@@ -95,8 +95,9 @@ def closed_patterns(
         if size <= max_len - 2:
             keepers = cut(_implied(occurrences, entity, found), "implied")
             if keepers.take(1):
-                occurrences = occurrences.join(keepers.select("pat"), "pat", "left_anti")
                 any_implied = True
+                if size > 1:  # pairs are counted for all items, as they narrow down every later step
+                    occurrences = occurrences.join(keepers.select("pat"), "pat", "left_anti")
             else:
                 keepers = None
         if size == max_len:
@@ -115,11 +116,13 @@ def closed_patterns(
             k = keepers.select(F.concat(F.array("e"), "pat").alias("_kept"))
             grown = grown.join(k, F.col("pat") == F.col("_kept"), "left").withColumn("lead", F.when(F.col("_kept").isNotNull(), 1).otherwise(F.col("lead"))).drop("_kept")
         found = cut(_support(grown, entity, least), "frequent")
+        if size == 1:
+            pairs = found
+            if keepers is not None:
+                found = found.join(keepers.select(F.col("pat")[0].alias("_pruned")), F.col("pat")[0] == F.col("_pruned"), "left_anti")
         levels.append(found)
         if not found.take(1):
             break
-        if size == 1:
-            pairs = found
         if size < max_len:
             kept = found.select(F.col("pat").alias("_f"), F.col("lead").alias("_fl"))
             narrowed = cut(grown.join(kept, (F.col("pat") == F.col("_f")) & (F.col("lead") == F.col("_fl")), "left_semi"), "occurrences")
@@ -129,14 +132,17 @@ def closed_patterns(
     everything = levels[0]
     for level in levels[1:]:
         everything = everything.unionByName(level)
+    everything = cut(everything.select("pat", "support").distinct(), "patterns")
+    # pruned patterns are known again as parts of others
+    known = everything.unionByName(all_supports(everything)).groupBy("pat").agg(F.max("support").alias("support"))
     # bidirectional check: an extension at either end with equal support
     wider = [
-        everything.filter("size(pat) > 1").select(part.alias("_part"), F.col("support").alias("_s"))
+        known.filter("size(pat) > 1").select(part.alias("_part"), F.col("support").alias("_s"))
         for part in (F.expr("slice(pat, 1, size(pat) - 1)"), F.expr("slice(pat, 2, size(pat) - 1)"))
     ]
     extended = wider[0].unionByName(wider[1]).distinct()
-    closed = everything.join(extended, (F.col("pat") == F.col("_part")) & (F.col("support") == F.col("_s")), "left_anti")
-    out = cut(closed.select("pat", "support").distinct(), "closed-patterns")
+    closed = known.join(extended, (F.col("pat") == F.col("_part")) & (F.col("support") == F.col("_s")), "left_anti")
+    out = cut(closed, "closed-patterns")
     release(base)
     return out
 
