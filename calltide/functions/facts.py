@@ -144,9 +144,15 @@ def status_pair(text: Column) -> Column:
     return F.when(hit, F.struct(F.regexp_extract(text, r"^\[(-?\d+)_", 1).cast("int").alias("src"), F.regexp_extract(text, r"_(-?\d+)\]$", 1).cast("int").alias("tag")))
 
 
-#: Names behind the numbers of HDF5 selection operators and property list classes.
+#: Names behind the numbers of HDF5 selection operators, property list classes and datatype classes.
 H5_SELECTION = ("H5S_SELECT_SET", "H5S_SELECT_OR", "H5S_SELECT_AND", "H5S_SELECT_XOR", "H5S_SELECT_NOTB", "H5S_SELECT_NOTA", "H5S_SELECT_APPEND", "H5S_SELECT_PREPEND")
 
+H5_PROPERTY_CLASSES = (
+    "H5P_ROOT", "H5P_OBJECT_CREATE", "H5P_FILE_CREATE", "H5P_FILE_ACCESS", "H5P_DATASET_CREATE", "H5P_DATASET_ACCESS", "H5P_DATASET_XFER", "H5P_FILE_MOUNT", "H5P_GROUP_CREATE", "H5P_GROUP_ACCESS",
+    "H5P_DATATYPE_CREATE", "H5P_DATATYPE_ACCESS", "H5P_STRING_CREATE", "H5P_ATTRIBUTE_CREATE", "H5P_OBJECT_COPY", "H5P_LINK_CREATE", "H5P_LINK_ACCESS",
+)
+H5_TYPE_CLASSES = ("H5T_INTEGER", "H5T_FLOAT", "H5T_TIME", "H5T_STRING", "H5T_BITFIELD", "H5T_OPAQUE", "H5T_COMPOUND", "H5T_REFERENCE", "H5T_ENUM", "H5T_VLEN", "H5T_ARRAY")
+
 
 def decoded(code: Column, names: Sequence[str]) -> Column:
     """The name at a number's place, else the number itself."""

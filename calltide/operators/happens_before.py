@@ -203,29 +203,34 @@ def verify(conflicts: DataFrame, calls: DataFrame, known: DataFrame, rule: str =
     """conflicts (rank1, seq1, rank2, seq2) with ``ok``: whether the pair is properly synchronized.
 
     posix: one access happens before the other. session and mpi-io: what closes after one happens before what opens before the
-    other (for mpi-io: syncs, opens and closes of MPI files). commit: the first access's rank commits after it, and that happens before the other access.
+    other (for mpi-io: syncs, opens and closes of MPI files). commit: one of the two ranks commits after the first access and before the second.
     A pair counts in either direction.
     """
     rule = rule.lower()
     pair = cut(conflicts.select("rank1", "seq1", "rank2", "seq2").distinct(), "pairs")
+    cols = ["rank1", "seq1", "rank2", "seq2"]
     if rule == "posix":
-        ends = {"a1": F.col("seq1"), "b2": F.col("seq2"), "a2": F.col("seq2"), "b1": F.col("seq1")}
-        full = pair
+        full, asked = pair, [("seq1", "seq2")]
     else:
         closing, opening = RULES[rule]
         ops = pair.select(F.col("rank1").alias("rank"), F.col("seq1").alias("seq_id")).union(pair.select("rank2", "seq2")).distinct()
-        ops = nearest_calls(ops, calls, closing, True, "close_seq")
-        ops = nearest_calls(cut(ops, "closing"), calls, opening, False, "open_seq") if opening else ops.withColumn("open_seq", F.col("seq_id"))
-        ops = cut(ops, "syncs")
+        ops = nearest_calls(cut(ops, "accesses"), calls, closing, True, "c")
+        ops = cut(nearest_calls(cut(ops, "closing"), calls, opening or closing, False, "o"), "syncs")
         full = pair
         for i in (1, 2):
-            full = full.join(ops.select(F.col("rank").alias(f"rank{i}"), F.col("seq_id").alias(f"seq{i}"), F.col("close_seq").alias(f"c{i}"), F.col("open_seq").alias(f"o{i}")), [f"rank{i}", f"seq{i}"], "left")
+            full = full.join(ops.select(F.col("rank").alias(f"rank{i}"), F.col("seq_id").alias(f"seq{i}"), F.col("c").alias(f"c{i}"), F.col("o").alias(f"o{i}")), [f"rank{i}", f"seq{i}"], "left")
         full = cut(full, "pair-syncs")
-        ends = {"a1": F.col("c1"), "b2": F.col("o2"), "a2": F.col("c2"), "b1": F.col("o1")}
-    cols = ["rank1", "seq1", "rank2", "seq2"]
-    one = full.select(*cols, F.col("rank1").alias("a_rank"), ends["a1"].alias("a_seq"), F.col("rank2").alias("b_rank"), ends["b2"].alias("b_seq"))
-    two = full.select(*cols, F.col("rank2").alias("a_rank"), ends["a2"].alias("a_seq"), F.col("rank1").alias("b_rank"), ends["b1"].alias("b_seq"))
-    judged = happens_before(cut(one.unionByName(two), "asked-pairs"), known)
+        # a commit counts on either rank: the first access's own, or the other rank's last one before its access
+        asked = [("c1", "o2")] if opening else [("c1", "seq2"), ("seq1", "o2")]
+    both = [
+        full.select(*cols, F.col(f"rank{i}").alias("a_rank"), F.col(a.replace("1", i)).alias("a_seq"), F.col(f"rank{j}").alias("b_rank"), F.col(b.replace("2", j)).alias("b_seq"))
+        for a, b in asked
+        for i, j in (("1", "2"), ("2", "1"))
+    ]
+    one = both[0]
+    for more in both[1:]:
+        one = one.unionByName(more)
+    judged = happens_before(cut(one, "asked-pairs"), known)
     return judged.groupBy(*cols).agg(F.bool_or("before").alias("ok"))
 
 

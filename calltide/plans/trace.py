@@ -9,6 +9,7 @@ from calltide.functions import facts
 from calltide.functions.names import plain_name, plain_name_sql
 from calltide.operators import callers, conflicts, happens_before, mpi, offsets, stats
 from calltide.operators.calls import distinct_rows
+from calltide.operators.sequence import scan
 from calltide.runtime import cut, new_path
 from calltide.sources import export, trace
 from calltide.streaming import live
@@ -220,15 +221,32 @@ def o12_file_ends(spark, d):
     return offsets.file_ends(o1_intervals(spark, d))
 
 
-def s8_round_trip(spark, d):
-    """Calls written as a binary trace with merged signatures, and read again."""
-    c = calls(spark, d).filter("args is not null and tick_start is not null").withColumn("func_id", F.coalesce("func_id", F.lit(facts.USER_FUNCTION_ID)))
-    rising = stats.scan(c, ["rank"], ["seq_id"], {"_prev": ("max", F.col("tick_start"), False)}, 4096)
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """The calls as a binary trace with merged signatures; its folder. Starts are raised where they fall, as the format wants."""
+    c = calls(spark, sf_dir).filter("args is not null and tick_start is not null").withColumn("func_id", F.coalesce("func_id", F.lit(facts.USER_FUNCTION_ID)))
+    rising = scan(c, ["rank"], ["seq_id"], {"_prev": ("max", F.col("tick_start"), False)}, 4096)
     c = rising.withColumn("tick_start", F.greatest("tick_start", "_prev")).withColumn("tick_end", F.greatest("tick_end", "tick_start", "_prev")).drop("_prev")
-    names = [r[0] for r in functions(spark, d).filter(f"func_id <> {facts.USER_FUNCTION_ID}").orderBy("func_id").select("name").collect()]
+    names = [r[0] for r in functions(spark, sf_dir).filter(f"func_id <> {facts.USER_FUNCTION_ID}").orderBy("func_id").select("name").collect()]
     path = new_path(spark, "trace").removeprefix("file://").removeprefix("file:")
-    trace.write_trace(c, path, names, merge_ranks=True)
-    return trace.read_trace(spark, path).groupBy("rank").agg(F.count("*").alias("n_calls"), F.max("tick_start").alias("last_tick"), F.sum(F.size("args").cast("bigint")).alias("n_args"))
+    trace.write_trace(cut(c, "calls"), path, names, merge_ranks=True)
+    return path
+
+
+def s8_round_trip(spark, d):
+    """Calls written as a binary trace and decoded again."""
+    back = trace.read_trace(spark, _written(spark, d))
+    return back.groupBy("rank").agg(F.count("*").alias("n_calls"), F.max("tick_start").alias("last_tick"), F.sum(F.size("args").cast("bigint")).alias("n_args"))
+
+
+def x2_expanded_lengths(spark, d):
+    """Calls of every rank, from the grammars alone."""
+    path = _written(spark, d)
+    return trace.read_trace(spark, path, "ug").join(trace.expanded_lengths(trace.read_trace(spark, path, "cfg")), "ug_id").select("rank", "n_calls")
+
+
+def x4_absolute_times(spark, d):
+    """Times after encoding as distances and decoding."""
+    return stats.absolute_times(stats.delta_times(calls(spark, d)))
 
 
 def st1_running_totals(spark, d):
@@ -273,7 +291,7 @@ _NAMES = """a1_layer_totals a1_layer_totals_rank0 a2_function_counts a3_signatur
 a9_file_modes a10_layers a11_metadata_counts a12_sizes a13_overlap_flags a15_conflict_counts a18_function_signatures f1_accepted_paths f5_layers_on f6_blanked
 f7_function_flags f10_timeline_calls j1_named_calls j2_conflicts j3_collectives j6_completions j7_communicators j9_next_sync k1_depths k2_caller_codes k3_caller_report
 k10_text k11_export k12_timeline k13_conflict_lines k17_linear_offsets k18_offset_series m1_mpi_calls o1_intervals o2_handles o12_file_ends s8_round_trip
-st1_running_totals a2_rollup w1_access_pattern w1_access_pattern_per_rank w3_delta_times w10_sessions x6_categories"""
+st1_running_totals a2_rollup w1_access_pattern w1_access_pattern_per_rank w3_delta_times w10_sessions x2_expanded_lengths x4_absolute_times x6_categories"""
 
 
 def queries() -> dict:
@@ -446,5 +464,10 @@ select rank, seq_id, case when level = m.at + 1 then coalesce(m.fh, '-') else '-
         "w3_delta_times": f"with {_CALLS} select rank, seq_id, tick_start - coalesce(p, 0) as d_start, tick_end - coalesce(p, 0) as d_end from (select *, lag(tick_start) over (partition by rank order by seq_id) as p from calls)",
         "w10_sessions": f"""with {_CALLS}, f as (select rank, seq_id, func, {_PATH} as filename from calls where category = 0 and args is not null)
 select rank, seq_id, filename, sum(case when func in {_OPENS} then 1 else 0 end) over (partition by rank, filename order by seq_id rows unbounded preceding)::bigint as session from f where starts_with(filename, '/')""",
+        "k10_text": f"""with {_CALLS} select rank, seq_id, coalesce(printf('%.7f', tstart), 'null') || ' ' || coalesce(printf('%.7f', tend), 'null') || ' ' || func || ' ' || level || ' ' || category || ' (' ||
+ case when coalesce(func_id, 0) = 255 then '' else coalesce(array_to_string(list_transform(args, lambda x: ' ' || x), ''), '') end || ' )' as line from calls""",
+        "s8_round_trip": f"with {_CALLS} select rank, count(*)::bigint as n_calls, max(tick_start) as last_tick, sum(len(args))::bigint as n_args from calls where args is not null and tick_start is not null group by 1",
+        "x2_expanded_lengths": f"with {_CALLS} select rank, count(*)::bigint as n_calls from calls where args is not null and tick_start is not null group by 1",
+        "x4_absolute_times": f"with {_CALLS} select rank, seq_id, tick_start, tick_end, tick_start * 1e-7::double as tstart, tick_end * 1e-7::double as tend from calls",
         "x6_categories": "select func_id, category from function_list",
     }

@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from calltide.operators.stats import merge_signatures
+from calltide.runtime import cut
 from calltide.schema import TABLES
 from calltide.sources import layout as L
 
@@ -232,3 +233,23 @@ def grammar_statistics(cfg: DataFrame, ug: DataFrame) -> DataFrame:
     per = ug.join(size, "ug_id")
     unique = per.groupBy("ug_id").agg(F.max("ints").alias("ints"), F.count("*").alias("n"))
     return unique.agg(F.sum("n").alias("n_ranks"), F.count("*").alias("n_grammars"), F.sum(F.col("ints") * F.col("n")).alias("ints_before"), F.sum("ints").alias("ints_after"))
+
+
+def expanded_lengths(cfg: DataFrame) -> DataFrame:
+    """ug_id and how many calls each grammar stands for, without expanding it.
+
+    Repetitions are multiplied down from the root rule; one round per level of nesting. Grammars have no cycles.
+    """
+    body = cfg.select("ug_id", "rule_id", "val", F.col("exp").cast("bigint").alias("exp"))
+    at = cfg.select("ug_id").distinct().select("ug_id", F.lit(L.ROOT_RULE).alias("rule_id"), F.lit(1).cast("bigint").alias("times"))
+    parts = []
+    while True:
+        used = cut(body.join(at, ["ug_id", "rule_id"]).select("ug_id", "val", (F.col("exp") * F.col("times")).alias("times")), "rule-uses")
+        parts.append(used.filter("val >= 0").groupBy("ug_id").agg(F.sum("times").alias("n")))
+        at = used.filter("val < 0").groupBy("ug_id", F.col("val").alias("rule_id")).agg(F.sum("times").alias("times"))
+        if not at.take(1):
+            break
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("ug_id").agg(F.sum("n").alias("n_calls"))
