@@ -65,6 +65,19 @@ def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return rows.mapInPandas(scan, "hash bigint, item_id bigint, item_at int").distinct()
 
 
+def _parts(texts: list[tuple], most: int = 1 << 18) -> Iterator[list[tuple]]:
+    """texts in parts of about ``most`` words; a longer text is a part of its own."""
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t[1]) > most:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t[1])
+    if part:
+        yield part
+
+
 def _bitmap(seeds: DataFrame) -> bytes:
     """BITMAP_BITS bits with those of the hashes set. Built from bitmaps of 4 KB, so the driver gets 512 KB at most."""
     at = F.pmod("hash", F.lit(BITMAP_BITS)) + 1  # Spark's bitmaps count from 1
@@ -86,25 +99,29 @@ def _corpus_hits(docs: DataFrame, doc_id: str, text: str, bitmap: bytes) -> Data
         known: dict[str, int] = {}
         for b in batches:
             out = []
-            for i, t in zip(b["_id"], b["_text"]):
-                ws = words(t)
-                if len(ws) < SPAN:
-                    continue
+            texts = [(i, ws) for i, t in zip(b["_id"], b["_text"]) if len(ws := words(t)) >= SPAN]
+            for part in _parts(texts):
+                flat = [w for _, ws in part for w in ws]
                 if len(known) > 500_000:
                     known.clear()
-                if new := [w for w in set(ws) if w not in known]:
-                    known.update(zip(new, _word_hashes(new)))
-                s = seed_hashes(np.fromiter((known[w] for w in ws), np.uint64, len(ws)))
-                signed = s.astype(np.int64)
-                mask, at = np.nonzero(filled[np.mod(signed, bits)])
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, hashes = at[order], signed[mask[order], at[order]]
-                for group in np.split(np.arange(len(at)), np.nonzero(np.diff(at) > SPAN + 2 * MARGIN)[0] + 1):
-                    a = max(0, int(at[group[0]]) - MARGIN)
-                    z = int(at[group[-1]]) + SPAN + MARGIN
-                    out.append((i, a, ws[a:z], hashes[group].tolist(), at[group].tolist()))
+                if new := [w for w in set(flat) if w not in known]:
+                    known.update(zip(new, _word_hashes(new).tolist()))
+                # the words of many texts in one row; windows across two texts are left out
+                signed = seed_hashes(np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))).view(np.int64)
+                ends = np.cumsum([len(ws) for _, ws in part])
+                mask, at = np.nonzero(filled[signed & (bits - 1)])
+                text = np.searchsorted(ends, at, side="right")
+                whole = at + SPAN <= ends[text]
+                mask, at, text = mask[whole], at[whole], text[whole]
+                order = np.lexsort((mask, at))
+                mask, at, text = mask[order], at[order], text[order]
+                hashes = signed[mask, at]
+                apart = (np.diff(at) > SPAN + 2 * MARGIN) | (np.diff(text) > 0)
+                for group in np.split(np.arange(len(at)), np.nonzero(apart)[0] + 1) if len(at) else []:
+                    i, ws = part[text[group[0]]]
+                    own = at[group] - (ends[text[group[0]]] - len(ws))
+                    a = max(0, int(own[0]) - MARGIN)
+                    out.append((i, a, ws[a : int(own[-1]) + SPAN + MARGIN], hashes[group].tolist(), own.tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "from_word", "around", "hashes", "ats"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
