@@ -80,11 +80,13 @@ _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1
 #: Lines that are code, commands, assignments or log output rather than sentences.
 _CODE_LINE = re.compile(
     r"^(?: {4,}|\t)|^\s*(?:export|cp|mv|cd|rm|ls|cat|echo|srun|mpirun|module|source|set|if|for|while|return|print|import|from|def|int|char|const)\s[^.!?]*[=$;()/|-]"
-    r"|^\s*\w+\(.*\);?\s*$|(?<!&[lg]t);\s*$|^\s*[A-Za-z_]\w*=\S|^\s*\[\d[\d.:]*\]\s|^\s*0x[0-9a-f]+\s|^\s*(?:INFO|WARN|DEBUG|TRACE)\b|^\s*(?:ERROR|WARNING)\s+[a-z]|^\s*[{\[]\s*\"\w+\"\s*:|^\s*\d+: \w+ of \d+|^\s*[$>#] \w+ .*[-/]"
+    r"|^\s*\w+\(.*\);?\s*$|^\s*[A-Za-z_]\w*=\S|^\s*\[\d[\d.:]*\]\s|^\s*0x[0-9a-f]+\s|^\s*(?:INFO|WARN|DEBUG|TRACE)\b|^\s*(?:ERROR|WARNING)\s+[a-z]|^\s*[{\[]\s*\"\w+\"\s*:|^\s*\d+: \w+ of \d+|^\s*[$>#] \w+ .*[-/]"
 )
+_ODD = re.compile(r"[\"“„«{}$#<>%&_@\[\]]")
 _PREFIX = re.compile(r"^[\s>|#*-]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?![a-zà-ÿ])")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\x01\w+")
+_NUMBER = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?(?:html|head|title|body|h1|h2|p|div|noscript|center|hr)\b[^>]*>", re.I)
 _DROP = {ord(c): None for c in INVISIBLE}
@@ -94,13 +96,15 @@ def passages(text: str) -> list[str]:
     """The passages of a text, with quotes, code and fill-in marks replaced by marks that begin with \\x01."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(_DROP)
-    text = _CODE_SPAN.sub(" \x01code ", text)
+    if "`" in text:
+        text = _CODE_SPAN.sub(" \x01code ", text)
     lines: list[str] = []
     for line in text.splitlines():
-        if not line.strip() or _CODE_LINE.search(line):
+        end = line.rstrip()
+        if not end or _CODE_LINE.match(line) or (end[-1] == ";" and not end.endswith(("&lt;", "&gt;"))):
             continue
-        line = _QUOTED.sub(" \x01quote ", line)
-        line = SLOT.sub(" \x01slot ", _TAG.sub(" ", line))
+        if _ODD.search(line):  # most lines have no sign that these look for
+            line = SLOT.sub(" \x01slot ", _TAG.sub(" ", _QUOTED.sub(" \x01quote ", line)))
         line = _PREFIX.sub("", line).strip()
         if lines and line[:1].islower() and lines[-1][-1:] not in ".!?:":
             lines[-1] += " " + line  # a sentence that was wrapped
@@ -122,11 +126,14 @@ def features(passage: str) -> list[int]:
     return sorted({zlib.crc32(n.encode()) % DIMENSIONS for n in names})
 
 
+def filler(passage: str) -> bool:
+    plain = _WORDS.findall(passage.lower())
+    return len(plain) >= 4 and sum(w in FILLER_WORDS for w in plain) >= 0.6 * len(plain)
+
+
 def trusted(passage: str) -> bool:
+    """Whether a passage is known to be residue, but for filler."""
     low = " ".join(passage.lower().replace("’", "'").split())
-    plain = _WORDS.findall(low)
-    if len(plain) >= 4 and sum(w in FILLER_WORDS for w in plain) >= 0.6 * len(plain):
-        return True
     return "\x01slot" in low or low.startswith(TRUSTED_BEGINNINGS) or bool(_TRUSTED_FORM.match(low))
 
 
@@ -134,12 +141,20 @@ def passage_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, passage (number), feats and trusted for every passage of every text."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
         for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["_text"]):
                 for k, p in enumerate(passages(t)):
-                    if f := features(p):
-                        out.append((i, k, f, trusted(p)))
+                    # numbers don't matter to features, so many passages have been met before
+                    same = _NUMBER.sub("0", p)
+                    if same not in known:
+                        if len(known) > 40_000:
+                            known.clear()
+                        known[same] = (np.array(features(same), np.int32), filler(same))
+                    f, latin = known[same]
+                    if len(f):
+                        out.append((i, k, f, latin or trusted(p)))
             yield pd.DataFrame(out, columns=["doc_id", "passage", "feats", "trusted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null")
