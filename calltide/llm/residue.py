@@ -43,12 +43,12 @@ TRUSTED_BEGINNINGS = (
     "404 not found", "not found", "page not found", "403 forbidden", "forbidden", "access denied", "internal server error",
     "500 internal server error", "502 bad gateway", "bad gateway", "service unavailable", "503 service unavailable",
     "504 gateway timeout", "gateway timeout", "your session has expired", "session expired", "service under maintenance",
-    "something went wrong", "this site cannot be reached", "the page you are looking for", "an unexpected error occurred",
+    "something went wrong", "could not connect to the database", "error establishing a database connection", "this site cannot be reached", "the page you are looking for", "an unexpected error occurred",
     "zugriff verweigert", "seite nicht gefunden", "der dienst ist zurzeit nicht", "die seite wurde nicht gefunden",
     "accès refusé", "l'accès est refusé", "page introuvable", "la page demandée n'existe pas", "erreur interne du serveur",
     "acceso denegado", "página no encontrada", "la página solicitada no existe", "error interno del servidor",
     "please enable javascript", "enable javascript", "javascript is disabled", "javascript is required", "you need to enable javascript",
-    "bitte aktivieren sie javascript", "veuillez activer javascript", "active javascript", "por favor active javascript", "checking your browser",
+    "bitte aktivieren sie javascript", "veuillez activer javascript", "active javascript", "por favor active javascript", "checking your browser", "noscript:",
     "your text here", "your text goes here", "insert text here", "sample text", "placeholder text", "replace this text", "replace this paragraph",
     "texte à remplacer", "hier steht später", "coming soon", "click to edit", "texto de ejemplo", "tbd tbd", "xxx xxx", "blah blah", "asdf asdf",
 )
