@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.operators.sequence import scan
+from calltide.runtime import BROADCAST_ROWS, cut
 
 
 def _tiles(first, last, size) -> F.Column:  # noqa: ANN001
@@ -33,8 +34,9 @@ def conflict_pairs(ranges: DataFrame, smallest: int = 4096) -> DataFrame:
     rows = rows.withColumn("id", F.xxhash64("rank", "seq", "a", "z", "is_read", "fh"))
     tile = F.pow(F.lit(2.0), F.col("cls")).cast("bigint")
     home = rows.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), tile)))
-    classes = rows.groupBy("filename").agg(F.collect_set("cls").alias("classes"))  # at most 63 numbers a file
-    asking = rows.join(classes.withColumnRenamed("filename", "_f"), F.col("filename") == F.col("_f")).drop("_f")
+    classes = cut(rows.groupBy(F.col("filename").alias("_f")).agg(F.collect_set("cls").alias("classes")), "size-classes")  # at most 63 numbers a file
+    few = classes.count() <= BROADCAST_ROWS
+    asking = rows.join(F.broadcast(classes) if few else classes, F.col("filename") == F.col("_f")).drop("_f")
     asking = asking.withColumn("ask", F.explode(F.filter("classes", lambda c: c >= F.col("cls")))).drop("classes")
     size = F.pow(F.lit(2.0), F.col("ask")).cast("bigint")
     asking = asking.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), size)))

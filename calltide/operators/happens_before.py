@@ -117,17 +117,15 @@ def clocks_in_one_task(nodes: DataFrame, edges: DataFrame, ranks: list[int]) ->
     return both.unionByName(more).withColumn("_trace", F.lit(0)).groupBy("_trace").applyInPandas(lambda pdf: run(pdf), "rank int, seq_id bigint, idx bigint, enter array<int>, leave array<int>")
 
 
-def clocks_by_rounds(nodes: DataFrame, edges: DataFrame, ranks: list[int], max_rounds: int = 100_000) -> DataFrame:
+def clocks_by_rounds(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """The same clocks as rows (rank, seq_id, idx, r, enter, leave), by rounds until nothing grows.
 
     A round carries clocks along all program orders at once (a running maximum) and over every edge; so the number of
     rounds is that of changes of rank on the longest path. A cycle makes a call know a later one of its own rank.
     """
-
     n = nodes.select("rank", "seq_id", "idx", "grp")
     links = edges.filter("dst_rank is not null").select("src_rank", "src_seq", "dst_rank", "dst_seq")
     state = cut(n.select("rank", "seq_id", F.col("rank").alias("r"), F.col("idx").alias("enter"), F.col("idx").alias("leave")), "clocks")
-
     for _ in range(max_rounds):
         known = state.join(n, ["rank", "seq_id"])
         # what leaves a group is what any member entered with
@@ -158,8 +156,7 @@ def clocks(edges: DataFrame, one_task_entries: int = ONE_TASK_ENTRIES) -> DataFr
     per_rank = nodes.groupBy("rank").agg(F.count("*").alias("n"))
     n_ranks, n_nodes = per_rank.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_ranks * n_nodes > one_task_entries:
-        ranks = [r[0] for r in per_rank.select("rank").collect()] if n_ranks <= 10_000 else []
-        return clocks_by_rounds(nodes, edges, ranks)
+        return clocks_by_rounds(nodes, edges)
     ranks = sorted(r[0] for r in per_rank.select("rank").collect())
     arrays = clocks_in_one_task(nodes, edges, ranks)
     rows = arrays.select("rank", "seq_id", "idx", F.posexplode(F.arrays_zip("enter", "leave")).alias("p", "c"))

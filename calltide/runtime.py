@@ -70,3 +70,8 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         if path := getattr(t, "_calltide_path", None):
             drop_path(t.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything this application wrote into the shared folder. Results that still read from it are lost."""
+    drop_path(spark, work_dir(spark))

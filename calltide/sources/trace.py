@@ -204,7 +204,7 @@ def write_trace(records: DataFrame, path: str, functions: Sequence[str], merge_r
     if merge_ranks:
         key = ["tid", "func_id", "level", "args"]
         own = rows.groupBy("rank", *key).agg(F.count("*").alias("count"), F.min("seq_id").cast("int").alias("terminal_id"))
-        merged = merge_signatures(own).persist()
+        merged = cut(merge_signatures(own), "merged-signatures")
         on = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
         rows = rows.alias("r").join(merged.alias("m"), on).select("r.*", F.col("m.terminal_id").alias("_merged"))
         table = merged.orderBy("terminal_id").toLocalIterator()

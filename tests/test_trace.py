@@ -361,6 +361,12 @@ def test_grammars():
         assert (np.concatenate([np.zeros(0, int), *layout.expand(rules, 16)]) == ids).all() and layout.expanded_length(rules) == len(ids)
 
 
+def test_expanded_lengths(spark):
+    rules = [(0, -1, 0, -2, 3), (0, -1, 1, 2, 1), (0, -2, 0, 0, 2), (0, -2, 1, 1, 1), (1, -1, 0, -3, 2), (1, -1, 1, -2, 5), (1, -2, 0, -3, 4), (1, -2, 1, 9, 1), (1, -3, 0, 7, 10)]
+    out = trace.expanded_lengths(spark.createDataFrame(rules, "ug_id int, rule_id int, pos int, val int, exp int"))
+    assert {tuple(r) for r in out.collect()} == {(0, 10), (1, 20 + 5 * 41)}
+
+
 def test_exports(spark, tmp_path):
     df = calls(spark, [(0, 0, "read", ["/a", "%p", '5"'], 0, 10), (0, 1, "MPI_Bcast", [], 1, 20), (1, 0, "write", ["/a", "%p", "5"], 0, 30)])
     assert export.text_lines(df).filter("rank = 1").first().line == "0.0000030 0.0000035 write 0 0 ( /a %p 5 )"
