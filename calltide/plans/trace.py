@@ -49,6 +49,12 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_rows(rows, ["filename", "rank", "seq_id"], ["tstart", "offset", "count"]).withColumn("tick", F.floor(F.col("tstart") * 1e7 + 0.5).cast("bigint"))
 
 
+def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges for conflicts, where neither time nor is_read has to be known; of repeated rows the one stands that ``ranges`` takes, if it takes any."""
+    rows = spark.read.parquet(f"{sf_dir}/intervals.parquet").filter("`offset` is not null and `count` > 0")
+    return distinct_rows(rows, ["filename", "rank", "seq_id"], [F.col("is_read").isNull() | F.col("tstart").isNull(), F.col("is_read").isNull(), F.col("tstart"), F.col("offset"), F.col("count")])
+
+
 def a1_layer_totals(spark, d):
     return stats.layer_totals(signatures(spark, d))
 
@@ -103,7 +109,7 @@ def a13_overlap_flags(spark, d):
 
 
 def a15_conflict_counts(spark, d):
-    return conflicts.conflicts_per_access(conflicts.conflict_pairs(ranges(spark, d)))
+    return conflicts.conflicts_per_access(conflicts.conflict_pairs(accesses(spark, d)))
 
 
 def a18_function_signatures(spark, d):
@@ -142,7 +148,7 @@ def j1_named_calls(spark, d):
 
 
 def j2_conflicts(spark, d):
-    return conflicts.conflict_pairs(ranges(spark, d))
+    return conflicts.conflict_pairs(accesses(spark, d))
 
 
 def j3_collectives(spark, d):
@@ -190,7 +196,7 @@ def k12_timeline(spark, d):
 
 
 def k13_conflict_lines(spark, d):
-    return conflicts.conflict_lines(conflicts.conflict_pairs(ranges(spark, d))).drop("file_idx")
+    return conflicts.conflict_lines(conflicts.conflict_pairs(accesses(spark, d))).drop("file_idx")
 
 
 def k17_linear_offsets(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calltide.functions import facts
 from calltide.operators import callers, conflicts, happens_before, mpi, offsets, stats
 from calltide.operators.sequence import dense_positions, neighbours, scan
+from calltide.plans import trace as queries
 from calltide.sources import export, layout, trace
 from calltide.streaming import live
 
@@ -92,6 +93,16 @@ def test_conflicts_like_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute_conflicts(rows)
 
 
+def test_conflict_queries_need_no_time(spark, tmp_path):
+    rows = [("a", 0, 0, None, 0, 10, False), ("a", 1, 1, 1.0, 5, 10, None), ("a", 2, 2, 2.0, 0, 8, True), ("a", 2, 2, None, 90, 8, None), ("a", 3, 3, 3.0, 0, None, False)]
+    schema = "filename string, rank int, seq_id bigint, tstart double, offset bigint, count bigint, is_read boolean, mpifh string"
+    spark.createDataFrame([(*r, None) for r in rows], schema).write.parquet(f"{tmp_path}/intervals.parquet")
+    got = {(r.rank1, r.rw1, r.rank2, r.rw2) for r in queries.j2_conflicts(spark, str(tmp_path)).collect()}
+    assert got == {(0, "write", 1, "write"), (0, "write", 2, "read"), (2, "read", 1, "write")}
+    assert {(r.rank1, r.n_conflicts) for r in queries.a15_conflict_counts(spark, str(tmp_path)).collect()} == {(0, 2), (2, 1)}
+    assert {r.line for r in queries.k13_conflict_lines(spark, str(tmp_path)).collect()} == {"0,0,write,-:1,1,write,- 2,2,read,-", "2,2,read,-:1,1,write,-"}
+
+
 def test_conflict_text_round_trip(spark, tmp_path):
     rows = [("a", r, r, 0, 10, False, f"fh{r}") for r in range(4)] + [("b", 0, 9, 0, 1, False, "-"), ("b", 1, 9, 0, 1, True, "-")]
     df = spark.createDataFrame(rows, "filename string, rank int, seq_id bigint, offset bigint, count bigint, is_read boolean, mpifh string")
