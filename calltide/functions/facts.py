@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 #: Categories of calls.
 POSIX, MPIIO, MPI, HDF5, USER = 0, 1, 2, 3, 4
 USER_FUNCTION_ID = 255
+#: Which argument of a function is an offset in its file.
+OFFSET_ARGUMENTS = {
+    **dict.fromkeys(("lseek", "lseek64", "fseek", "fseeko", "MPI_File_seek", "MPI_File_seek_shared"), 1),
+    **{f"MPI_File_{f}": 1 for f in ("read_at", "read_at_all", "read_at_all_begin", "iread_at", "write_at", "write_at_all", "write_at_all_begin", "iwrite_at")},
+    **dict.fromkeys(("pread", "pread64", "pwrite", "pwrite64"), 3),
+    **dict.fromkeys(("mmap", "mmap64"), 5),
+}
 
 
 def any_of(name: Column, parts: Sequence[str]) -> Column:
@@ -67,6 +74,12 @@ def number(args: Column, i: int) -> Column:
     return F.get(args, F.lit(i)).try_cast("bigint")
 
 
+def offset_of(name: Column, args: Column) -> Column:
+    """The offset argument of a call, null for functions without one."""
+    places = sorted(set(OFFSET_ARGUMENTS.values()))
+    return F.coalesce(*[F.when(name.isin(*[f for f, i in OFFSET_ARGUMENTS.items() if i == place]), number(args, place)) for place in places])
+
+
 def io_size(name: Column, args: Column) -> Column:
     """Bytes that a POSIX data call asked for; null for others and for sizes of zero or below."""
     size = (

@@ -148,19 +148,21 @@ def absolute_times(deltas: DataFrame, resolution: float = 1e-7, width: int = 409
 
 
 def linear_offsets(signatures: DataFrame, min_ranks: int = 3) -> DataFrame:
-    """Signatures of data calls whose offset is a * rank + b: the k-th signature of a function in each rank is one series.
+    """Signatures of calls whose offset is a * r + b: the k-th signature of a function in each rank of a group is one series.
 
-    ``signatures`` has rank, terminal_id, func and offset. A series counts if at least min_ranks ranks, with as many
-    signatures of the function each, lie on the line through its first two ranks; rank numbers follow without holes.
+    ``signatures`` has rank, terminal_id, func and offset. The ranks with as many signatures of the function form a group,
+    and r is a rank's place in its group, from 0; rank numbers may have holes. A series counts if its group has at least
+    min_ranks ranks and all of them lie on the line through the first two. A null offset takes its place but lies on no
+    line. Null ranks are left out. Each group gives rows of its own, so a function and k may occur more than once.
     """
-    own = scan(signatures.withColumn("_f", F.col("func")), ["rank", "_f"], ["terminal_id"], {"k": ("sum", F.lit(1), False)}, 1 << 20)
+    own = scan(signatures.filter("rank is not null").withColumn("_f", F.col("func")), ["rank", "_f"], ["terminal_id"], {"k": ("sum", F.lit(1), False)}, 1 << 20)
     per = own.groupBy("rank", "func").agg(F.count("*").alias("_n"))
-    own = own.join(per, ["rank", "func"])
-    first = own.groupBy("func", "k").agg(F.min("rank").alias("r0"), F.min(F.struct("rank", "offset")).alias("_a"), F.count_distinct("rank").alias("n_ranks"), F.count_distinct("_n").alias("_sizes"), F.max("rank").alias("_r9"))
-    second = own.join(first.select("func", "k", "r0"), ["func", "k"]).filter(F.col("rank") == F.col("r0") + 1).groupBy("func", "k").agg(F.min("offset").alias("_o1"))
-    line = first.join(second, ["func", "k"]).withColumn("a", F.col("_o1") - F.col("_a.offset")).withColumn("b", F.col("_a.offset") - F.col("a") * F.col("r0"))
-    line = line.filter((F.col("n_ranks") >= min_ranks) & (F.col("_sizes") == 1) & (F.col("_r9") - F.col("r0") + 1 == F.col("n_ranks")))
-    fits = own.join(line.select("func", "k", "a", "b", "n_ranks"), ["func", "k"]).groupBy("func", "k", "a", "b", "n_ranks").agg(F.bool_and(F.col("offset") == F.col("a") * F.col("rank") + F.col("b")).alias("_fits"))
+    own = own.join(scan(per, ["func", "_n"], ["rank"], {"_r": ("sum", F.lit(1), False)}, 1 << 20), ["rank", "func"])
+    series = ["func", "_n", "k"]
+    at = lambda r: F.max(F.when(F.col("_r") == r, F.col("offset")))
+    line = own.groupBy(*series).agg(F.try_subtract(at(1), at(0)).alias("a"), at(0).alias("b"), F.count("*").alias("n_ranks")).filter(F.col("n_ranks") >= min_ranks)
+    on_line = F.col("offset") == F.try_add(F.try_multiply(F.col("a"), F.col("_r")), F.col("b"))
+    fits = own.join(line, series).groupBy(*series, "a", "b", "n_ranks").agg(F.bool_and(F.coalesce(on_line, F.lit(False))).alias("_fits"))
     return fits.filter("_fits").select("func", "k", "a", "b", "n_ranks")
 
 

@@ -200,7 +200,7 @@ def k13_conflict_lines(spark, d):
 
 
 def k17_linear_offsets(spark, d):
-    s = signatures(spark, d).filter("func = 'pwrite'").withColumn("offset", facts.number(F.col("args"), 3)).filter("offset is not null")
+    s = signatures(spark, d).filter(F.col("func").isin(*facts.OFFSET_ARGUMENTS)).withColumn("offset", facts.offset_of(F.col("func"), F.col("args")))
     return stats.linear_offsets(s.select("rank", "terminal_id", "func", "offset"))
 
 

@@ -172,6 +172,24 @@ def test_linear_offsets(spark):
     assert [tuple(r) for r in out.collect()] == [("pwrite", 0, 4096, 512, 4)]
 
 
+def test_linear_offsets_by_group(spark):
+    # ranks 1, 4 and 9 have two signatures each, the others one: every group is tested by itself, by places in it
+    rows = [(r, t, "pwrite", 100 * i + 7 if t == 0 else 50) for i, r in enumerate((1, 4, 9)) for t in (0, 1)]
+    rows += [(r, 0, "pwrite", (5, 15, 25, 36)[i]) for i, r in enumerate((0, 2, 3, 5))]
+    rows += [(r, 0, "lseek", None if r == 2 else 8 * r) for r in range(4)]
+    out = stats.linear_offsets(spark.createDataFrame(rows, "rank int, terminal_id int, func string, offset bigint"))
+    assert {tuple(r) for r in out.collect()} == {("pwrite", 0, 100, 7, 3), ("pwrite", 1, 0, 50, 3)}
+
+
+def test_linear_offsets_of_all_functions(spark, tmp_path):
+    places = {"pread": 3, "lseek": 1, "MPI_File_write_at": 1, "mmap": 5, "write": 2}
+    names = list(enumerate(places))
+    spark.createDataFrame([(i, f, 1 if f.startswith("MPI") else 0) for i, f in names], "func_id smallint, name string, category int").write.parquet(f"{tmp_path}/function_list.parquet")
+    rows = [(r, i, i, 0, 1, ["x"] * places[f] + [str(r * 64)]) for r in range(3) for i, f in names]
+    spark.createDataFrame(rows, "rank int, terminal_id int, func_id smallint, level int, count bigint, args array<string>").write.parquet(f"{tmp_path}/cst.parquet")
+    assert {tuple(r) for r in queries.k17_linear_offsets(spark, str(tmp_path)).collect()} == {(f, 0, 64, 0, 3) for f in places if f != "write"}
+
+
 def test_merge_signatures(spark):
     rows = [(0, 0, 3, 0, 5, 0, ["a"]), (0, 1, 2, 0, 6, 0, ["b"]), (1, 0, 4, 0, 6, 0, ["b"]), (2, 0, 9, 0, 7, 0, None), (2, 1, None, 0, 5, 0, ["a"])]
     out = stats.merge_signatures(spark.createDataFrame(rows, "rank int, terminal_id int, count bigint, tid bigint, func_id smallint, level int, args array<string>"))
