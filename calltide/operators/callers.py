@@ -9,7 +9,7 @@ from calltide.functions.facts import is_metadata_name
 from calltide.operators.offsets import TICK_BLOCK
 from calltide.operators.sequence import scan
 
-#: Levels that are looked at; deeper calls count as called by the deepest.
+#: Levels that the SQL looks at; there deeper calls count as called by the deepest. The operators look at all levels.
 MAX_LEVEL = 4
 #: The functions of the caller report, in its order.
 CALLER_REPORT = (
@@ -39,11 +39,11 @@ def derive_levels(calls: DataFrame, width: int = TICK_BLOCK) -> DataFrame:
 
 def with_caller(calls: DataFrame, width: int = 4096) -> DataFrame:
     """calls with ``caller``: the function of the last call one level up in its thread, null at level 0."""
-    columns = {f"_p{k}": ("last", F.when(F.col("level") == k, F.struct(F.col("func").alias("f"))), False) for k in range(MAX_LEVEL)}
-    out = scan(calls, ["rank", "tid"], ["seq_id"], columns, width)
-    up = F.least(F.col("level"), F.lit(MAX_LEVEL)) - 1
-    caller = F.coalesce(*[F.when(up == k, F.col(f"_p{k}.f")) for k in range(MAX_LEVEL)])
-    return out.withColumn("caller", caller).drop(*columns)
+    # each call stands in two lanes: as a callee in its own level's, as a possible caller in the next level's
+    lanes = F.array(F.struct(F.col("level").alias("at"), F.lit(False).alias("up")), F.struct((F.col("level") + 1).alias("at"), F.lit(True).alias("up")))
+    rows = calls.withColumn("_lane", F.explode(lanes)).withColumn("_at", F.col("_lane.at")).withColumn("_up", F.col("_lane.up")).drop("_lane")
+    out = scan(rows, ["rank", "tid", "_at"], ["seq_id"], {"_p": ("last", F.when(F.col("_up"), F.struct(F.col("func").alias("f"))), False)}, width)
+    return out.filter("not _up").withColumn("caller", F.when(F.col("level") > 0, F.col("_p.f"))).drop("_at", "_up", "_p")
 
 
 def caller_codes(calls: DataFrame, width: int = 4096) -> DataFrame:

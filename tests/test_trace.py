@@ -150,6 +150,14 @@ def test_callers(spark):
     assert len(report) == 20 and {r.func: r.code for r in report}["umask"] == 0
 
 
+def test_callers_at_any_depth(spark):
+    chain = ["H5Dwrite", "MPI_File_write_at", "user_a", "user_b", "H5Pget_chunk", "access", "mkdir"]
+    rows = [(0, k, f, [], k) for k, f in enumerate(chain)] + [(0, 9, "MPI_Wait", [], 4), (0, 10, "unlink", [], 5)]
+    got = {r.func: r.caller for r in callers.with_caller(calls(spark, rows), 4).collect()}
+    assert got == {"H5Dwrite": None, **dict(zip(chain[1:], chain)), "MPI_Wait": "user_b", "unlink": "MPI_Wait"}
+    assert {r.func: r.code for r in callers.caller_codes(calls(spark, rows), 4).collect()} == {"access": 2, "mkdir": 0, "unlink": 1, "user_a": 1, "user_b": 0}
+
+
 def test_levels_from_containment(spark):
     rows = [(0, 0, 0, 100), (0, 1, 10, 50), (0, 2, 20, 30), (0, 3, 50, 60), (0, 4, 60, 60), (0, 5, 200, 210)]
     df = spark.createDataFrame([(r, s, 0, a, b, "read", [], 0, 0, 1, 0.0, 0.0, 0) for r, s, a, b in rows], CALL)
