@@ -32,7 +32,7 @@ def function_totals(calls: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rates(calls: DataFrame, time: str, by: list[str], width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Calls and bytes per window of event time; rows later than ``late`` are left to ``quarantine``."""
+    """Calls and bytes per window of event time; in append mode rows later than ``late`` are left to ``quarantine``, in complete mode all count."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return calls.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n_calls"), F.sum("bytes").alias("bytes"))
 

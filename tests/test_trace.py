@@ -1,5 +1,6 @@
 """Micro-traces for the operators over calls."""
 
+import datetime
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from calltide.functions import facts
 from calltide.operators import callers, conflicts, happens_before, mpi, offsets, stats
 from calltide.operators.sequence import dense_positions, neighbours, scan
+from calltide.plans import events
 from calltide.plans import trace as queries
 from calltide.sources import export, layout, trace
 from calltide.streaming import live
@@ -436,3 +438,11 @@ def test_late_rows(spark):
     df = spark.sql("select * from values (timestamp'2031-01-01 00:00:00'), (timestamp'2031-01-01 10:00:00'), (null) as t(at)")
     on_time, late = live.quarantine(df, "at", "2031-01-01 10:00:00", 3600)
     assert (on_time.count(), late.count()) == (2, 1)
+
+
+def test_rates_of_the_whole_table(spark, tmp_path):
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m, tzinfo=datetime.timezone.utc)
+    rows = [("click", 2.5, at(1)), ("click", 3.0, at(1, 30)), ("view", 4.0, at(9)), ("click", 1.0, at(9, 59)), ("view", 7.0, at(2))]
+    spark.createDataFrame(rows, "event_type string, value double, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.from_us // 3_600_000_000 % 24, r.event_type, r.n_calls, r.bytes) for r in events.st2_rates(spark, str(tmp_path)).collect()}
+    assert got == {(1, "click", 2, 5), (2, "view", 1, 7), (9, "view", 1, 4), (9, "click", 1, 1)}
