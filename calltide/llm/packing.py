@@ -3,7 +3,8 @@
 For each container the longest remaining item is set, and a subset-sum over the lengths that are left, kept as a bitset
 of reachable fills, finds the fullest feasible combination; those items are taken and the next container begins.
 Items are packed in groups of bounded size, drawn by hash, so that groups are alike and no task sees them all; what a
-group leaves in containers that aren't full is packed again together, in fewer groups each time.
+group leaves in containers that aren't full is packed again together, in fewer groups each time, as long as a round leaves
+so much less that a quarter fewer groups hold it; else, and after a round of one group, its containers stay as they are.
 """
 
 from __future__ import annotations
@@ -151,13 +152,17 @@ def pack_items(items: DataFrame, containers: DataFrame, item_id: str = "doc_id",
             return out.unionByName(packed).withColumnRenamed("_id", item_id)
         fill = packed.groupBy("container_id").agg((F.sum("n") < F.lit(FULL_ENOUGH) * F.max("capacity_tokens")).alias("_slack"))
         marked = cut(packed.join(fill, "container_id"), "filled")
-        out = out.unionByName(marked.filter("not _slack").drop("_slack"))
-        todo = marked.filter("_slack").select(*columns)
-        rest = todo.groupBy("container_kind").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-        if not rest:
+        rest = marked.filter("_slack").groupBy("container_kind").agg(F.count("*").alias("c")).collect()  # at most MAX_KINDS
+        need = {r["container_kind"]: -(-r["c"] // group_items) for r in rest}
+        # a kind whose rest doesn't shrink would fill ever larger groups
+        again = {k: n for k, n in need.items() if n <= max(1, groups * 3 // 4)}
+        stays = ~F.col("_slack") | ~F.coalesce(F.col("container_kind").isin(*[k for k in again if k is not None]), F.lit(None in again))
+        out = out.unionByName(marked.filter(stays).drop("_slack"))
+        if not again:
             return out.withColumnRenamed("_id", item_id)
+        todo = marked.filter(~stays).select(*columns)
         first_id += groups
-        groups = min(max(1, -(-rest // group_items)), -(-groups // 2))
+        groups = max(again.values())
 
 
 def container_fill(packed: DataFrame) -> DataFrame:

@@ -180,6 +180,19 @@ def test_packing(spark, group):
     assert packing.pack_items(items.limit(0), kinds).count() == 0 and packing.pack_items(items, kinds.limit(0)).count() == 0
 
 
+def test_packing_of_items_that_fill_no_container(spark):
+    items = spark.createDataFrame([(i, 60) for i in range(400)] + [(1000 + i, 25) for i in range(400)], "doc_id int, n_tokens int")
+    kinds = spark.createDataFrame([("half", 70), ("whole", 100)], "container_kind string, capacity_tokens int")
+    out = packing.pack_items(items, kinds, group_items=40).collect()
+    assert Counter((r.container_kind, r.doc_id) for r in out) == Counter((k, i) for k in ("half", "whole") for i in [*range(400), *range(1000, 1400)])
+    fill = Counter()
+    for r in out:
+        fill[r.container_kind, r.container_id] += r.n
+    assert all(n <= {"half": 70, "whole": 100}[k] for (k, _), n in fill.items())
+    groups = Counter((r.container_kind, r.container_id.split("-")[1]) for r in out)
+    assert max(groups.values()) <= 3 * 40
+
+
 def test_token_counts(spark):
     texts = [None, "", "hello world", "a" * 200_000, "ünï\x00 " * 3]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
