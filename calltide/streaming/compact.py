@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from calltide.runtime import BROADCAST_ROWS, cut, drop_path, new_path
 
 
+#: A file is taken however late it arrives; Spark's default leaves out what is a week older than the newest file.
+MAX_FILE_AGE = "36500d"
+
+
 def stage(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30, schema=None) -> int:
     """Copy all files of source not yet taken into target/batch=N, and return the number of batches taken so far.
 
-    Call it again to take files that arrived since. A batch has up to ``files_per_batch`` files where that is given,
+    Call it again to take files that arrived since, whatever their modification time. A batch has up to ``files_per_batch`` files where that is given,
     else about ``bytes_per_batch`` of files. Rows are copied as they stand.
     """
-    reader = spark.readStream.schema(schema or spark.read.parquet(source).schema)
+    reader = spark.readStream.schema(schema or spark.read.parquet(source).schema).option("maxFileAge", MAX_FILE_AGE)
     reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", bytes_per_batch)
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream's source is a folder

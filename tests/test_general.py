@@ -1,6 +1,7 @@
 """Interval merging, feature table, per-key results and compaction."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -164,6 +165,18 @@ def test_compaction_retry_and_new_files(spark, tmp_path):
     assert out.count() == 5 and out.filter("_copies > 1").count() == 0
 
 
+def test_compaction_takes_late_files_with_old_times(spark, tmp_path):
+    source, staged, mark = f"{tmp_path}/in", f"{tmp_path}/staged", f"{tmp_path}/mark"
+    small_files(spark, source, [[(1, 0, "a")]])
+    assert stage(spark, source, staged, mark) == 1
+    before = set((tmp_path / "in").glob("*.parquet"))
+    small_files(spark, source, [[(2, 0, "b")]])
+    (late,) = set((tmp_path / "in").glob("*.parquet")) - before
+    os.utime(late, (10**9, 10**9))
+    assert stage(spark, source, staged, mark) == 2
+    assert {r["rank"] for r in spark.read.parquet(f"{staged}/batch=*").collect()} == {1, 2}
+
+
 def test_compaction_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "rank int, index int, v string").write.parquet(f"{tmp_path}/in")
     assert compact(spark, f"{tmp_path}/in", ["rank"], []).count() == 0
