@@ -9,12 +9,17 @@ bounded by the format of doubles (about 1,420 / a of either sign), whatever the
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Sizes that 32 bits hold to their full precision.
+FLOATS = (2.0**-126, 3.4e38)
+
+
 class Accuracy:
     """The relative error a that quantiles keep to; a little of it is left for rounding to 32 bits."""
 
@@ -32,7 +37,9 @@ class Accuracy:
 
     def value(self, sign: Column, index: Column) -> Column:
         size = F.pow(F.lit(self.gamma), index) * F.lit(2 / (self.gamma + 1))
-        return F.when(sign == 0, F.lit(0.0)).otherwise(sign * size)
+        # the power itself may exceed a double where the value doesn't
+        largest = F.least(F.pow(F.lit(self.gamma), index - 1) * F.lit(2 * self.gamma / (self.gamma + 1)), F.lit(sys.float_info.max))
+        return F.when(sign == 0, F.lit(0.0)).otherwise(sign * F.when(size < float("inf"), size).otherwise(largest))
 
 
 def sketch(df: DataFrame, groups: Sequence[str], values: Mapping[str, Column], accuracy: Accuracy | None = None) -> DataFrame:
@@ -67,7 +74,7 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], probs: Sequence[floa
 
     p is the value of rank floor(p * (n - 1)), counted from 0, among the n finite and infinite values; what is given
     differs from it by at most rel_error times its size. A group without values has null percentiles. Estimates are
-    rounded to 32 bits, inside the stated error.
+    rounded to 32 bits, inside the stated error, where 32 bits hold their size in full; others stay doubles.
     """
     accuracy = accuracy or Accuracy()
     by = [*groups, "metric"]
@@ -78,7 +85,7 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], probs: Sequence[floa
     ranked = sketches.filter(has).withColumn("_place", place)
     ranked = ranked.withColumn("_to", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
     estimate = F.when(F.col("kind") == "inf", float("inf")).when(F.col("kind") == "-inf", float("-inf")).otherwise(accuracy.value(F.col("sign"), F.col("bucket")))
-    ranked = ranked.withColumn("_x", estimate.cast("float").cast("double"))
+    ranked = ranked.withColumn("_x", F.when(F.abs(estimate).between(*FLOATS), estimate.cast("float").cast("double")).otherwise(estimate))
     out = []
     for p in probs:
         rank = F.floor(F.lit(float(p)) * (F.col("_all") - 1))

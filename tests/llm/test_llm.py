@@ -37,6 +37,15 @@ def test_percentiles_keep_their_bound(spark):
     assert all(r.n == 0 and r.p50 is None for r in nothing)
 
 
+def test_percentiles_beyond_32_bits(spark):
+    values = [-1.7976931348623157e308, -1e300, -3.5e38, -1e-300, 5e-324, 1e-45, 1e-38, 2e39, 1e300, 1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [i / 9 for i in range(10)]
+    r = sketch.percentiles(sketch.sketch(df, [], {"v": F.col("v")}), [], probs).select("rel_error", *[f"`p{p * 100:g}`".replace(".", "_") for p in probs]).first()
+    for want, got in zip(sorted(values), r[1:]):
+        assert math.isfinite(got) and abs(got - want) <= r.rel_error * abs(want), (want, got)
+
+
 def mined(rows, share, between, max_len):
     """Support of every list of different items, by walking every occurrence."""
     seqs = defaultdict(list)
