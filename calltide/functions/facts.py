@@ -100,9 +100,24 @@ def path_accepted(path: Column, exclude: Sequence[str] = (), include: Sequence[s
     return F.when(path.isNull(), out).when(starts(exclude), out).otherwise(wanted)
 
 
+#: POSIX calls that are recorded whatever their files; dup and dup2 go by a descriptor whose file isn't recorded.
+NEVER_FILTERED = (
+    "linkat", "symlink", "rename", "readdir", "closedir", "rewinddir", "getcwd", "mknod", "mknodat", "pipe", "umask", "tmpfile", "msync", "dup", "dup2",
+)
+#: POSIX calls whose file isn't their first argument, and its place.
+FILE_ARGUMENTS = {
+    **dict.fromkeys(("fread", "fwrite"), 3),
+    **dict.fromkeys(("mmap", "mmap64"), 4),
+    **dict.fromkeys(("__xstat", "__xstat64", "__lxstat", "__lxstat64", "__fxstat", "__fxstat64", "symlinkat"), 1),
+}
+
+
 def path_position(name: Column) -> Column:
-    """Which argument of a POSIX call holds its file."""
-    return F.when(name.isin("fread", "fwrite"), 3).when(name.isin("mmap", "mmap64"), 4).when(name.rlike("^__f?l?x"), 1).otherwise(0)
+    """Which argument of a POSIX call holds the file it is recorded for; null for calls that are recorded for none."""
+    out = F.when(name.isin(*NEVER_FILTERED), F.lit(None).cast("int"))
+    for place in sorted(set(FILE_ARGUMENTS.values())):
+        out = out.when(name.isin(*[f for f, i in FILE_ARGUMENTS.items() if i == place]), place)
+    return out.otherwise(0)
 
 
 def path_of(name: Column, args: Column) -> Column:
@@ -110,14 +125,15 @@ def path_of(name: Column, args: Column) -> Column:
 
 
 def filter_paths(calls: DataFrame, exclude: Sequence[str] = (), include: Sequence[str] = ()) -> DataFrame:
-    """Calls on accepted files. POSIX calls go by their file; MPI-IO calls by the handle of an accepted MPI_File_open of
-    their rank, while opens and closes stay; other layers stay."""
+    """Calls on accepted files. POSIX calls go by their file, and stay if they are recorded for none; MPI-IO calls go by the
+    handle of an accepted MPI_File_open of their rank, while opens and closes stay; other layers stay."""
     posix = F.col("category") == POSIX
     handle = F.get("args", F.lit(0))
     always = F.col("func").isin("MPI_File_open", "MPI_File_close")
     opened = calls.filter((F.col("func") == "MPI_File_open") & path_accepted(F.get("args", F.lit(1)), exclude, include))
     opened = opened.select(F.col("rank").alias("_r"), F.get("args", F.lit(4)).alias("_h")).filter("_h is not null").distinct()
-    kept = calls.filter(F.when(posix, path_accepted(path_of(F.col("func"), F.col("args")), exclude, include)).otherwise((F.col("category") != MPIIO) | always))
+    free = F.col("func").isin(*NEVER_FILTERED)
+    kept = calls.filter(F.when(posix, free | path_accepted(path_of(F.col("func"), F.col("args")), exclude, include)).otherwise((F.col("category") != MPIIO) | always))
     by_handle = calls.filter((F.col("category") == MPIIO) & ~always).join(opened, (F.col("rank") == F.col("_r")) & (handle == F.col("_h")), "left_semi")
     return kept.unionByName(by_handle)
 

@@ -15,22 +15,55 @@ ANY_SOURCE, ANY_TAG = -2, -1
 #: Blocks of sequence numbers for running values.
 SEQ_BLOCK = 4096
 
-#: Which argument (from 0) holds what, for each matched call. s: source or root, d: destination, t: send tag,
-#: u: receive tag, c: communicator, r: request, list of requests or file handle, f: flag or count of completed, i: completed
-#: places, x: status. A list is marked by []; places and flags exist only for completions.
+#: Which argument (from 0) holds what, for each matched call. src: source or root; dst: destination; stag and
+#: rtag: tag of the send and of the receive; comm: communicator; req: request or file handle, reqs: list of requests; flag:
+#: flag or count of what completed; tindx: completed place, tindxs: list of them; status: source and tag as received.
 ARGUMENTS = {
-    "MPI_Send": "d3 t4 c5", "MPI_Ssend": "d3 t4 c5", "MPI_Isend": "d3 t4 c5 r6",
-    "MPI_Recv": "s3 u4 c5 x6", "MPI_Irecv": "s3 u4 c5 r6", "MPI_Sendrecv": "d3 t4 s8 u9 c10",
-    "MPI_Wait": "r0 x1", "MPI_Waitall": "r1[]", "MPI_Waitany": "r1[] i2", "MPI_Waitsome": "r1[] f2 i3[]",
-    "MPI_Test": "r0 f1 x2", "MPI_Testall": "r1[] f2", "MPI_Testany": "r1[] i2 f3", "MPI_Testsome": "r1[] f2 i3[]",
-    "MPI_Bcast": "s3 c4", "MPI_Ibcast": "s3 c4 r5", "MPI_Reduce": "s5 c6", "MPI_Ireduce": "s5 c6 r7",
-    "MPI_Gather": "s6 c7", "MPI_Igather": "s6 c7 r8", "MPI_Gatherv": "s7 c8", "MPI_Igatherv": "s7 c8 r9",
-    "MPI_Barrier": "c0", "MPI_Alltoall": "c6", "MPI_Allgather": "c6", "MPI_Allgatherv": "c7", "MPI_Allreduce": "c5", "MPI_Reduce_scatter": "c5",
-    "MPI_File_open": "c0 r4", "MPI_File_close": "r0", "MPI_File_set_size": "r0", "MPI_File_sync": "r0", "MPI_File_read_all": "r0",
-    "MPI_File_read_ordered": "r0", "MPI_File_write_all": "r0", "MPI_File_write_ordered": "r0", "MPI_File_read_at_all": "r0",
-    "MPI_File_write_at_all": "r0", "MPI_File_set_view": "r0", "MPI_Comm_dup": "c1", "MPI_Comm_split": "c3", "MPI_Comm_split_type": "c4",
-    "MPI_Cart_create": "c5", "MPI_Cart_sub": "c2",
-}
+    "MPI_Send": {"dst": 3, "stag": 4, "comm": 5},
+    "MPI_Ssend": {"dst": 3, "stag": 4, "comm": 5},
+    "MPI_Isend": {"dst": 3, "stag": 4, "comm": 5, "req": 6},
+    "MPI_Recv": {"src": 3, "rtag": 4, "comm": 5, "status": 6},
+    "MPI_Irecv": {"src": 3, "rtag": 4, "comm": 5, "req": 6},
+    "MPI_Sendrecv": {"dst": 3, "stag": 4, "src": 8, "rtag": 9, "comm": 10},
+    "MPI_Wait": {"req": 0, "status": 1},
+    "MPI_Waitall": {"reqs": 1},
+    "MPI_Waitany": {"reqs": 1, "tindx": 2},
+    "MPI_Waitsome": {"reqs": 1, "flag": 2, "tindxs": 3},
+    "MPI_Test": {"req": 0, "flag": 1, "status": 2},
+    "MPI_Testall": {"reqs": 1, "flag": 2},
+    "MPI_Testany": {"reqs": 1, "tindx": 2, "flag": 3},
+    "MPI_Testsome": {"reqs": 1, "flag": 2, "tindxs": 3},
+    "MPI_Bcast": {"src": 3, "comm": 4},
+    "MPI_Ibcast": {"src": 3, "comm": 4, "req": 5},
+    "MPI_Reduce": {"src": 5, "comm": 6},
+    "MPI_Ireduce": {"src": 5, "comm": 6, "req": 7},
+    "MPI_Gather": {"src": 6, "comm": 7},
+    "MPI_Igather": {"src": 6, "comm": 7, "req": 8},
+    "MPI_Gatherv": {"src": 7, "comm": 8},
+    "MPI_Igatherv": {"src": 7, "comm": 8, "req": 9},
+    "MPI_Barrier": {"comm": 0},
+    "MPI_Alltoall": {"comm": 6},
+    "MPI_Allgather": {"comm": 6},
+    "MPI_Allgatherv": {"comm": 7},
+    "MPI_Allreduce": {"comm": 5},
+    "MPI_Reduce_scatter": {"comm": 5},
+    "MPI_File_open": {"comm": 0, "req": 4},
+    "MPI_File_close": {"req": 0},
+    "MPI_File_set_size": {"req": 0},
+    "MPI_File_sync": {"req": 0},
+    "MPI_File_read_all": {"req": 0},
+    "MPI_File_read_ordered": {"req": 0},
+    "MPI_File_write_all": {"req": 0},
+    "MPI_File_write_ordered": {"req": 0},
+    "MPI_File_read_at_all": {"req": 0},
+    "MPI_File_write_at_all": {"req": 0},
+    "MPI_File_set_view": {"req": 0},
+    "MPI_Comm_dup": {"comm": 1},
+    "MPI_Comm_split": {"comm": 3},
+    "MPI_Comm_split_type": {"comm": 4},
+    "MPI_Cart_create": {"comm": 5},
+    "MPI_Cart_sub": {"comm": 2},
+}
 #: The roles of calls in matching; names not in the first two lists are all-to-all.
 SENDS, RECEIVES = ("MPI_Send", "MPI_Ssend", "MPI_Isend", "MPI_Sendrecv"), ("MPI_Recv", "MPI_Irecv", "MPI_Sendrecv")
 COMPLETIONS = ("MPI_Wait", "MPI_Waitall", "MPI_Waitany", "MPI_Waitsome", "MPI_Test", "MPI_Testall", "MPI_Testany", "MPI_Testsome")
@@ -68,34 +101,30 @@ def normalize(calls: DataFrame) -> DataFrame:
     A source or tag of "any" is replaced by the one in the status, where the call has one. done is false for a test that
     completed nothing. Collectives of an open file carry its handle in req.
     """
-    places: dict[str, dict[str, str]] = {k: {} for k in "sdtucrfix"}
-    for name, text in ARGUMENTS.items():
-        for part in text.split():
-            places[part[0]][name] = part[1:]
-
-    def arg(kind: str) -> Column:
+    def arg(*fields: str) -> Column:
+        """The argument that holds one of the fields; null for calls without it."""
         out = F.lit(None).cast("string")
-        for place in sorted({p.rstrip("[]") for p in places[kind].values()}):
-            names = [n for n, p in places[kind].items() if p.rstrip("[]") == place]
-            out = F.when(F.col("func").isin(*names), F.get("args", F.lit(int(place)))).otherwise(out)
+        at = {name: places[f] for name, places in ARGUMENTS.items() for f in fields if f in places}
+        for place in sorted(set(at.values())):
+            out = F.when(F.col("func").isin(*[n for n, k in at.items() if k == place]), F.get("args", F.lit(place))).otherwise(out)
         return out
 
-    def listed(kind: str) -> Column:
-        many = [n for n, p in places[kind].items() if p.endswith("[]")]
-        one = F.when(arg(kind).isNotNull(), F.array(arg(kind))).otherwise(F.array().cast("array<string>"))
-        return F.when(F.col("func").isin(*many), F.coalesce(int_list(arg(kind)), F.array().cast("array<string>"))).otherwise(one)
+    def listed(one: str, many: str) -> Column:
+        single = F.when(arg(one).isNotNull(), F.array(arg(one))).otherwise(F.array().cast("array<string>"))
+        has_list = F.col("func").isin(*[n for n, places in ARGUMENTS.items() if many in places])
+        return F.when(has_list, F.coalesce(int_list(arg(many)), F.array().cast("array<string>"))).otherwise(single)
 
-    status = status_pair(arg("x"))
-    src, rtag = arg("s").try_cast("int"), arg("u").try_cast("int")
+    status = status_pair(arg("status"))
+    src, rtag = arg("src").try_cast("int"), arg("rtag").try_cast("int")
     waits = F.col("func").isin("MPI_Wait", "MPI_Test")
-    flag = arg("f").try_cast("int")
+    flag = arg("flag").try_cast("int")
     return calls.filter(F.col("func").isin(*ARGUMENTS)).select(
         "rank", "seq_id", "func", role(F.col("func")).alias("role"),
         F.when(waits, status["src"]).when(src == ANY_SOURCE, F.coalesce(status["src"], src)).otherwise(src).alias("src"),
-        arg("d").try_cast("int").alias("dst"),
-        arg("t").try_cast("int").alias("stag"),
+        arg("dst").try_cast("int").alias("dst"),
+        arg("stag").try_cast("int").alias("stag"),
         F.when(waits, status["tag"]).when(rtag == ANY_TAG, F.coalesce(status["tag"], rtag)).otherwise(rtag).alias("rtag"),
-        arg("c").alias("comm"), listed("r").alias("req"), listed("i").alias("tindx"),
+        arg("comm").alias("comm"), listed("req", "reqs").alias("req"), listed("tindx", "tindxs").alias("tindx"),
         (F.coalesce(flag, F.lit(1)) != 0).alias("done"),
     )
 

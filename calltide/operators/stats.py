@@ -7,15 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calltide.functions.facts import HDF5, MPIIO, POSIX, io_size, is_data_name, is_report_metadata_name, layer, path_accepted, path_of
+from calltide.functions.facts import HDF5, MPIIO, POSIX, any_of, io_size, is_report_metadata_name, layer, path_accepted, path_of
 from calltide.operators.offsets import TICK_BLOCK
 from calltide.operators.sequence import scan
 
-#: Bits of open flags, by the constants of two systems.
+#: Bits of open flags, by the constants of two systems; linux has no lock flags.
 OPEN_FLAGS = {
-    "linux": {"O_WRONLY": 0x1, "O_RDWR": 0x2, "O_CREAT": 0x40, "O_EXCL": 0x80, "O_TRUNC": 0x200, "O_APPEND": 0x400},
-    "bsd": {"O_WRONLY": 0x1, "O_RDWR": 0x2, "O_CREAT": 0x200, "O_EXCL": 0x800, "O_TRUNC": 0x400, "O_APPEND": 0x8},
-}
+    "linux": {
+        "O_WRONLY": 0x1, "O_RDWR": 0x2, "O_NONBLOCK": 0x800, "O_APPEND": 0x400, "O_ASYNC": 0x2000,
+        "O_FSYNC": 0x100000, "O_CREAT": 0x40, "O_TRUNC": 0x200, "O_EXCL": 0x80,
+    },
+    "bsd": {
+        "O_WRONLY": 0x1, "O_RDWR": 0x2, "O_NONBLOCK": 0x4, "O_APPEND": 0x8, "O_SHLOCK": 0x10, "O_EXLOCK": 0x20, "O_ASYNC": 0x40,
+        "O_FSYNC": 0x80, "O_CREAT": 0x200, "O_TRUNC": 0x400, "O_EXCL": 0x800,
+    },
+}
 
 
 def layer_totals(signatures: DataFrame) -> DataFrame:
@@ -63,21 +69,28 @@ def files_per_rank(calls: DataFrame, exclude: Sequence[str] = (), approximate: b
     return rows.groupBy("rank").agg(count.alias("n_files"))
 
 
-def file_modes(calls: DataFrame, flag_abi: str = "linux") -> DataFrame:
-    """Per file: the open flags used, and whether it was read and written."""
+def file_modes(calls: DataFrame, ends: DataFrame | None = None, flag_abi: str = "linux") -> DataFrame:
+    """Per file: its size, the open flags used, and whether it was read and written.
+
+    The size is the highest byte that data calls touched (``offsets.file_ends``), null where there is none. Flags of a
+    call are joined by `` | ``; a call without any is O_RDONLY. The modes of stream opens stand as they were given.
+    """
     f, args = F.col("func"), F.col("args")
-    rows = calls.filter(F.col("category") == POSIX).select(path_of(f, args).alias("filename"), f.alias("func"), args.alias("args")).filter(F.col("filename").startswith("/"))
+    rows = calls.filter((F.col("category") == POSIX) & ~any_of(f, ["dir", "MPI", "H5"])).select(path_of(f, args).alias("filename"), f.alias("func"), args.alias("args"))
+    rows = rows.filter(F.col("filename").startswith("/"))
     number = F.when(F.col("func").isin("open", "open64"), F.get("args", F.lit(1)).try_cast("bigint"))
-    bits = OPEN_FLAGS[flag_abi]
-    names = F.filter(F.array(*[F.when(number.bitwiseAND(F.lit(v)) != 0, n) for n, v in bits.items()]), lambda x: x.isNotNull())
-    reading = F.when(number.bitwiseAND(F.lit(3)) == 0, F.array(F.lit("O_RDONLY"))).otherwise(F.array().cast("array<string>"))
-    mode = F.when(F.col("func").isin("fopen", "fopen64", "fdopen"), F.array(F.get("args", F.lit(1)))).when(number.isNotNull(), F.concat(reading, names))
-    rows = rows.select("filename", "func", F.concat_ws("|", mode).alias("mode"))
-    return rows.groupBy("filename").agg(
-        F.concat_ws(" ", F.sort_array(F.collect_set(F.when(F.col("mode") != "", F.col("mode"))))).alias("modes"),
-        F.bool_or(is_data_name(F.col("func")) & F.col("func").contains("read")).alias("was_read"),
-        F.bool_or(is_data_name(F.col("func")) & F.col("func").contains("write")).alias("was_written"),
+    names = F.filter(F.array(*[F.when(number.bitwiseAND(F.lit(v)) != 0, n) for n, v in OPEN_FLAGS[flag_abi].items()]), lambda x: x.isNotNull())
+    flags = F.when(F.size(names) == 0, "O_RDONLY").otherwise(F.concat_ws(" | ", names))
+    mode = F.when(F.col("func").isin("fopen", "fopen64", "fdopen"), F.get("args", F.lit(1))).when(number.isNotNull(), flags)
+    rows = rows.select("filename", "func", mode.alias("mode"))
+    out = rows.groupBy("filename").agg(
+        F.concat_ws(", ", F.sort_array(F.collect_set("mode"))).alias("modes"),
+        F.bool_or(F.col("func").contains("read")).alias("was_read"),
+        F.bool_or(any_of(F.col("func"), ["write", "fprintf"])).alias("was_written"),
     )
+    if ends is None:
+        return out.withColumn("size", F.lit(None).cast("bigint"))
+    return out.join(ends.select("filename", F.col("eof").alias("size")), "filename", "left")
 
 
 def calls_per_layer(calls: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def a8_files_per_rank(spark, d):
 
 
 def a9_file_modes(spark, d):
-    return stats.file_modes(calls(spark, d))
+    c = calls(spark, d)
+    return stats.file_modes(c, offsets.file_ends(offsets.intervals(c.filter("args is not null"))))
 
 
 def a10_layers(spark, d):
@@ -192,7 +193,10 @@ def k11_export(spark, d):
 
 
 def k12_timeline(spark, d):
-    return export.timeline_events(calls(spark, d))
+    """Timeline events, written as JSON and read again."""
+    event = F.from_json("event", "pid int, tid bigint, ts double, name string, cat string, ph string, dur double, args struct<args array<string>>")
+    back = export.timeline_events(calls(spark, d)).select("rank", "seq_id", event.alias("e"))
+    return back.select("rank", "seq_id", "e.pid", "e.tid", "e.ts", "e.name", "e.cat", "e.ph", "e.dur", _text("e.args.args").alias("args"))
 
 
 def k13_conflict_lines(spark, d):
@@ -204,6 +208,13 @@ def k17_linear_offsets(spark, d):
     return stats.linear_offsets(s.select("rank", "terminal_id", "func", "offset"))
 
 
+def k17_order_lines(spark, d):
+    """Lines among signatures made from orders: the k-th of eight ranks' orders each, shifted where one is urgent."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    at = F.col("o_orderkey") * 4096 + F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).otherwise(0)
+    return stats.linear_offsets(o.select((F.col("o_orderkey") % 8).cast("int").alias("rank"), F.col("o_orderkey").alias("terminal_id"), F.lit("pwrite").alias("func"), at.alias("offset")))
+
+
 def k18_offset_series(spark, d):
     return stats.offsets_over_ranks(ranges(spark, d))
 
@@ -293,15 +304,18 @@ def x6_categories(spark, d):
     return f.select("func_id", facts.category_of(F.col("func_id"), F.col("name"), firsts[0], firsts[1]).alias("category"))
 
 
-_NAMES = """a1_layer_totals a1_layer_totals_rank0 a2_function_counts a3_signatures a5_merged_signatures a6_signature_counts a7_calls_per_rank a8_files_per_rank
-a9_file_modes a10_layers a11_metadata_counts a12_sizes a13_overlap_flags a15_conflict_counts a18_function_signatures f1_accepted_paths f5_layers_on f6_blanked
-f7_function_flags f10_timeline_calls j1_named_calls j2_conflicts j3_collectives j6_completions j7_communicators j9_next_sync k1_depths k2_caller_codes k3_caller_report
-k10_text k11_export k12_timeline k13_conflict_lines k17_linear_offsets k18_offset_series m1_mpi_calls o1_intervals o2_handles o12_file_ends s8_round_trip
-st1_running_totals a2_rollup w1_access_pattern w1_access_pattern_per_rank w3_delta_times w10_sessions x2_expanded_lengths x4_absolute_times x6_categories"""
+_QUERIES = (
+    a1_layer_totals, a1_layer_totals_rank0, a2_function_counts, a3_signatures, a5_merged_signatures, a6_signature_counts, a7_calls_per_rank,
+    a8_files_per_rank, a9_file_modes, a10_layers, a11_metadata_counts, a12_sizes, a13_overlap_flags, a15_conflict_counts, a18_function_signatures,
+    f1_accepted_paths, f5_layers_on, f6_blanked, f7_function_flags, f10_timeline_calls, j1_named_calls, j2_conflicts, j3_collectives, j6_completions,
+    j7_communicators, j9_next_sync, k1_depths, k2_caller_codes, k3_caller_report, k10_text, k11_export, k12_timeline, k13_conflict_lines,
+    k17_linear_offsets, k17_order_lines, k18_offset_series, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s8_round_trip, st1_running_totals,
+    a2_rollup, w1_access_pattern, w1_access_pattern_per_rank, w3_delta_times, w10_sessions, x2_expanded_lengths, x4_absolute_times, x6_categories,
+)
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES.split()}
+    return {q.__name__: q for q in _QUERIES}
 
 
 _CALLS = f"""
@@ -320,7 +334,13 @@ _RANGES = """
 r0 as (select *, row_number() over (partition by filename, rank, seq_id order by tstart, "offset", count) as nth from intervals where "offset" is not null and count > 0 and tstart is not null and is_read is not null),
 ranges as (select *, floor(tstart * 1e7 + 0.5)::bigint as tick, "offset" as a, "offset" + count as z from r0 where nth = 1)
 """
-_PATH = "args[case when func in ('fread','fwrite') then 4 when func in ('mmap','mmap64') then 5 when regexp_matches(func, '^__f?l?x') then 2 else 1 end]"
+_ACCESSES = """
+r0 as (select *, row_number() over (partition by filename, rank, seq_id order by is_read is null or tstart is null, is_read is null, tstart nulls first, "offset", count) as nth from intervals where "offset" is not null and count > 0),
+ranges as (select *, "offset" as a, "offset" + count as z, coalesce(is_read, false) as rd from r0 where nth = 1)
+"""
+_UNFILTERED = "('linkat','symlink','rename','readdir','closedir','rewinddir','getcwd','mknod','mknodat','pipe','umask','tmpfile','msync','dup','dup2')"
+_PATH = f"""case when func in {_UNFILTERED} then null when func in ('fread','fwrite') then args[4] when func in ('mmap','mmap64') then args[5]
+  when func in ('__xstat','__xstat64','__lxstat','__lxstat64','__fxstat','__fxstat64','symlinkat') then args[2] else args[1] end"""
 _EXCLUDE = "(" + " or ".join(f"starts_with(p, '{p}')" for p in EXCLUDED) + ")"
 _DATA = "(contains(func, 'read') or contains(func, 'write'))"
 _LAYER = "case category when 1 then 'MPI-IO' when 3 then 'HDF5' when 0 then 'POSIX' end"
@@ -343,10 +363,10 @@ select {keys}, count(*) filter (where b = a)::bigint as n_consecutive, count(*)
 
 _SIZE = f"""case when contains(func, 'dir') or contains(func, 'MPI') or contains(func, 'H5') then null when func in ('fread','fwrite') then {_num(1)} * {_num(2)}
   when func in ('readv','writev','fprintf','vfprintf') then {_num(1)} when {_DATA} then {_num(2)} end"""
-_PAIRS = f"""with {_RANGES}, c as (
-  select x.filename, (x.a, x.rank, x.seq_id) > (y.a, y.rank, y.seq_id) as swap, x.rank as r1, x.seq_id as s1, case when x.is_read then 'read' else 'write' end as w1, coalesce(x.mpifh, '-') as f1, x.a as o1,
-    y.rank as r2, y.seq_id as s2, case when y.is_read then 'read' else 'write' end as w2, coalesce(y.mpifh, '-') as f2, y.a as o2
-  from ranges x join ranges y on x.filename = y.filename and x.rank < y.rank and not (x.is_read and y.is_read) and x.z > y.a and y.z > x.a),
+_PAIRS = f"""with {_ACCESSES}, c as (
+  select x.filename, (x.a, x.rank, x.seq_id) > (y.a, y.rank, y.seq_id) as swap, x.rank as r1, x.seq_id as s1, case when x.rd then 'read' else 'write' end as w1, coalesce(x.mpifh, '-') as f1, x.a as o1,
+    y.rank as r2, y.seq_id as s2, case when y.rd then 'read' else 'write' end as w2, coalesce(y.mpifh, '-') as f2, y.a as o2
+  from ranges x join ranges y on x.filename = y.filename and x.rank < y.rank and not (x.rd and y.rd) and x.z > y.a and y.z > x.a),
 pairs as (select filename, case when swap then r2 else r1 end as rank1, case when swap then s2 else s1 end as seq1, case when swap then w2 else w1 end as rw1, case when swap then f2 else f1 end as fh1, case when swap then o2 else o1 end as offset1,
   case when swap then r1 else r2 end as rank2, case when swap then s1 else s2 end as seq2, case when swap then w1 else w2 end as rw2, case when swap then f1 else f2 end as fh2, case when swap then o1 else o2 end as offset2 from c)
 """
@@ -360,45 +380,69 @@ k as (select filename, rank = pr as same, case when me >= pme then case when is_
 select filename, {flags} from k group by filename"""
 
 
-def _arg_sql(kind: str) -> str:
+def _arg_sql(*fields: str) -> str:
     by: dict[int, list[str]] = {}
-    for name, text in mpi.ARGUMENTS.items():
-        for part in text.split():
-            if part[0] == kind:
-                by.setdefault(int(part[1:].rstrip("[]")), []).append(name)
+    for name, places in mpi.ARGUMENTS.items():
+        for f in fields:
+            if f in places:
+                by.setdefault(places[f], []).append(name)
     return "case " + " ".join("when func in (" + ", ".join(f"'{n}'" for n in names) + f") then args[{i + 1}]" for i, names in sorted(by.items())) + " end"
 
 
-def _list_sql(kind: str) -> str:
-    many = [n for n, t in mpi.ARGUMENTS.items() if any(p[0] == kind and p.endswith("[]") for p in t.split())]
-    a = _arg_sql(kind)
-    listed = ", ".join(f"'{n}'" for n in many)
-    return f"(case when func in ({listed}) then case when length(regexp_extract({a}, '^\\[(.*)\\]$', 1)) > 0 then string_split(regexp_extract({a}, '^\\[(.*)\\]$', 1), ',') else [] end when {a} is not null then [{a}] else [] end)"
+def _list_sql(one: str, many: str) -> str:
+    a, b = _arg_sql(many), _arg_sql(one)
+    listed = ", ".join(f"'{n}'" for n, places in mpi.ARGUMENTS.items() if many in places)
+    return f"(case when func in ({listed}) then case when length(regexp_extract({a}, '^\\[(.*)\\]$', 1)) > 0 then string_split(regexp_extract({a}, '^\\[(.*)\\]$', 1), ',') else [] end when {b} is not null then [{b}] else [] end)"
 
 
 def _mpi_sql() -> str:
-    x, s, u, f = _arg_sql("x"), _arg_sql("s"), _arg_sql("u"), _arg_sql("f")
+    x, s, u, f = _arg_sql("status"), _arg_sql("src"), _arg_sql("rtag"), _arg_sql("flag")
     src = f"try_cast(regexp_extract({x}, '^\\[(-?\\d+)_-?\\d+\\]$', 1) as int)"
     tag = f"try_cast(regexp_extract({x}, '^\\[-?\\d+_(-?\\d+)\\]$', 1) as int)"
     role = f"""case when func = 'MPI_Sendrecv' then 'sendrecv' when func in {mpi.SENDS} then 'send' when func in {mpi.RECEIVES} then 'recv' when func in {mpi.COMPLETIONS} then 'completion'
   when func in {mpi.ONE_TO_MANY} then 'one-to-many' when func in {mpi.MANY_TO_ONE} then 'many-to-one' else 'all-to-all' end"""
     names = ", ".join(f"'{n}'" for n in mpi.ARGUMENTS)
     return f"""m0 as (select *, {src} as xs, {tag} as xt, try_cast({s} as int) as s0, try_cast({u} as int) as u0 from calls where func in ({names})),
-mpi as (select rank, seq_id, func, {role} as role, case when func in ('MPI_Wait','MPI_Test') then xs when s0 = -2 then coalesce(xs, s0) else s0 end as src, try_cast({_arg_sql("d")} as int) as dst, try_cast({_arg_sql("t")} as int) as stag,
-  case when func in ('MPI_Wait','MPI_Test') then xt when u0 = -1 then coalesce(xt, u0) else u0 end as rtag, {_arg_sql("c")} as comm, {_list_sql("r")} as req, {_list_sql("i")} as tindx, coalesce(try_cast({f} as int), 1) <> 0 as done from m0)"""
+mpi as (select rank, seq_id, func, {role} as role, case when func in ('MPI_Wait','MPI_Test') then xs when s0 = -2 then coalesce(xs, s0) else s0 end as src, try_cast({_arg_sql("dst")} as int) as dst, try_cast({_arg_sql("stag")} as int) as stag,
+  case when func in ('MPI_Wait','MPI_Test') then xt when u0 = -1 then coalesce(xt, u0) else u0 end as rtag, {_arg_sql("comm")} as comm, {_list_sql("req", "reqs")} as req, {_list_sql("tindx", "tindxs")} as tindx, coalesce(try_cast({f} as int), 1) <> 0 as done from m0)"""
 
 
 _META = "(not (contains(func,'MPI') or contains(func,'H5')) and (contains(func,'dir') or contains(func,'link') or not (contains(func,'read') or contains(func,'write') or contains(func,'seek') or contains(func,'tell') or contains(func,'open') or contains(func,'close') or contains(func,'sync'))))"
-_CODES = f"""codes as (with u as (select *, {", ".join(f"last_value(case when level = {k} then func end ignore nulls) over w as p{k}" for k in range(callers.MAX_LEVEL))} from calls
-   window w as (partition by rank, tid order by seq_id rows between unbounded preceding and 1 preceding)),
- c as (select func, case least(level, {callers.MAX_LEVEL}) {" ".join(f"when {k + 1} then p{k}" for k in range(callers.MAX_LEVEL))} end as caller from u where {_META})
- select func, max(case when caller is null then 3 when contains(caller, 'H5') then 2 when contains(caller, 'MPI') then 1 else 0 end) as code from c group by func)"""
+_CODES = f"""codes as (with u as (select * from calls where {_META}),
+ c as (select u.func, up.func as caller, u.level from u asof left join calls up on up.rank = u.rank and coalesce(up.tid, -1) = coalesce(u.tid, -1) and up.level = u.level - 1 and up.seq_id < u.seq_id)
+ select func, max(case when level = 0 or caller is null then 3 when contains(caller, 'H5') then 2 when contains(caller, 'MPI') then 1 else 0 end) as code from c group by func)"""
+_REPORT = "['__xstat','__xstat64','__lxstat','__lxstat64','__fxstat','__fxstat64','mmap','getcwd','mkdir','chdir','opendir','readdir','closedir','umask','unlink','readlink','access','ftruncate','fileno','faccessat']"
+_OFFSET = f"""case when func in ('lseek','lseek64','fseek','fseeko','MPI_File_seek','MPI_File_seek_shared','MPI_File_read_at','MPI_File_read_at_all','MPI_File_read_at_all_begin','MPI_File_iread_at','MPI_File_write_at',
+  'MPI_File_write_at_all','MPI_File_write_at_all_begin','MPI_File_iwrite_at') then {_num(1)} when func in ('pread','pread64','pwrite','pwrite64') then {_num(3)} when func in ('mmap','mmap64') then {_num(5)} end"""
+#: Ranks with as many signatures of a function form a group; r is a rank's place in it, k a signature's place in its rank. Needs sig(rank, func, terminal_id, off).
+_LINES = """
+k as (select *, row_number() over (partition by rank, func order by terminal_id) - 1 as k, count(*) over (partition by rank, func) as n from sig),
+r as (select *, dense_rank() over (partition by func, n order by rank) - 1 as r from k),
+l as (select func, n, k, max(off) filter (where r = 1) - max(off) filter (where r = 0) as a, max(off) filter (where r = 0) as b, count(*) as n_ranks from r group by 1, 2, 3 having count(*) >= 3)
+select l.func, l.k::bigint as k, l.a, l.b, l.n_ranks::bigint as n_ranks from l join r on r.func = l.func and r.n = l.n and r.k = l.k group by l.func, l.n, l.k, l.a, l.b, l.n_ranks having bool_and(coalesce(r.off = l.a * r.r + l.b, false))
+"""
+_LINUX_FLAGS = "[('O_WRONLY', 1), ('O_RDWR', 2), ('O_NONBLOCK', 2048), ('O_APPEND', 1024), ('O_ASYNC', 8192), ('O_FSYNC', 1048576), ('O_CREAT', 64), ('O_TRUNC', 512), ('O_EXCL', 128)]"
+#: Cursors walked event by event, all files side by side: w has the ranges, and the end of the file and every rank's cursor after each.
+_WALK = f"""
+ h0 as (select *, last_value(case when category = 1 and {_DATA} then {{'fh': args[1], 'lv': level}} end ignore nulls) over (partition by rank order by tick_start, seq_id rows between unbounded preceding and 1 preceding) as m from calls where args is not null),
+ e0 as (select rank, seq_id, tick_start as tick, func, args, case when func in ('fread','fwrite') then args[4] else args[1] end as filename, case when level = m.lv + 1 then coalesce(m.fh, '-') else '-' end as mpifh from h0
+   where category = 0 and not contains(func, 'dir') and not contains(func, 'link') and tick_start is not null),
+ e1 as (select *, case when func in ('pread','pread64','pwrite','pwrite64') then 'at' when {_DATA} then 'data'
+     when func in {_OPENS} then case when (func in ('open','open64') and {_num(1)} & 1024 <> 0) or (func not in ('open','open64') and contains(args[2], 'a')) then 'end' else 'set' end
+     when func in ('lseek','lseek64','fseek','fseeko') then case {_num(2)} when 0 then 'set' when 1 then 'move' when 2 then 'end' end when contains(func, 'close') then 'close' end as kind,
+   case when func in ('readv','writev') then {_num(1)} when func in ('fread','fwrite') then {_num(1)} * {_num(2)} when {_DATA} then {_num(2)}
+     when func in ('lseek','lseek64','fseek','fseeko') and {_num(2)} in (0, 1) then coalesce({_num(1)}, 0) else 0 end as amount, {_num(3)} as pos, contains(func, 'read') as is_read from e0 where filename is not null),
+ e2 as (select *, row_number() over (partition by filename order by tick, rank, seq_id) as i, dense_rank() over (order by rank) as ri from e1 where kind is not null and amount is not null and not (kind = 'at' and pos is null)),
+ w as (select filename, 0::bigint as i, 0 as rank, 0::bigint as seq_id, 0::bigint as tick, 0::bigint as off, 0::bigint as n, false as is_data, false as is_read, '' as mpifh, 0::bigint as eof, list_transform(range((select max(ri) from e2)), lambda x: 0::bigint) as cur from e2 group by filename
+   union all
+   select e.filename, e.i, e.rank, e.seq_id, e.tick, case when e.kind = 'at' then e.pos else w.cur[e.ri] end, e.amount, e.kind in ('at', 'data'), e.is_read, e.mpifh,
+     case when e.kind = 'at' then greatest(w.eof, e.pos + e.amount) when e.kind = 'data' then greatest(w.eof, w.cur[e.ri] + e.amount) else w.eof end,
+     case when e.kind = 'at' then w.cur else list_transform(w.cur, lambda c, j: case when j <> e.ri then c when e.kind in ('data', 'move') then c + e.amount when e.kind = 'set' then e.amount when e.kind = 'end' then w.eof else 0 end) end
+   from w join e2 e on e.filename = w.filename and e.i = w.i + 1)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    flags = {"linux": stats.OPEN_FLAGS["linux"]}["linux"]
-    names = "list_filter([" + ", ".join(f"case when n & {v} <> 0 then '{k}' end" for k, v in flags.items()) + "], lambda x: x is not null)"
-    report = ", ".join(f"({i}, '{f}')" for i, f in enumerate(callers.CALLER_REPORT))
     constructors = " union all ".join(f"select args[{a + 1}] as comm, try_cast(args[{b + 1}] as int) as local_rank, rank as world_rank from calls where func = '{f}'" for f, (a, b) in mpi.CONSTRUCTORS.items())
     return {
         "a1_layer_totals": _totals(""),
@@ -409,9 +453,12 @@ def oracle_sql() -> dict[str, str]:
         "a6_signature_counts": f"with {_CALLS} select rank, tid, func_id, level, coalesce(array_to_string(args, ','), '') as args, args is null as no_args, count(*)::bigint as count, min(seq_id) as first_seq from calls group by rank, tid, func_id, level, calls.args",
         "a7_calls_per_rank": f"with {_CALLS} select rank, count(*)::bigint as n_calls from calls group by 1",
         "a8_files_per_rank": f"with {_CALLS}, f as (select rank, {_PATH} as p from calls where category = 0) select rank, count(distinct p)::bigint as n_files from f where p is not null and not {_EXCLUDE} and starts_with(p, '/') group by 1",
-        "a9_file_modes": f"""with {_CALLS}, f as (select {_PATH} as filename, func, args, case when func in ('open','open64') then {_num(1)} end as n from calls where category = 0),
-g as (select filename, func, case when func in ('fopen','fopen64','fdopen') then args[2] when n is not null then array_to_string(list_concat(case when n & 3 = 0 then ['O_RDONLY'] else [] end, {names}), '|') end as mode from f where starts_with(filename, '/'))
-select filename, coalesce(array_to_string(list_sort(list(distinct mode) filter (where mode <> '')), ' '), '') as modes, bool_or(contains(func, 'read')) as was_read, bool_or(contains(func, 'write')) as was_written from g group by 1""",
+        "a9_file_modes": f"""with recursive {_CALLS}, {_WALK}, f as (select {_PATH} as filename, func, args, case when func in ('open','open64') then {_num(1)} end as n from calls where category = 0 and not contains(func, 'dir')),
+b as (select *, list_transform(list_filter({_LINUX_FLAGS}, lambda x: n & x[2] <> 0), lambda x: x[1]) as names from f where starts_with(filename, '/')),
+g as (select filename, func, case when func in ('fopen','fopen64','fdopen') then args[2] when n is not null then case when len(names) = 0 then 'O_RDONLY' else array_to_string(names, ' | ') end end as mode from b),
+s as (select filename, max(off + n) as size from w where is_data group by 1)
+select g.filename, coalesce(array_to_string(list_sort(list(distinct mode) filter (where mode is not null)), ', '), '') as modes, bool_or(contains(func, 'read')) as was_read, bool_or(contains(func, 'write') or contains(func, 'fprintf')) as was_written, max(s.size) as size
+from g left join s on s.filename = g.filename group by 1""",
         "a10_layers": f"with {_CALLS} select case when contains(func, 'H5') then 'hdf5' when contains(func, 'MPI') then 'mpi' else 'posix' end as layer, count(*)::bigint as n_calls from calls group by 1",
         "a11_metadata_counts": f"with {_CALLS} select func, count(*)::bigint as n_calls from calls where not ({' or '.join(f'''contains(func, '{p}')''' for p in ('MPI', 'H5', 'tell', 'write', 'read', 'open', 'close', 'seek'))}) group by 1",
         "a12_sizes": f"with {_CALLS}, s as (select {_SIZE} as size from calls) select size, count(*)::bigint as n_calls from s where size > 0 group by 1",
@@ -420,7 +467,7 @@ select filename, coalesce(array_to_string(list_sort(list(distinct mode) filter (
         "a18_function_signatures": f"with {_SIGNATURES} select rank, count(distinct terminal_id)::bigint as n_signatures from signatures where func = 'pwrite' group by 1",
         "f1_accepted_paths": f"""with {_CALLS}, f as (select *, case when func = 'MPI_File_open' then args[2] else {_PATH} end as p from calls),
 o as (select distinct rank, args[5] as h from f where func = 'MPI_File_open' and p is not null and not {_EXCLUDE} and args[5] is not null)
-select rank, seq_id, func from f where case when category = 0 then p is not null and not {_EXCLUDE} when category = 1 then func in ('MPI_File_open','MPI_File_close') or (rank, args[1]) in (select (rank, h) from o) else true end""",
+select rank, seq_id, func from f where case when category = 0 then func in {_UNFILTERED} or (p is not null and not {_EXCLUDE}) when category = 1 then func in ('MPI_File_open','MPI_File_close') or (rank, args[1]) in (select (rank, h) from o) else true end""",
         "f5_layers_on": f"with {_CALLS} select rank, seq_id, func from calls where category in (0, 1, 3, 4) and func <> 'fcntl'",
         "f6_blanked": f"with {_CALLS} select rank, seq_id, 0::bigint as tid, 0 as level, array_to_string(list_transform(args, lambda x: case when regexp_matches(x, '^0x[0-9a-fA-F]+$') then '%p' else x end), ',') as args from calls where args is not null",
         "f7_function_flags": f"""with f as (select func_id, name, name as func, category from function_list)
@@ -447,18 +494,21 @@ select pn.rank, pn.seq_id as post_seq, dn.seq_id as done_seq from pn join dn on
  last_value(case when func in ('open','fopen') then seq_id end ignore nulls) over (partition by rank order by seq_id rows between unbounded preceding and 1 preceding) as last_open from calls)
 select rank, seq_id, next_close, last_open from n where {_DATA} and category = 0""",
         "k2_caller_codes": f"with {_CALLS}, {_CODES} select * from codes",
-        "k3_caller_report": f"with {_CALLS}, {_CODES}, r(place, func) as (values {report}) select r.place, r.func, coalesce(codes.code, 0) as code from r left join codes on codes.func = r.func",
+        "k3_caller_report": f"with {_CALLS}, {_CODES}, r as (select unnest(range(20))::int as place, unnest({_REPORT}) as func) select r.place, r.func, coalesce(codes.code, 0) as code from r left join codes on codes.func = r.func",
         "k11_export": f"""with {_CALLS} select seq_id + 1 as "index", rank, tid as thread_id, category as cat, tstart, tend, func as func_id, level, case when func_id = 255 then 0 else arg_count end as arg_count,
 {", ".join(f"coalesce(case when coalesce(calls.func_id, 0) <> 255 then args[{i}] end, '') as args_{i}" for i in range(1, 11))} from calls""".replace("case when func_id = 255", "case when coalesce(calls.func_id, 0) = 255"),
         "k13_conflict_lines": _PAIRS
         + """, p as (select filename, rank1, seq1, concat_ws(',', rank1, seq1, rw1, fh1) as op, list_sort(list(distinct {'rank2': rank2, 'seq2': seq2, 't': concat_ws(',', rank2, seq2, rw2, fh2)})) as x from pairs group by filename, rank1, seq1, op)
 select filename, rank1, seq1, op || ':' || array_to_string(list_transform(x, lambda y: y.t), ' ') as line from p""",
-        "k17_linear_offsets": f"""with {_SIGNATURES}, o as (select rank, func, {_num(3)} as "offset", row_number() over (partition by rank, func order by terminal_id) - 1 as k, terminal_id from signatures where func = 'pwrite' and {_num(3)} is not null),
-c as (select *, count(*) over (partition by rank, func) as n from o),
-f as (select func, k, min(rank) as r0, arg_min("offset", rank) as o0, count(distinct rank) as n_ranks, count(distinct n) as sizes, max(rank) as r9 from c group by 1, 2),
-s as (select f.*, c."offset" as o1 from f join c on c.func = f.func and c.k = f.k and c.rank = r0 + 1 where n_ranks >= 3 and sizes = 1 and r9 - r0 + 1 = n_ranks),
-l as (select func, k, o1 - o0 as a, o0 - (o1 - o0) * r0 as b, n_ranks from s)
-select l.func, l.k::bigint as k, l.a, l.b, l.n_ranks::bigint as n_ranks from l join c on c.func = l.func and c.k = l.k group by l.func, l.k, l.a, l.b, l.n_ranks having bool_and(c."offset" = l.a * c.rank + l.b)""",
+        "k17_linear_offsets": f"with {_SIGNATURES}, sig as (select rank, func, terminal_id, {_OFFSET} as off from signatures where rank is not null and ({_OFFSET} is not null or func in ('lseek','lseek64','fseek','fseeko','MPI_File_seek','MPI_File_seek_shared') or regexp_matches(func, '^MPI_File_(i?read_at|i?write_at)') or regexp_matches(func, '^p(read|write)(64)?$') or func in ('mmap','mmap64'))), {_LINES}",
+        "k17_order_lines": f"with sig as (select (o_orderkey % 8)::int as rank, 'pwrite' as func, o_orderkey as terminal_id, o_orderkey * 4096 + case when o_orderpriority = '1-URGENT' then o_custkey else 0 end as off from orders), {_LINES}",
+        "k1_depths": f"""with {_CALLS}, t as (select rank, seq_id, coalesce(tid, -1) as tid, tick_start as a, greatest(coalesce(tick_end, tick_start), tick_start) as z from calls),
+n as (select c.rank, c.seq_id, count(*) as n from t c join t x on x.rank = c.rank and x.tid = c.tid and x.z > x.a and x.z > c.a and (x.a < c.a or (x.a = c.a and c.z > c.a and x.seq_id < c.seq_id)) group by 1, 2)
+select t.rank, t.seq_id, coalesce(n.n, 0)::bigint as depth from t left join n on n.rank = t.rank and n.seq_id = t.seq_id""",
+        "k12_timeline": f"""with {_CALLS} select rank, seq_id, rank as pid, tid, round(tstart * 1e6, 3) as ts, func as name, ['POSIX','MPI-IO','MPI','HDF5','USER'][category + 1] as cat, 'X' as ph, round((tend - tstart) * 1e6, 3) as dur, coalesce(array_to_string(args, ','), '') as args
+from calls where level = 0 or category in (0, 1, 3)""",
+        "o1_intervals": f'with recursive {_CALLS}, {_WALK} select filename, rank, seq_id, tick, off as "offset", n as count, is_read, mpifh from w where is_data',
+        "o12_file_ends": f"with recursive {_CALLS}, {_WALK} select filename, max(off + n) as eof from w where is_data group by 1",
         "k18_offset_series": f'with {_RANGES} select filename, rank, tick, "offset", count, is_read from ranges where filename in (select distinct filename from ranges order by filename limit 12)',
         "m1_mpi_calls": f"with {_CALLS}, {_mpi_sql()} select rank, seq_id, func, role, src, dst, stag, rtag, comm, coalesce(array_to_string(req, ','), '') as req, coalesce(array_to_string(tindx, ','), '') as tindx, done from mpi",
         "o2_handles": f"""with {_CALLS}, h as (select rank, seq_id, category, level, last_value(case when category = 1 and {_DATA} then {{'fh': args[1], 'at': level}} end ignore nulls) over (partition by rank order by tick_start, seq_id rows between unbounded preceding and 1 preceding) as m from calls where args is not null)

@@ -31,9 +31,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of this machine where that is unset (local runs)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a local run takes a folder of this machine; a cluster is refused, as its executors wouldn't share one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="calltide-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
