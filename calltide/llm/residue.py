@@ -4,8 +4,10 @@ A text is split into passages (lines and sentences). What a text quotes or shows
 and log lines) is replaced by a mark first, as it isn't the text's own content. A few trusted passages are known to be
 residue: whole messages and marks that occur nowhere else. All others are unlabelled. Expectation-maximization starts
 from trusted = residue, rest = content, then lets unlabelled passages join by their posterior and fits word and mark
-frequencies of both classes to all passages again, until the share of residue stands still. A record is residue if one
-of its passages is.
+frequencies of both classes to all passages again, until the share of residue stands still. Rounds run over the distinct
+passages with their numbers of occurrences, and weights are whole multiples of 2^-20, so sums don't depend on the order
+of rows. Decisions are the model's alone: what is trusted starts the training and adds nothing to a score. A record is
+residue if one of its passages is.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,19 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.llm.words import INVISIBLE
-from calltide.runtime import cut
+from calltide.runtime import cut, release
 
 #: Features are hashed to so many numbers; model and counts are vectors of this length.
 DIMENSIONS = 1 << 16
-ROUNDS = 12
+#: Rounds end when the weight of residue changes by less than this part of it; if that takes more than so many, training raises.
+TOLERANCE = 1e-3
+MOST_ROUNDS = 500
+#: Weights of passages are whole numbers of this part.
+UNIT = 1 / (1 << 20)
+#: Distinct passages whose features a task remembers.
+REMEMBERED = 100_000
 #: Features' worth of the whole corpus that is mixed into either class.
 SMOOTHING = 500.0
 #: An unlabelled passage joins residue by its posterior after this much is taken off its log-odds, and only with so many features; else short, common phrases are drawn in.
 JOIN_MARGIN, JOIN_FEATURES = 4.0, 5
 #: Words and pairs of words say much the same, so their sum counts by this factor only.
 EVIDENCE = 0.5
-#: What being trusted adds to a passage's log-odds.
-TRUST = 15.0
 #: Log-odds from which a passage counts as residue.
 THRESHOLD = 0.0
 
@@ -54,15 +60,19 @@ TRUSTED_BEGINNINGS = (
 )
 
 #: Words of the usual pseudo-Latin filler. A passage of four or more words is trusted if six in ten are of these.
-FILLER_WORDS = frozenset(
-    "adipiscing aliqua aliquam amet ante arcu at auctor augue bibendum commodo condimentum consectetur consequat cras cursus dapibus diam dictum dolor"
-    " dolore donec duis egestas eget eiusmod elementum elit enim erat eros est et etiam eu euismod facilisis faucibus felis fermentum feugiat fringilla"
-    " fusce gravida iaculis id imperdiet incididunt ipsum justo labore lacinia lacus laoreet lectus leo libero ligula lorem luctus maecenas magna massa"
-    " mattis mauris metus mi mollis morbi nam nec neque nibh nisi nisl non nulla nullam nunc odio orci ornare pellentesque pharetra phasellus placerat"
-    " porta porttitor posuere praesent pretium pulvinar purus quam quis rhoncus risus rutrum sagittis sapien scelerisque sed sem semper sit sodales"
-    " sollicitudin suscipit suspendisse tellus tempor tempus tincidunt tortor tristique turpis ullamcorper ultrices urna ut varius vehicula vel velit"
-    " venenatis vestibulum vitae vivamus volutpat vulputate".split()
-)
+FILLER_WORDS = frozenset((
+    "adipiscing", "aliqua", "aliquam", "amet", "ante", "arcu", "at", "auctor", "augue", "bibendum", "commodo", "condimentum",
+    "consectetur", "consequat", "cras", "cursus", "dapibus", "diam", "dictum", "dolor", "dolore", "donec", "duis", "egestas", "eget",
+    "eiusmod", "elementum", "elit", "enim", "erat", "eros", "est", "et", "etiam", "eu", "euismod", "facilisis", "faucibus", "felis",
+    "fermentum", "feugiat", "fringilla", "fusce", "gravida", "iaculis", "id", "imperdiet", "incididunt", "ipsum", "justo", "labore",
+    "lacinia", "lacus", "laoreet", "lectus", "leo", "libero", "ligula", "lorem", "luctus", "maecenas", "magna", "massa", "mattis",
+    "mauris", "metus", "mi", "mollis", "morbi", "nam", "nec", "neque", "nibh", "nisi", "nisl", "non", "nulla", "nullam", "nunc", "odio",
+    "orci", "ornare", "pellentesque", "pharetra", "phasellus", "placerat", "porta", "porttitor", "posuere", "praesent", "pretium",
+    "pulvinar", "purus", "quam", "quis", "rhoncus", "risus", "rutrum", "sagittis", "sapien", "scelerisque", "sed", "sem", "semper", "sit",
+    "sodales", "sollicitudin", "suscipit", "suspendisse", "tellus", "tempor", "tempus", "tincidunt", "tortor", "tristique", "turpis",
+    "ullamcorper", "ultrices", "urna", "ut", "varius", "vehicula", "vel", "velit", "venenatis", "vestibulum", "vitae", "vivamus",
+    "volutpat", "vulputate",
+))
 #: Forms of trusted messages.
 _TRUSTED_FORM = re.compile(
     r"(?:http |status |error |code )?(?:error |status |code )?[45]\d\d ?[.:|-]|(?:insert|type|write|put|paste|add|enter) [\w ]{2,40} (?:here|below this line|in this (?:box|place|field))\b"
@@ -89,13 +99,13 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|\x01\w+")
 _NUMBER = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"</?(?:html|head|title|body|h1|h2|p|div|noscript|center|hr)\b[^>]*>", re.I)
-_DROP = {ord(c): None for c in INVISIBLE}
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
 
 
 def passages(text: str) -> list[str]:
     """The passages of a text, with quotes, code and fill-in marks replaced by marks that begin with \\x01."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_DROP)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "`" in text:
         text = _CODE_SPAN.sub(" \x01code ", text)
     lines: list[str] = []
@@ -113,17 +123,45 @@ def passages(text: str) -> list[str]:
     return [p for line in lines for p in _SENTENCE.split(line) if p]
 
 
-def features(passage: str) -> list[int]:
-    """Hashed features of a passage: its words, neighbouring words, marks, and a few facts about its form."""
-    low = passage.lower()
-    tokens = ["#" if t.isdigit() else t if len(t) < 40 else "\x02long" for t in _TOKEN.findall(low)]
-    if not tokens:
-        return []
-    names = {f"w {t}" for t in tokens if t != "#"} | {f"b {a} {b}" for a, b in zip(tokens, tokens[1:])}
-    plain = [t for t in tokens if t[0] not in "#\x01\x02"]
-    if len(plain) >= 3 and len(set(plain)) * 2 <= len(plain):
-        names.add("f repeats")
-    return sorted({zlib.crc32(n.encode()) % DIMENSIONS for n in names})
+class Features:
+    """Hashed features of passages: words, neighbouring words, marks, and a fact about their form.
+
+    Hashes of words are remembered, as there are far fewer of them than passages.
+    """
+
+    def __init__(self) -> None:
+        self.hashes: dict[str, int] = {}
+
+    def _hash(self, token: str) -> int:
+        h = self.hashes.get(token)
+        if h is None:
+            if len(self.hashes) > 500_000:
+                self.hashes.clear()
+            # numbers have no word feature, only pairs with their neighbours
+            kind = -1 if token.isdigit() else 1
+            h = self.hashes[token] = kind * (1 + zlib.crc32(("#" if kind < 0 else token if len(token) < 40 else "\x02long").encode()))
+        return h
+
+    def of(self, passages: Sequence[str]) -> list[np.ndarray]:
+        """The sorted feature numbers of each passage; none for one without words."""
+        tokens = [_TOKEN.findall(p.lower()) for p in passages]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        signed = np.fromiter((self._hash(t) for ts in tokens for t in ts), np.int64, int(lengths.sum()))
+        h, owner = np.abs(signed), np.repeat(np.arange(len(tokens)), lengths)
+        single = signed > 0
+        words = (h * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+        follows = owner[1:] == owner[:-1]
+        pairs = ((h[:-1] * 0x85EBCA6B + h[1:] * 0xC2B2AE35 + 0x27D4EB2F) & 0xFFFFFFFF) >> 16
+        repeats = np.fromiter((len(ts) >= 3 and self._repeats(ts) for ts in tokens), bool, len(tokens))
+        every = np.concatenate([owner[single] * DIMENSIONS + words[single], owner[1:][follows] * DIMENSIONS + pairs[follows], np.flatnonzero(repeats) * DIMENSIONS + DIMENSIONS - 1])
+        every = np.unique(every)
+        ends = np.searchsorted(every, np.arange(1, len(tokens)) * DIMENSIONS)
+        return np.split((every % DIMENSIONS).astype(np.int32), ends) if len(tokens) else []
+
+    @staticmethod
+    def _repeats(tokens: list[str]) -> bool:
+        plain = [t for t in tokens if t[0] != "\x01" and len(t) < 40 and not t.isdigit()]
+        return len(plain) >= 3 and len(set(plain)) * 2 <= len(plain)
 
 
 def filler(passage: str) -> bool:
@@ -131,30 +169,27 @@ def filler(passage: str) -> bool:
     return len(plain) >= 4 and sum(w in FILLER_WORDS for w in plain) >= 0.6 * len(plain)
 
 
-def trusted(passage: str) -> bool:
+def trusted(passage: str, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> bool:
     """Whether a passage is known to be residue, but for filler."""
     low = " ".join(passage.lower().replace("’", "'").split())
-    return "\x01slot" in low or low.startswith(TRUSTED_BEGINNINGS) or bool(_TRUSTED_FORM.match(low))
+    return "\x01slot" in low or low.startswith(beginnings) or bool(_TRUSTED_FORM.match(low))
 
 
-def passage_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> DataFrame:
     """doc_id, passage (number), feats and trusted for every passage of every text."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple] = {}
+        features = Features()
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["_text"]):
-                for k, p in enumerate(passages(t)):
-                    # numbers don't matter to features, so many passages have been met before
-                    same = _NUMBER.sub("0", p)
-                    if same not in known:
-                        if len(known) > 40_000:
-                            known.clear()
-                        known[same] = (np.array(features(same), np.int32), filler(same))
-                    f, latin = known[same]
-                    if len(f):
-                        out.append((i, k, f, latin or trusted(p)))
+            # numbers don't matter to features, so many passages have been met before
+            rows = [(i, k, p, _NUMBER.sub("0", p)) for i, t in zip(b["doc_id"], b["_text"]) for k, p in enumerate(passages(t))]
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = [p for p in dict.fromkeys(r[3] for r in rows) if p not in known]
+            known.update(zip(new, zip(features.of(new), map(filler, new))))
+            out = [(i, k, *known[same], p) for i, k, p, same in rows]
+            out = [(i, k, f, latin or trusted(p, beginnings)) for i, k, f, latin, p in out if len(f)]
             yield pd.DataFrame(out, columns=["doc_id", "passage", "feats", "trusted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null")
@@ -189,44 +224,52 @@ class Model:
 
 
 def train(table: DataFrame) -> tuple[Model | None, int]:
-    """The model fitted to all passages, and the rounds it took. None without trusted passages: then nothing is known."""
+    """The model fitted to all passages, and the rounds it took. None without trusted passages: then nothing is known.
+
+    All passages count; equal ones stand once, with their number.
+    """
     spark = table.sparkSession
+    distinct = cut(table.groupBy("feats", "trusted").agg(F.count("*").alias("n")), "distinct-passages")
 
     def counts(model: Model | None) -> tuple[np.ndarray, np.ndarray, float, float]:
         shared = spark.sparkContext.broadcast(model)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pos, every = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
+            pos, every = np.zeros(DIMENSIONS + 1, np.int64), np.zeros(DIMENSIONS + 1, np.int64)
             for b in batches:
                 if not len(b):
                     continue
-                known, lengths = b["trusted"].to_numpy(), b["feats"].str.len().to_numpy()
+                known, lengths, n = b["trusted"].to_numpy(bool), b["feats"].str.len().to_numpy(), b["n"].to_numpy(np.int64)
                 weight = known.astype(float) if shared.value is None else shared.value.membership(b["feats"], known)
+                weight = np.rint(weight / UNIT).astype(np.int64) * n
                 flat = np.concatenate(b["feats"].to_list())
-                pos[:-1] += np.bincount(flat, np.repeat(weight, lengths), DIMENSIONS)
-                every[:-1] += np.bincount(flat, minlength=DIMENSIONS)
+                np.add.at(pos, flat, np.repeat(weight, lengths))
+                np.add.at(every, flat, np.repeat(n, lengths))
                 pos[-1] += weight.sum()
-                every[-1] += len(b)
+                every[-1] += n.sum()
             used = np.nonzero(every)[0]
             yield pd.DataFrame({"f": used.astype(np.int32), "pos": pos[used], "every": every[used]})
 
-        sums = table.select("feats", "trusted").mapInPandas(scan, "f int, pos double, every double").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
+        sums = distinct.mapInPandas(scan, "f int, pos bigint, every bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
         got = sums.toPandas()  # at most DIMENSIONS + 1 rows
         shared.unpersist()
         pos, every = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-        pos[got["f"]], every[got["f"]] = got["pos"], got["every"]
+        pos[got["f"]], every[got["f"]] = got["pos"] * UNIT, got["every"]
         return pos[:-1], every[:-1], pos[-1], every[-1]
 
-    pos, every, n_pos, n_all = counts(None)
-    if not n_pos:
-        return None, 0
-    for k in range(1, ROUNDS + 1):
-        model = Model.fit(pos, every, n_pos, n_all)
-        pos, every, now, n_all = counts(model)
-        if abs(now - n_pos) <= 1e-3 * n_pos:
-            break
-        n_pos = now
-    return Model.fit(pos, every, n_pos, n_all), k
+    try:
+        pos, every, n_pos, n_all = counts(None)
+        if not n_pos:
+            return None, 0
+        for k in range(1, MOST_ROUNDS + 1):
+            model = Model.fit(pos, every, n_pos, n_all)
+            pos, every, now, n_all = counts(model)
+            if abs(now - n_pos) <= TOLERANCE * n_pos:
+                return Model.fit(pos, every, now, n_all), k
+            n_pos = now
+        raise RuntimeError(f"the share of residue still moves after {MOST_ROUNDS} rounds")
+    finally:
+        release(distinct)
 
 
 def score_passages(table: DataFrame, model: Model | None) -> DataFrame:
@@ -238,22 +281,22 @@ def score_passages(table: DataFrame, model: Model | None) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b.assign(log_odds=shared.value.log_odds(b["feats"]) + TRUST * b["trusted"]).drop(columns="feats")
+                yield b.assign(log_odds=shared.value.log_odds(b["feats"])).drop(columns="feats")
 
     kind = dict(table.dtypes)["doc_id"]
     return table.mapInPandas(scan, f"doc_id {kind}, passage int, trusted boolean, log_odds double")
 
 
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score (highest log-odds of a passage), n_passages and n_residue of every text that has passages.
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> DataFrame:
+    """doc_id, score (highest log-odds of a passage), n_passages, n_residue and rounds (of the training) of every text that has passages.
 
     Null and empty texts, and texts of code and marks only, have no passages and aren't given. Without any trusted passage
     all scores are -infinity. Rows that repeat an id are judged together; a null id forms one record. Texts are read
     whole. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    table = cut(passage_table(docs, doc_id, text), "passages")
-    model, _ = train(table)
+    table = cut(passage_table(docs, doc_id, text, beginnings), "passages")
+    model, rounds = train(table)
     scored = score_passages(table, model)
     return scored.groupBy("doc_id").agg(
-        F.max("log_odds").alias("score"), F.count("*").alias("n_passages"), F.sum((F.col("log_odds") >= threshold).cast("int")).alias("n_residue")
+        F.max("log_odds").alias("score"), F.count("*").alias("n_passages"), F.sum((F.col("log_odds") >= threshold).cast("int")).alias("n_residue"), F.lit(rounds).alias("rounds")
     )
