@@ -156,9 +156,53 @@ select concat_ws('>', t1, t2, t3) as pattern from k3 union all select concat_ws(
 """
 
 
+#: NFKC of the compatibility forms that the tables hold: full-width characters and ligatures; the other steps as stated.
+_WIDE = "".join(chr(c) for c in range(0xFF10, 0xFF5B))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF10, 0xFF5B)).replace("'", "''")
+
+
+def _words_sql(text: str) -> str:
+    for ligature, plain in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")):
+        text = f"replace({text}, '{ligature}', '{plain}')"
+    return f"regexp_extract_all(lower(regexp_replace(translate({text}, '{_WIDE}', '{_NARROW}'), '[\u00ad\u200b\u200c\u200d\ufeff]', '', 'g')), '[a-z0-9]+')"
+
+
+def _p9_sql(masks: tuple[str, ...]) -> str:
+    """d and i with their words; p: the diagonals on which a document and an item share a window of 13 words under a mask."""
+
+    def windows(of: str, key: str) -> str:
+        parts = []
+        for m, mask in enumerate(masks):
+            text = " || ' ' || ".join(f"ws[k + {j + 1}]" for j, bit in enumerate(mask) if bit == "1")
+            parts.append(f"select {key}, k, {m} as m, {text} as t from (select *, unnest(range(0, len(ws) - 12)) as k from {of} where len(ws) >= 13)")
+        return " union all ".join(parts)
+
+    return f"""
+d as (select doc_id, {_words_sql("text")} as ws from documents where text is not null and doc_id is not null),
+i as (select row_number() over () as n, item_id, ws from (select distinct item_id, {_words_sql("item_text")} as ws from eval_items where item_text is not null and item_id is not null)),
+dw as ({windows("d", "doc_id")}), iw as ({windows("i", "n")}),
+p as (select distinct doc_id, n, dw.k - iw.k as diag from dw join iw on dw.m = iw.m and dw.t = iw.t)"""
+
+
+_P9_OVERLAPS = f"""
+with {_p9_sql(("1111111111111", "1101100110101", "1010110011011"))},
+c as (select doc_id, n, item_id, diag, k, dws[k + 1] = iws[k - diag + 1] as eq from (select p.*, i.item_id, d.ws as dws, i.ws as iws, unnest(range(greatest(0, diag), least(len(d.ws), len(i.ws) + diag))) as k from p join d using (doc_id) join i using (n))),
+m as (select *, lag(k, 3) over (partition by doc_id, n, diag order by k) as k3 from c where not eq),
+e as (select c.*, case when m.k - m.k3 < 26 then m.k3 + 1 end as st from c left join m using (doc_id, n, diag, k)),
+f as (select *, coalesce(max(st) over w, min(k) over w) as start, count(*) filter (where not eq) over w as g, count(*) filter (where eq) over w as hits,
+  min(case when eq then k end) over (partition by doc_id, n, diag order by k rows between current row and unbounded following) as nxt from e window w as (partition by doc_id, n, diag order by k rows unbounded preceding)),
+r as (select doc_id, item_id, max(len) as n_run from (select doc_id, n, item_id, diag, g, count(*) filter (where eq) as len from f group by 1, 2, 3, 4, 5) group by 1, 2),
+o as (select a.doc_id, a.item_id, max((a.k - s.nxt + 1) * 1000000 + a.hits - b.hits + 1) as best from f a join f s on s.doc_id = a.doc_id and s.n = a.n and s.diag = a.diag and s.k = a.start
+  join f b on b.doc_id = a.doc_id and b.n = a.n and b.diag = a.diag and b.k = s.nxt where a.eq group by 1, 2)
+select r.doc_id, r.item_id, r.n_run::int as n_run, (best // 1000000)::int as n_overlap, (best % 1000000)::int as n_equal from r join o using (doc_id, item_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2_SQL,
+        "p9_found": f"with {_p9_sql(('1111111111111',))} select distinct doc_id, item_id from p join i using (n)",
+        "p9_overlaps": _P9_OVERLAPS,
         "p1_percentiles": _p1_sql(["func", "day"]),
         "p1_percentiles_all_days": _p1_sql(["func"]),
         "p4_found": _P4_SQL + "select rank, tid, min(seq_id) as first_seq_id, max(seq_id) as last_seq_id from s group by rank, tid, run having count(*) > 1",

@@ -152,16 +152,17 @@ class Features:
         words = (h * 0x9E3779B1 & 0xFFFFFFFF) >> 16
         follows = owner[1:] == owner[:-1]
         pairs = ((h[:-1] * 0x85EBCA6B + h[1:] * 0xC2B2AE35 + 0x27D4EB2F) & 0xFFFFFFFF) >> 16
-        repeats = np.fromiter((len(ts) >= 3 and self._repeats(ts) for ts in tokens), bool, len(tokens))
-        every = np.concatenate([owner[single] * DIMENSIONS + words[single], owner[1:][follows] * DIMENSIONS + pairs[follows], np.flatnonzero(repeats) * DIMENSIONS + DIMENSIONS - 1])
-        every = np.unique(every)
+        own = _distinct(owner[single] * DIMENSIONS + words[single])
+        many, different = np.bincount(owner[single], minlength=len(tokens)), np.bincount(own // DIMENSIONS, minlength=len(tokens))
+        repeats = np.flatnonzero((many >= 3) & (different * 2 <= many))
+        every = _distinct(np.concatenate([own, owner[1:][follows] * DIMENSIONS + pairs[follows], repeats * DIMENSIONS + DIMENSIONS - 1]))
         ends = np.searchsorted(every, np.arange(1, len(tokens)) * DIMENSIONS)
         return np.split((every % DIMENSIONS).astype(np.int32), ends) if len(tokens) else []
 
-    @staticmethod
-    def _repeats(tokens: list[str]) -> bool:
-        plain = [t for t in tokens if t[0] != "\x01" and len(t) < 40 and not t.isdigit()]
-        return len(plain) >= 3 and len(set(plain)) * 2 <= len(plain)
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def filler(passage: str) -> bool:
@@ -169,10 +170,28 @@ def filler(passage: str) -> bool:
     return len(plain) >= 4 and sum(w in FILLER_WORDS for w in plain) >= 0.6 * len(plain)
 
 
-def trusted(passage: str, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> bool:
-    """Whether a passage is known to be residue, but for filler."""
-    low = " ".join(passage.lower().replace("’", "'").split())
-    return "\x01slot" in low or low.startswith(beginnings) or bool(_TRUSTED_FORM.match(low))
+#: The first words of the trusted forms.
+_FORM_WORDS = (
+    "http", "status", "error", "code", "4", "5", "insert", "type", "write", "put", "paste", "add", "enter", "oops", "sorry", "failure", "your", "access",
+    "this", "method", "loading", "please", "kindly", "you", "enable", "allow", "activate", "turn", "switch",
+)
+
+
+class Trust:
+    """Whether a passage is known to be residue, but for filler; most passages are told by their first letters."""
+
+    def __init__(self, beginnings: Sequence[str] = TRUSTED_BEGINNINGS):
+        self.beginnings = tuple(beginnings)
+        self.first = {w[:2] for w in (*beginnings, *_FORM_WORDS)}
+
+    def __call__(self, passage: str) -> bool:
+        if "\x01slot" in passage:
+            return True
+        start = passage[:2].lower()
+        if start not in self.first and start[:1] not in self.first and not start[:1].isspace():
+            return False
+        low = " ".join(passage.lower().replace("’", "'").split())
+        return low.startswith(self.beginnings) or bool(_TRUSTED_FORM.match(low))
 
 
 def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> DataFrame:
@@ -180,16 +199,20 @@ def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple] = {}
-        features = Features()
+        features, trusted = Features(), Trust(beginnings)
         for b in batches:
-            # numbers don't matter to features, so many passages have been met before
-            rows = [(i, k, p, _NUMBER.sub("0", p)) for i, t in zip(b["doc_id"], b["_text"]) for k, p in enumerate(passages(t))]
+            rows = [(i, k, p) for i, t in zip(b["doc_id"], b["_text"]) for k, p in enumerate(passages(t))]
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [p for p in dict.fromkeys(r[3] for r in rows) if p not in known]
+            met: dict[str, tuple] = {}
+            # numbers don't matter to features, so many passages have been met before
+            same = {p: _NUMBER.sub("0", p) for p in dict.fromkeys(r[2] for r in rows)}
+            new = [s for s in dict.fromkeys(same.values()) if s not in known]
             known.update(zip(new, zip(features.of(new), map(filler, new))))
-            out = [(i, k, *known[same], p) for i, k, p, same in rows]
-            out = [(i, k, f, latin or trusted(p, beginnings)) for i, k, f, latin, p in out if len(f)]
+            for p, s in same.items():
+                f, latin = known[s]
+                met[p] = (f, latin or trusted(p)) if len(f) else None
+            out = [(i, k, *m) for i, k, p in rows if (m := met[p])]
             yield pd.DataFrame(out, columns=["doc_id", "passage", "feats", "trusted"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null")
