@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from calltide.functions.names import plain_name, plain_name_sql
 from calltide.llm import leaks, packing, patterns, residue, runs, sketch
 from calltide.operators.calls import distinct_rows
+from calltide.operators.skew import key_results
 from calltide.runtime import cut
 
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -19,24 +20,55 @@ VOCABULARY = os.environ.get("CALLTIDE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_SHORTEST, PATTERN_LONGEST = 0.3, 2, 3, 5
 
 
-def _daily_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """Exported calls with func and day, and what is measured of them."""
     rows = spark.read.parquet(f"{sf_dir}/export_records.parquet").select("func_id", "arrived_at", "tstart", "tend")
     rows = rows.withColumn("day", F.to_date("arrived_at")).withColumn("func", plain_name(F.col("func_id")))
     a, b = F.col("tstart").cast("double"), F.col("tend").cast("double")
-    return sketch.sketch(rows, ["func", "day"], {"tstart": a, "tend": b, "duration": b - a}, sketch.Accuracy(ERROR))
+    return rows, {"tstart": a, "tend": b, "duration": b - a}
+
+
+def p1_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of each function and day of arrival: bucket counts of tstart, tend and tend - tstart, over the rows as stored.
+
+    Counts of other days, files or runs are added to these by ``sketch.combine``; percentiles come from either.
+    """
+    rows, values = _measured(spark, sf_dir)
+    return sketch.sketch(rows, ["func", "day"], values, sketch.Accuracy(ERROR))
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of tstart, tend and tend - tstart per function and day of arrival, over the rows as stored."""
-    return sketch.percentiles(cut(_daily_sketch(spark, sf_dir), "sketch"), ["func", "day"], PROBS, sketch.Accuracy(ERROR))
+    """Percentiles of tstart, tend and tend - tstart per function and day, from the sketches."""
+    return sketch.percentiles(cut(p1_sketches(spark, sf_dir), "sketch"), ["func", "day"], PROBS, sketch.Accuracy(ERROR))
 
 
 def p1_percentiles_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per function, from the combined sketches of the days."""
-    both = cut(sketch.combine(cut(_daily_sketch(spark, sf_dir), "sketch"), ["func"]), "sketch")
+    both = cut(sketch.combine(cut(p1_sketches(spark, sf_dir), "sketch"), ["func"]), "sketch")
     return sketch.percentiles(both, ["func"], PROBS, sketch.Accuracy(ERROR))
 
 
+def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each percentile over all days with its exact value, and whether the estimate keeps the stated relative error.
+
+    Exact values come from refined histograms (``skew.key_results``), which gather no function's rows either.
+    """
+    rows, values = _measured(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("x")) for m, v in values.items()]))
+    x = F.col("_m.x")
+    long = rows.select("func", each.alias("_m")).select(F.to_json(F.struct("func", "_m.metric")).alias("key"), F.when(~F.isnan(x), x).alias("x"))
+    exact = key_results(long, ["key"], F.col("x"), F.lit(None).cast("bigint"), PROBS)
+    key = F.from_json("key_value", "func string, metric string")
+    names = [f"p{p * 100:g}" for p in PROBS]
+    pairs = lambda cols: F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(c).alias("v")) for p, c in zip(PROBS, cols)]))
+    exact = exact.select(key.alias("k"), pairs(names).alias("e")).select("k.func", "k.metric", "e.p", F.col("e.v").alias("exact"))
+    estimated = p1_percentiles_all_days(spark, sf_dir).select("func", "metric", "rel_error", pairs(names).alias("e")).select("func", "metric", "rel_error", "e.p", F.col("e.v").alias("estimate"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("func", "metric", "p")]
+    close = F.abs(F.col("b.estimate") - F.col("a.exact")) <= F.col("b.rel_error") * F.abs(F.col("a.exact"))
+    kept = F.when(F.col("a.exact").isNull(), F.col("b.estimate").isNull()).otherwise(close)
+    return exact.alias("a").join(estimated.alias("b"), on).select("a.func", "a.metric", "a.p", "a.exact", kept.alias("kept"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded calls, each (rank, seq_id) once: the row with the most of its fields."""
     rows = spark.read.parquet(f"{sf_dir}/records.parquet").select("rank", "seq_id", "tid", "terminal_id", "func_id", "func", "tick_start", "tick_end")
@@ -106,7 +138,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_percentiles_all_days, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_sketches, p1_percentiles, p1_percentiles_all_days, p1_errors, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps, p10_found, p10_scores)}
 
 
 def _p1_sql(groups: list[str]) -> str:
@@ -126,6 +158,22 @@ select c.*, {a.error}::double as rel_error, f.* exclude ({by}) from k c left joi
 """
 
 
+_P1_ROWS = f"""
+r as (select {plain_name_sql("func_id")} as func, arrived_at::date as day, tstart::double as a, tend::double as b from export_records),
+v as (select func, day, 'tstart' as metric, a as x from r union all select func, day, 'tend', b from r union all select func, day, 'duration', b - a from r)
+"""
+#: gamma = (1 + a) / (1 - a) of the inner error a = 0.01 - 2e-7.
+_P1_SKETCHES = f"""
+with {_P1_ROWS}, k as (select *, case when x is null then 'null' when isnan(x) then 'nan' when x = 'inf'::double then 'inf' when x = '-inf'::double then '-inf' else 'value' end as kind from v)
+select func, day, metric, kind, case when kind = 'value' then sign(x)::int end as sign, case when kind = 'value' then case when x = 0 then 0 else ceil(ln(abs(x)) / ln((1 + 0.0099998::double) / (1 - 0.0099998::double)))::int end end as bucket, count(*) as n from k group by all
+"""
+_P1_ERRORS = f"""
+with {_P1_ROWS}, n as (select func, metric, x, row_number() over (partition by func, metric order by x) - 1 as i, count(*) over (partition by func, metric) as m from v where x is not null and not isnan(x)),
+q as (select unnest([{", ".join(f"{p}::double" for p in PROBS)}]) as p), g as (select distinct func, metric from v)
+select g.func, g.metric, q.p, max(n.x) as exact, true as kept from g cross join q left join n on n.func is not distinct from g.func and n.metric = g.metric and n.i = floor(q.p * (n.m - 1)) group by 1, 2, 3
+"""
+
+
 _P4_SQL = f"""
 with l as (select func_id, {plain_name_sql("name")} as name from function_list),
 d as (select *, row_number() over (partition by rank, seq_id order by
@@ -203,6 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2_SQL,
         "p9_found": f"with {_p9_sql(('1111111111111',))} select distinct doc_id, item_id from p join i using (n)",
         "p9_overlaps": _P9_OVERLAPS,
+        "p1_sketches": _P1_SKETCHES,
+        "p1_errors": _P1_ERRORS,
         "p1_percentiles": _p1_sql(["func", "day"]),
         "p1_percentiles_all_days": _p1_sql(["func"]),
         "p4_found": _P4_SQL + "select rank, tid, min(seq_id) as first_seq_id, max(seq_id) as last_seq_id from s group by rank, tid, run having count(*) > 1",
