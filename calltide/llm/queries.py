@@ -77,7 +77,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.closed_patterns(_records(spark, sf_dir), "rank", "seq_id", "terminal_id", PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_LONGEST)
+    rows = spark.read.parquet(f"{sf_dir}/records.parquet").select("rank", "seq_id", "terminal_id")
+    return patterns.closed_patterns(rows, "rank", "seq_id", "terminal_id", PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_LONGEST)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
