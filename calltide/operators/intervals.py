@@ -13,34 +13,52 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calltide.runtime import cut
+from calltide.runtime import BROADCAST_ROWS, cut
 
-#: At most so many groups are treated as hot, so that the table of their block bounds may be broadcast.
-MAX_HOT_GROUPS = 2_000
-BLOCKS_PER_HOT_GROUP = 64
+#: A round cuts a hot group into up to so many blocks; what is still too large is cut again by the next.
+BLOCKS_PER_ROUND = 1024
+SALTS = 32
 
 
 def _blocked(ranges: DataFrame, keys: list[str], rows_per_block: int) -> DataFrame:
-    """ranges with a column _block which grows with the offset; 0 in all groups of up to rows_per_block ranges."""
-    sizes = ranges.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = ranges.agg(F.count("*")).first()[0]
-    least = max(rows_per_block, total // MAX_HOT_GROUPS)
-    hot = sizes.filter(F.col("_n") > least).select(*keys)
-    if not hot.take(1):
-        return ranges.withColumn("_block", F.lit(0))
-    hot = cut(hot, "hot-groups")
-    steps = [(i + 1) / BLOCKS_PER_HOT_GROUP for i in range(BLOCKS_PER_HOT_GROUP - 1)]
-    same = [ranges[k].eqNullSafe(hot[k]) for k in keys]
-    bounds = (
-        ranges.join(F.broadcast(hot), same, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_from", F.array(*map(F.lit, steps)), F.lit(1_000)).alias("_bounds"))
-    )
-    bounds = cut(bounds, "block-bounds")
-    b = F.broadcast(bounds.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_bounds"))
-    joined = ranges.join(b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys], "left")
-    block = F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col("_from"))), F.lit(0))
-    return joined.withColumn("_block", F.when(F.col("_bounds").isNull(), 0).otherwise(block)).drop("_bounds", *[f"_hot_{k}" for k in keys])
+    """ranges with a column _block which grows with the offset; 0 in all groups of up to rows_per_block offsets.
+
+    A larger group is cut at quantiles of its offsets into blocks of about that many, so the number of blocks follows
+    its size, and bounds are one number for rows_per_block rows. Repeats of one offset aren't cut; they become one row.
+    """
+    out = ranges.withColumn("_block", F.lit(0).cast("bigint"))
+    by = [*keys, "_block"]
+    while True:
+        sizes = out.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_block)
+        if not sizes.take(1):
+            return out
+        large = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+        inside = out.alias("r").join(large.alias("h"), [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by], "left_semi")
+        hot = inside.groupBy(*by, "_from").agg(F.lit(1).alias("_1")).groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_block)
+        hot = cut(hot, "hot-groups")
+        n_hot = hot.count()
+        if not n_hot:
+            return out
+        # quantiles of distinct offsets: every so-many-th of them, so that blocks hold about rows_per_block; at least the median
+        each = F.least(F.ceil(F.lit(BLOCKS_PER_ROUND * rows_per_block) / F.col("h._n")), F.lit(BLOCKS_PER_ROUND // 2))
+        steps = F.array(*[F.lit((i + 1) / BLOCKS_PER_ROUND) for i in range(BLOCKS_PER_ROUND - 1)])
+        offsets = out.groupBy(*by, "_from").agg(F.lit(1).alias("_1"))
+        few = n_hot <= BROADCAST_ROWS
+        offsets = offsets.alias("r").join((F.broadcast(hot) if few else hot).alias("h"), [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by])
+        quantiles = offsets.groupBy(*[F.col(f"r.{k}").alias(f"_b_{k}") for k in by]).agg(F.percentile_approx("r._from", steps, F.lit(10_000)).alias("_q"), F.max(each).alias("_each"))
+        bounds = quantiles.select(*[f"_b_{k}" for k in by], F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % F.col("_each") == 0)).alias("_bounds"))
+        bounds = cut(bounds, "block-bounds")
+        n_bounds = bounds.agg(F.sum(F.size("_bounds"))).first()[0] or 0
+        same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by]
+        if few and n_bounds <= 10 * BROADCAST_ROWS:
+            joined = out.join(F.broadcast(bounds), same, "left")
+        else:
+            salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+            salted = out.withColumn("_salt", F.pmod(F.xxhash64("_from"), F.lit(SALTS)))
+            joined = salted.join(bounds.withColumn("_b_salt", F.explode(salts)), [*same, F.col("_salt") == F.col("_b_salt")], "left").drop("_salt", "_b_salt")
+        within = F.coalesce(F.size(F.filter("_bounds", lambda x: x < F.col("_from"))), F.lit(0))
+        number = F.col("_block") * BLOCKS_PER_ROUND + F.when(F.col("_bounds").isNull(), 0).otherwise(within)
+        out = joined.withColumn("_block", number).drop("_bounds", *[f"_b_{k}" for k in by])
 
 
 def merged_ranges(

@@ -160,6 +160,7 @@ union all select rank, 'recv', count(*)::bigint from t where (rank, seq_id) not
         "g1_edges": f"""with {_MESSAGES}, e as (select src, send_seq, dst, recv_seq from m where sent < received), n as (select src as rank, send_seq as seq_id from e union select dst, recv_seq from e),
 p as (select rank, seq_id, lead(seq_id) over (partition by rank order by seq_id) as nxt from n)
 select rank as src_rank, seq_id as src_seq, rank as dst_rank, nxt as dst_seq, 'program' as kind from p where nxt is not null union all select src, send_seq, dst, recv_seq, 'p2p' from e""",
+        "st2_rates": "select epoch_us(date_trunc('hour', ts)) as from_us, event_type, count(*)::bigint as n_calls, sum(floor(value)::bigint)::bigint as bytes from events group by 1, 2",
         "o6_cursor_intervals": f"with {_INTERVALS} select * from iv",
         "j2_event_conflicts": f"""with {_INTERVALS}, v as (select *, "offset" as a, "offset" + count as z, case when is_read then 'read' else 'write' end as rw from iv),
 cc as (select x.filename, (x.a, x.rank, x.seq_id) > (y.a, y.rank, y.seq_id) as swap, x.rank as r1, x.seq_id as s1, x.rw as w1, x.a as o1, y.rank as r2, y.seq_id as s2, y.rw as w2, y.a as o2

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from calltide.functions.values import duration
 from calltide.operators.calls import distinct_rows, export_preference
-from calltide.operators.features import entity_features
+from calltide.operators import intervals
+from calltide.operators.features import entity_features, entity_type_rows
 from calltide.operators.intervals import gaps, merged_ranges, stretches
 from calltide.operators.skew import heavy_keys, key_results
 from calltide.streaming.compact import compact, finish, stage
@@ -51,11 +52,18 @@ def random_ranges(seed, n=600):
     return rows + rows[:20]
 
 
-@pytest.mark.parametrize("block", [1_000_000, 20])
-def test_ranges_like_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "per_round", "broadcast"), [(1_000_000, 1024, True), (20, 1024, True), (30, 4, True), (40, 8, False)])
+def test_ranges_like_brute_force(spark, monkeypatch, block, per_round, broadcast):
+    monkeypatch.setattr(intervals, "BLOCKS_PER_ROUND", per_round)
+    if not broadcast:
+        monkeypatch.setattr(intervals, "BROADCAST_ROWS", 0)
     rows = random_ranges(3)
     df = spark.createDataFrame(rows, RANGE)
     merged = merged_ranges(df, rows_per_block=block)
+    if block < 100:  # blocks follow the size of the group, and repeats of one offset aren't cut
+        rows_in = df.filter("`offset` is not null and `count` > 0").select("filename", "rank", F.col("offset").alias("_from"))
+        sizes = intervals._blocked(rows_in, ["filename", "rank"], block).groupBy("filename", "rank", "_block").agg(F.count_distinct("_from").alias("n")).collect()
+        assert max(r.n for r in sizes) <= 2 * block and len(sizes) > 5
     want_gaps, want = covered(rows)
     assert {tuple(r) for r in gaps(merged).collect()} == want_gaps
     got = {(r.filename, r.rank, r.stretch_start, r.stretch_end, r.first_tstart, r.last_tstart, r.n_ranges) for r in stretches(merged).collect()}
@@ -93,6 +101,11 @@ def test_features(spark):
             assert (got[rank][f"{t}_n"], got[rank][f"{t}_total_us"]) == (len(mine), total)
             assert got[rank][f"{t}_since_us"] == (now - max(starts) if starts else None)
         assert got[rank]["never_n"] == 0 and got[rank]["never_since_us"] is None
+    long = entity_type_rows(df, "rank", F.col("func"), F.col("a"), F.col("b"), ["index"], ["never"], salts=4).collect()
+    assert {(r["rank"], r["type"]) for r in long} == {(k, t) for k in (0, 1, None) for t in ("r", "w", "x", "unknown", "never")} and len(long) == 15
+    for r in long:
+        assert (r.n, r.since_us, r.total_us) == tuple(got[r["rank"]][f"{r['type']}_{c}"] for c in ("n", "since_us", "total_us"))
+    assert entity_type_rows(df.limit(0), "rank", F.col("func"), F.col("a"), F.col("b"), ["index"], ["t"]).count() == 0
     assert entity_features(df.limit(0), "rank", F.col("func"), F.col("a"), F.col("b"), ["index"], ["t"]).count() == 0
 
 
