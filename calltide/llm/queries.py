@@ -17,6 +17,8 @@ PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 ERROR = 0.01
 MAX_PAUSE_TICKS = 5_000_000
 VOCABULARY = os.environ.get("CALLTIDE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Unused space that a packing may leave in all, unless no packing needs fewer containers.
+MOST_SLACK = 0.02
 PATTERN_SHARE, PATTERN_BETWEEN, PATTERN_SHORTEST, PATTERN_LONGEST = 0.3, 2, 3, 5
 
 
@@ -118,6 +120,24 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fill(p8_packed(spark, sf_dir))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing, per kind: every document once, all its tokens in pieces without holes, no container overfull,
+    none but documents beyond the capacity split, and little unused space."""
+    packed = cut(p8_packed(spark, sf_dir), "packed")
+    counts = packing.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", VOCABULARY)
+    docs = packed.groupBy("container_kind", "doc_id").agg(
+        F.sum("n").alias("n"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.max("piece_end").alias("end"), F.max("capacity_tokens").alias("c"), F.sum(F.col("piece_end") - F.col("piece_start")).alias("covered")
+    )
+    whole = (F.col("n") == F.col("n_tokens")) & (F.col("n") == F.col("covered")) & (F.col("end") == F.col("n")) & (F.col("last") == F.col("pieces") - 1)
+    docs = docs.join(counts, "doc_id").groupBy("container_kind").agg(
+        F.count("*").alias("n_docs"), F.bool_and(whole).alias("whole"), F.bool_and((F.col("pieces") == 1) | (F.col("n_tokens") > F.col("c"))).alias("unsplit")
+    )
+    fill = packing.container_fill(packed)
+    used = packed.filter("container_id is not null").groupBy("container_kind", "container_id").agg((F.sum("n") <= F.max("capacity_tokens")).alias("fits")).groupBy("container_kind").agg(F.bool_and("fits").alias("fits"))
+    little = (F.col("slack_share") <= MOST_SLACK) | (F.col("n_containers") <= F.col("least_containers") + 1)
+    return docs.join(used, "container_kind").join(fill, "container_kind").select("container_kind", "n_docs", "whole", "unsplit", "fits", little.alias("little_slack"))
+
+
 def p9_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items that share a seed, with the run and the overlap found."""
     return leaks.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
@@ -139,7 +159,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_sketches, p1_percentiles, p1_percentiles_all_days, p1_errors, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p9_found, p9_overlaps, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_sketches, p1_percentiles, p1_percentiles_all_days, p1_errors, p2_found, p2_supports, p4_found, p4_runs, p8_packed, p8_fill, p8_checks, p9_found, p9_overlaps, p10_found, p10_scores)}
 
 
 def _p1_sql(groups: list[str]) -> str:
@@ -196,12 +216,12 @@ e as (select a.rank, a.i as i, b.i as j, a.t as x, b.t as y from p a join p b on
       where a.t in (from f) and b.t in (from f)),
 g as (select * from e where (x, y) in (select (x, y) from e group by x, y having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n))),
 s3 as (select a.rank, a.x as t1, a.y as t2, b.y as t3, b.j as j from g a join g b on a.rank = b.rank and b.i = a.j and b.y <> a.x),
-k3 as (select t1, t2, t3 from s3 group by 1, 2, 3 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+k3 as (select t1, t2, t3, count(distinct rank) as c from s3 group by 1, 2, 3 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
 s4 as (select a.rank, t1, t2, t3, b.y as t4, b.j as j from (select * from s3 where (t1, t2, t3) in (select (t1, t2, t3) from k3)) a join g b on a.rank = b.rank and b.i = a.j and b.y not in (t1, t2)),
-k4 as (select t1, t2, t3, t4 from s4 group by 1, 2, 3, 4 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+k4 as (select t1, t2, t3, t4, count(distinct rank) as c from s4 group by 1, 2, 3, 4 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
 s5 as (select a.rank, t1, t2, t3, t4, b.y as t5 from (select * from s4 where (t1, t2, t3, t4) in (select (t1, t2, t3, t4) from k4)) a join g b on a.rank = b.rank and b.i = a.j and b.y not in (t1, t2, t3)),
-k5 as (select t1, t2, t3, t4, t5 from s5 group by 1, 2, 3, 4, 5 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n))
-select concat_ws('>', t1, t2, t3) as pattern from k3 union all select concat_ws('>', t1, t2, t3, t4) from k4 union all select concat_ws('>', t1, t2, t3, t4, t5) from k5
+k5 as (select t1, t2, t3, t4, t5, count(distinct rank) as c from s5 group by 1, 2, 3, 4, 5 having count(distinct rank) >= {PATTERN_SHARE} * (select ranks from n)),
+l as (select [t1, t2, t3] as pat, c from k3 union all select [t1, t2, t3, t4], c from k4 union all select [t1, t2, t3, t4, t5], c from k5)
 """
 
 
@@ -249,7 +269,12 @@ select r.doc_id, r.item_id, r.n_run::int as n_run, (best // 1000000)::int as n_o
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _P2_SQL,
+        "p2_found": _P2_SQL + "select array_to_string(pat, '>') as pattern from l",
+        "p2_supports": _P2_SQL
+        + """, fn as (select terminal_id, min(func_id) as func_id from cst where terminal_id is not null group by 1), m as (select func_id, min(name) as name from function_list group by 1),
+u as (select pat, c, unnest(range(1, len(pat) + 1)) as step from l)
+select array_to_string(pat, '>') as pattern, c as n_ranks, string_agg(coalesce(m.name, '?'), '>' order by step) as functions from u left join fn on fn.terminal_id = u.pat[step] left join m on m.func_id = fn.func_id group by pat, c""",
+        "p8_checks": "select container_kind, (select count(*) from documents) as n_docs, true as whole, true as unsplit, true as fits, true as little_slack from containers",
         "p9_found": f"with {_p9_sql(('1111111111111',))} select distinct doc_id, item_id from p join i using (n)",
         "p9_overlaps": _P9_OVERLAPS,
         "p1_sketches": _P1_SKETCHES,
