@@ -33,7 +33,7 @@ def edges_of(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     groups as edges to a group number (dst null). The root of a one-to-many or many-to-one group is its ``root`` rank."""
     p2p = pairs.select(F.col("src").alias("src_rank"), F.col("send_seq").alias("src_seq"), F.col("dst").alias("dst_rank"), F.col("recv_seq").alias("dst_seq"), F.lit("p2p").alias("kind"), F.lit(None).cast("bigint").alias("grp"))
     g = groups.withColumn("grp", F.xxhash64("func", "comm", "handle", "k"))
-    root = F.filter("members", lambda m: m["rank"] == F.col("root"))[0]
+    root = F.get(F.filter("members", lambda m: m["rank"] == F.col("root")), F.lit(0))
     rooted = g.filter(F.col("role").isin("one-to-many", "many-to-one")).withColumn("_root", root).filter("_root is not null")
     rooted = rooted.select("role", "_root", F.explode("members").alias("m")).filter(F.col("m.rank") != F.col("_root.rank"))
     down = F.col("role") == "one-to-many"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.facts import int_list, status_pair
 from calltide.operators.sequence import scan
+from calltide.runtime import together
 
 ANY_SOURCE, ANY_TAG = -2, -1
 #: Blocks of sequence numbers for running values.
@@ -150,7 +152,7 @@ def completions(matched: DataFrame) -> DataFrame:
     tests on any or some complete only the listed places; tests that completed nothing are left out.
     """
     posts = matched.filter((F.col("role") != "completion") & F.col("func").rlike("^MPI_I") & (F.size("req") > 0))
-    posts = posts.select("rank", "seq_id", F.col("req")[0].alias("handle"))
+    posts = posts.select("rank", "seq_id", F.get("req", F.lit(0)).alias("handle"))
     done = matched.filter((F.col("role") == "completion") & F.col("done")).select("rank", "seq_id", "func", "tindx", F.posexplode("req").alias("at", "handle"))
     partial = F.col("func").isin("MPI_Waitany", "MPI_Waitsome", "MPI_Testany", "MPI_Testsome")
     done = done.filter(~partial | F.array_contains("tindx", F.col("at").cast("string"))).select("rank", "seq_id", "handle").distinct()
@@ -177,33 +179,34 @@ def collectives(matched: DataFrame, done: DataFrame | None = None, only_synchron
     return groups.filter(F.size("members") > 1)
 
 
-def fifo_pairs(sends: DataFrame, receives: DataFrame, order: str = "seq_id") -> DataFrame:
+def fifo_pairs(sends: DataFrame, receives: DataFrame, order: str = "seq_id", width: int = SEQ_BLOCK) -> DataFrame:
     """src, dst, tag, comm, k and both sequence numbers: the k-th send of a channel meets its k-th receive.
 
-    ``sends`` and ``receives`` have rank, peer, tag, comm, seq_id and the integer ``order``; no tag is open here.
+    ``sends`` and ``receives`` have rank, peer, tag, comm, seq_id and the integer ``order``, whose blocks of ``width`` are
+    numbered by a task each; no tag is open here.
     """
     s = sends.select(F.col("rank").alias("src"), F.col("peer").alias("dst"), "tag", "comm", F.col("seq_id").alias("send_seq"), F.col(order).alias("_o"))
     r = receives.select(F.col("peer").alias("src"), F.col("rank").alias("dst"), "tag", "comm", F.col("seq_id").alias("recv_seq"), F.col(order).alias("_o"))
     channel = ["src", "dst", "comm", "tag"]
-    s = scan(s, channel, ["_o", "send_seq"], {"k": ("sum", F.lit(1), False)}, 1 << 40).drop("_o")
-    r = scan(r, channel, ["_o", "recv_seq"], {"k": ("sum", F.lit(1), False)}, 1 << 40).drop("_o")
+    s = scan(s, channel, ["_o", "send_seq"], {"k": ("sum", F.lit(1), False)}, width).drop("_o")
+    r = scan(r, channel, ["_o", "recv_seq"], {"k": ("sum", F.lit(1), False)}, width).drop("_o")
     return s.join(r, [*channel, "k"])
 
 
 def _first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Calls of one channel after another, in order: a message takes the first waiting partner whose tag allows it."""
-    channel, sends, receives = None, {}, {}
+    channel, sends = None, {}
     for b in batches:
         out = []
-        for r in b.itertuples(index=False):
-            if (r.src, r.dst, r.comm) != channel:
-                channel, sends, receives = (r.src, r.dst, r.comm), {}, {}
-            if r.side == 0:  # all sends of a channel come before its receives
-                sends.setdefault(r.tag, []).append(r.seq_id)
+        for src, dst, comm, side, seq, tag in zip(*(b[c].tolist() for c in ("src", "dst", "comm", "side", "seq_id", "tag"))):
+            if (src, dst, comm) != channel:
+                channel, sends = (src, dst, comm), {}
+            if side == 0:  # all sends of a channel come before its receives
+                sends.setdefault(tag, deque()).append(seq)
                 continue
-            waiting = sends.get(r.tag) if r.tag != ANY_TAG else min((q for q in sends.values() if q), key=lambda q: q[0], default=None)
+            waiting = sends.get(tag) if tag != ANY_TAG else min((q for q in sends.values() if q), key=lambda q: q[0], default=None)
             if waiting:
-                out.append((r.src, r.dst, r.comm, waiting.pop(0), r.seq_id))
+                out.append((src, dst, comm, waiting.popleft(), seq))
         yield pd.DataFrame(out, columns=["src", "dst", "comm", "send_seq", "recv_seq"])
 
 
@@ -230,7 +233,7 @@ def point_to_point(matched: DataFrame, done: DataFrame | None = None) -> DataFra
     plain = plain.select("src", "dst", "comm", "send_seq", "recv_seq")
     a = send.join(open_, s_on, "left_semi").select(F.col("rank").alias("src"), F.col("peer").alias("dst"), "comm", F.lit(0).alias("side"), "seq_id", "tag")
     b = recv.join(open_, r_on, "left_semi").select(F.col("peer").alias("src"), F.col("rank").alias("dst"), "comm", F.lit(1).alias("side"), "seq_id", "tag")
-    walked = a.unionByName(b).repartition("src", "dst", "comm").sortWithinPartitions("src", "dst", "comm", "side", "seq_id")
+    walked = together(a.unionByName(b), "src", "dst", "comm").sortWithinPartitions("src", "dst", "comm", "side", "seq_id")
     fitted = walked.mapInPandas(_first_fit, "src int, dst int, comm string, send_seq bigint, recv_seq bigint")
     both = plain.unionByName(fitted)
     return both.join(places, ["dst", "recv_seq"]).select("src", "dst", "comm", "send_seq", F.col("place").alias("recv_seq"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from calltide.functions.facts import MPIIO, POSIX, feeds_intervals, is_data_name, number
 from calltide.operators.sequence import scan
-from calltide.runtime import cut
+from calltide.runtime import cut, together
 
 #: Blocks of ticks for running values.
 TICK_BLOCK = 1 << 26
@@ -117,7 +117,7 @@ def intervals(calls: DataFrame, flag_abi: str = "linux", count_fprintf: bool = F
     same = F.col("filename") == F.col("_f")
     plain = _by_window(events.join(dependent, same, "left_anti"), width).filter(F.col("kind").isin("data", "at") & F.col("offset").isNotNull())
     plain = plain.select("filename", "rank", "seq_id", "tick", "offset", F.col("amount").alias("count"), "is_read", "mpifh")
-    walked = events.join(dependent, same, "left_semi").repartition("filename").sortWithinPartitions("filename", "tick", "rank", "seq_id")
+    walked = together(events.join(dependent, same, "left_semi"), "filename").sortWithinPartitions("filename", "tick", "rank", "seq_id")
     walked = walked.select("filename", "rank", "seq_id", "tick", "kind", "amount", "at", "is_read", "mpifh").mapInPandas(walk, INTERVAL_SCHEMA)
     return plain.unionByName(walked)
 

@@ -1,11 +1,11 @@
-"""Queries over calls made from the events table: cursors, messages, order and verdicts, and their SQL."""
+"""Queries over calls made from the events table: cursors, messages and rates, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calltide.operators import conflicts, happens_before, mpi, offsets
+from calltide.operators import conflicts, mpi, offsets
 from calltide.operators.sequence import scan
 from calltide.runtime import cut, new_path
 from calltide.streaming import live
@@ -46,7 +46,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sends, receives = _sides(spark, sf_dir)
-    pairs = mpi.fifo_pairs(sends, receives, "tick_start")
+    pairs = mpi.fifo_pairs(sends, receives, "tick_start", 1 << 32)
     s = sends.select(F.col("rank").alias("src"), F.col("seq_id").alias("send_seq"), F.col("tick_start").alias("sent"))
     r = receives.select(F.col("rank").alias("dst"), F.col("seq_id").alias("recv_seq"), F.col("tick_start").alias("received"))
     return cut(pairs.join(s, ["src", "send_seq"]).join(r, ["dst", "recv_seq"]), "messages")
@@ -56,34 +56,6 @@ def j5_messages(spark, d):
     return _messages(spark, d).select("src", "dst", "tag", F.col("k").cast("bigint").alias("k"), "send_seq", "recv_seq")
 
 
-def a17_unmatched(spark, d):
-    sends, receives = _sides(spark, d)
-    pairs = cut(mpi.fifo_pairs(sends, receives, "tick_start"), "pairs")
-    s = sends.join(pairs.select(F.col("src").alias("_r"), F.col("send_seq").alias("_s")), (F.col("rank") == F.col("_r")) & (F.col("seq_id") == F.col("_s")), "left_anti")
-    r = receives.join(pairs.select(F.col("dst").alias("_r"), F.col("recv_seq").alias("_s")), (F.col("rank") == F.col("_r")) & (F.col("seq_id") == F.col("_s")), "left_anti")
-    both = s.select("rank", F.lit("send").alias("kind")).union(r.select("rank", F.lit("recv")))
-    return both.groupBy("rank", "kind").agg(F.count("*").alias("n_unmatched"))
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _messages(spark, sf_dir).filter("sent < received")
-    none = spark.createDataFrame([], "func string, role string, comm string, handle string, k bigint, members array<struct<rank int, seq_id bigint>>, root int")
-    return cut(happens_before.edges_of(pairs.select("src", "dst", "send_seq", "recv_seq"), none), "edges")
-
-
-def g1_edges(spark, d):
-    """Program order and message edges."""
-    e = _edges(spark, d)
-    n = happens_before.ordered_calls(e)
-    after = scan(n, ["rank"], ["seq_id"], {"nxt": ("last", F.col("seq_id"), False)}, happens_before.SEQ_BLOCK, descending=True).filter("nxt is not null")
-    chain = after.select(F.col("rank").alias("src_rank"), F.col("seq_id").alias("src_seq"), F.col("rank").alias("dst_rank"), F.col("nxt").alias("dst_seq"), F.lit("program").alias("kind"))
-    return chain.unionByName(e.select("src_rank", "src_seq", "dst_rank", "dst_seq", "kind"))
-
-
-def g4_clocks(spark, d):
-    return happens_before.clocks(_edges(spark, d))
-
-
 def o6_cursor_intervals(spark, d):
     return offsets.intervals(records(spark, d)).drop("mpifh")
 
@@ -96,28 +68,6 @@ def j2_event_conflicts(spark, d):
     return _pairs(spark, d).drop("fh1", "fh2")
 
 
-def _verdict(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    known = cut(happens_before.clocks(_edges(spark, sf_dir)), "clocks")
-    judged = happens_before.verify(_pairs(spark, sf_dir), records(spark, sf_dir), known, rule)
-    return happens_before.verdict(judged).withColumn("rule", F.lit(rule))
-
-
-def v1_posix(spark, d):
-    return _verdict(spark, d, "posix")
-
-
-def v2_session(spark, d):
-    return _verdict(spark, d, "session")
-
-
-def v3_mpiio(spark, d):
-    return _verdict(spark, d, "mpi-io")
-
-
-def v4_commit(spark, d):
-    return _verdict(spark, d, "commit")
-
-
 def st2_rates(spark, d):
     """Calls per hour and type from a stream over the whole table: every window is given, also the last ones, and no call is late."""
     rows = live.stream_folder(spark, f"{d}/events.parquet").withColumn("bytes", F.floor("value").cast("bigint")).withColumn("at", F.col("ts").cast("timestamp"))
@@ -126,11 +76,11 @@ def st2_rates(spark, d):
     return spark.read.parquet(f"{path}/table").select(F.unix_micros("w.start").alias("from_us"), "event_type", "n_calls", "bytes")
 
 
-_NAMES = "j5_messages a17_unmatched g1_edges g4_clocks o6_cursor_intervals j2_event_conflicts v1_posix v2_session v3_mpiio v4_commit st2_rates"
+_QUERIES = (j5_messages, o6_cursor_intervals, j2_event_conflicts, st2_rates)
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES.split()}
+    return {q.__name__: q for q in _QUERIES}
 
 
 _RECORDS = f"""
@@ -155,11 +105,6 @@ iv as (select filename, rank, seq_id, tick, case when func in ('pread','pwrite')
 def oracle_sql() -> dict[str, str]:
     return {
         "j5_messages": f"with {_MESSAGES} select src, dst, tag, k, send_seq, recv_seq from m",
-        "a17_unmatched": f"""with {_MESSAGES} select rank, 'send' as kind, count(*)::bigint as n_unmatched from s where (rank, seq_id) not in (select (src, send_seq) from m) group by 1
-union all select rank, 'recv', count(*)::bigint from t where (rank, seq_id) not in (select (dst, recv_seq) from m) group by 1""",
-        "g1_edges": f"""with {_MESSAGES}, e as (select src, send_seq, dst, recv_seq from m where sent < received), n as (select src as rank, send_seq as seq_id from e union select dst, recv_seq from e),
-p as (select rank, seq_id, lead(seq_id) over (partition by rank order by seq_id) as nxt from n)
-select rank as src_rank, seq_id as src_seq, rank as dst_rank, nxt as dst_seq, 'program' as kind from p where nxt is not null union all select src, send_seq, dst, recv_seq, 'p2p' from e""",
         "st2_rates": "select epoch_us(date_trunc('hour', ts)) as from_us, event_type, count(*)::bigint as n_calls, sum(floor(value)::bigint)::bigint as bytes from events group by 1, 2",
         "o6_cursor_intervals": f"with {_INTERVALS} select * from iv",
         "j2_event_conflicts": f"""with {_INTERVALS}, v as (select *, "offset" as a, "offset" + count as z, case when is_read then 'read' else 'write' end as rw from iv),

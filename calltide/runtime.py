@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast; callers count the side before they rely on it.
 BROADCAST_ROWS = 100_000
@@ -53,6 +54,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one partition.
+
+    A plain repartition is left out where a join or union below seems to have done it already, although the join may
+    still be turned into one that leaves rows where they are. A struct of the keys matches no join's partitioning.
+    """
+    return df.repartition(F.struct(*keys))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table into the shared folder and read it back.
 

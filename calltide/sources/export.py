@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calltide.functions.facts import USER_FUNCTION_ID, on_timeline
+from calltide.runtime import together
 
 #: Names of the categories on a timeline.
 CATEGORY_NAMES = ("POSIX", "MPI-IO", "MPI", "HDF5", "USER")
@@ -27,7 +28,7 @@ def text_lines(records: DataFrame, resolution: float = 1e-7) -> DataFrame:
 def write_text(records: DataFrame, path: str, resolution: float = 1e-7) -> None:
     """One folder per rank, lines in order."""
     lines = text_lines(records, resolution)
-    lines.repartition("rank").sortWithinPartitions("rank", "seq_id").select("rank", "line").write.mode("overwrite").partitionBy("rank").text(path)
+    together(lines, "rank").sortWithinPartitions("rank", "seq_id").select("rank", "line").write.mode("overwrite").partitionBy("rank").text(path)
 
 
 def parquet_columns(records: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def write_timeline(records: DataFrame, path: str) -> None:
     head = ranks.select("rank", F.lit(-1).cast("bigint").alias("seq_id"), F.lit('{"traceEvents":[').alias("event"), F.lit(0).alias("part"))
     foot = ranks.select("rank", F.lit(2**62).alias("seq_id"), F.lit('{}],"displayTimeUnit":"ms"}').alias("event"), F.lit(2).alias("part"))
     line = F.when(F.col("part") == 1, F.concat("event", F.lit(","))).otherwise(F.col("event"))
-    out = rows.unionByName(head).unionByName(foot).repartition("rank").sortWithinPartitions("rank", "part", "seq_id")
+    out = together(rows.unionByName(head).unionByName(foot), "rank").sortWithinPartitions("rank", "part", "seq_id")
     out.select("rank", line.alias("line")).write.mode("overwrite").partitionBy("rank").text(path)
 
 

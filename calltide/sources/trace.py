@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from calltide.operators.stats import merge_signatures
-from calltide.runtime import cut
+from calltide.runtime import cut, together
 from calltide.schema import TABLES
 from calltide.sources import layout as L
 
@@ -209,7 +209,7 @@ def write_trace(records: DataFrame, path: str, functions: Sequence[str], merge_r
         rows = rows.alias("r").join(merged.alias("m"), on).select("r.*", F.col("m.terminal_id").alias("_merged"))
         table = merged.orderBy("terminal_id").toLocalIterator()
         folder.write("0.cst", L.pack_signatures([(r["terminal_id"], r["rank"], r["count"], L.pack_key(r["tid"], r["func_id"], r["level"], list(r["args"] or []))) for r in table]))
-    ordered = rows.repartition("rank").sortWithinPartitions("rank", "seq_id")
+    ordered = together(rows, "rank").sortWithinPartitions("rank", "seq_id")
     done = ordered.mapInPandas(_encode(path, merge_ranks), "rank int, grammar string, n_calls bigint").toPandas().sort_values("rank").reset_index(drop=True)
     n = int(done["rank"].max()) + 1 if len(done) else 0
     if merge_ranks:
