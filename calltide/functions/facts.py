@@ -174,15 +174,59 @@ def status_pair(text: Column) -> Column:
 
 
 #: Names behind the numbers of HDF5 selection operators, property list classes and datatype classes.
-H5_SELECTION = ("H5S_SELECT_SET", "H5S_SELECT_OR", "H5S_SELECT_AND", "H5S_SELECT_XOR", "H5S_SELECT_NOTB", "H5S_SELECT_NOTA", "H5S_SELECT_APPEND", "H5S_SELECT_PREPEND")
-
+H5_SELECTION = (
+    "H5S_SELECT_SET", "H5S_SELECT_OR", "H5S_SELECT_AND", "H5S_SELECT_XOR", "H5S_SELECT_NOTB", "H5S_SELECT_NOTA", "H5S_SELECT_APPEND", "H5S_SELECT_PREPEND",
+)
 H5_PROPERTY_CLASSES = (
     "H5P_ROOT", "H5P_OBJECT_CREATE", "H5P_FILE_CREATE", "H5P_FILE_ACCESS", "H5P_DATASET_CREATE", "H5P_DATASET_ACCESS", "H5P_DATASET_XFER", "H5P_FILE_MOUNT", "H5P_GROUP_CREATE", "H5P_GROUP_ACCESS",
     "H5P_DATATYPE_CREATE", "H5P_DATATYPE_ACCESS", "H5P_STRING_CREATE", "H5P_ATTRIBUTE_CREATE", "H5P_OBJECT_COPY", "H5P_LINK_CREATE", "H5P_LINK_ACCESS",
 )
-H5_TYPE_CLASSES = ("H5T_INTEGER", "H5T_FLOAT", "H5T_TIME", "H5T_STRING", "H5T_BITFIELD", "H5T_OPAQUE", "H5T_COMPOUND", "H5T_REFERENCE", "H5T_ENUM", "H5T_VLEN", "H5T_ARRAY")
+H5_TYPE_CLASSES = (
+    "H5T_INTEGER", "H5T_FLOAT", "H5T_TIME", "H5T_STRING", "H5T_BITFIELD", "H5T_OPAQUE", "H5T_COMPOUND", "H5T_REFERENCE", "H5T_ENUM", "H5T_VLEN", "H5T_ARRAY",
+)
+#: Native datatypes by class, size in bytes and sign; sizes are those of 64-bit Unix, where long long is another name of long.
+H5_NATIVE = {
+    (0, 1, True): "H5T_NATIVE_SCHAR", (0, 1, False): "H5T_NATIVE_UCHAR", (0, 2, True): "H5T_NATIVE_SHORT", (0, 2, False): "H5T_NATIVE_USHORT",
+    (0, 4, True): "H5T_NATIVE_INT", (0, 4, False): "H5T_NATIVE_UINT", (0, 8, True): "H5T_NATIVE_LONG", (0, 8, False): "H5T_NATIVE_ULONG",
+    (1, 4, True): "H5T_NATIVE_FLOAT", (1, 8, True): "H5T_NATIVE_DOUBLE", (1, 16, True): "H5T_NATIVE_LDOUBLE",
+}
 
 
 def decoded(code: Column, names: Sequence[str]) -> Column:
     """The name at a number's place, else the number itself."""
     return F.coalesce(F.get(F.array(*map(F.lit, names)), code.try_cast("int")), code)
+
+
+def h5_type_name(type_class: Column, size: Column, order: Column, signed: Column) -> Column:
+    """A datatype's name from its class, bytes, order (``BE``, ``LE``, ``VAX`` or ``native``) and sign.
+
+    Standard integers and IEEE or VAX floats are named by their bits, native ones as in C, other classes by the class.
+    What has no name is given by its class number, as text.
+    """
+    bits = (size * 8).cast("string")
+    native = F.coalesce(*[F.when((type_class == c) & (size == n) & (signed == F.lit(s) if c == 0 else F.lit(True)), name) for (c, n, s), name in H5_NATIVE.items()])
+    integer = F.when(order.isin("BE", "LE") & size.isin(1, 2, 4, 8), F.concat(F.lit("H5T_STD_"), F.when(signed, "I").otherwise("U"), bits, order))
+    real = F.when(size.isin(4, 8), F.when(order == "VAX", F.concat(F.lit("H5T_VAX_F"), bits)).when(order.isin("BE", "LE"), F.concat(F.lit("H5T_IEEE_F"), bits, order)))
+    named = F.when(order == "native", native).when(type_class == 0, integer).when(type_class == 1, real)
+    return F.coalesce(F.when(type_class.isin(0, 1), named).otherwise(F.get(F.array(*map(F.lit, H5_TYPE_CLASSES)), type_class)), type_class.cast("string"))
+
+
+def h5_names(calls: DataFrame) -> DataFrame:
+    """rank, seq_id, func and ``name``: the class of created datatypes and property lists, the operator of selections."""
+    first, second = F.get("args", F.lit(0)), F.get("args", F.lit(1))
+    f = F.col("func")
+    name = F.when(f == "H5Tcreate", decoded(first, H5_TYPE_CLASSES)).when(f == "H5Pcreate", decoded(first, H5_PROPERTY_CLASSES)).otherwise(decoded(second, H5_SELECTION))
+    return calls.filter(f.isin("H5Tcreate", "H5Pcreate", "H5Sselect_elements", "H5Sselect_hyperslab")).select("rank", "seq_id", "func", name.alias("name"))
+
+
+def kernel_calls(kernels: DataFrame, resolution_ns: int = 100) -> DataFrame:
+    """Rows of GPU kernels (rank, tid, seq_id, name, start_ns and end_ns since the trace's origin) as calls of a user function.
+
+    Its arguments are a reserved word and the kernel's name, which is its symbol. A kernel without an end has none; null
+    names stay null.
+    """
+    tick = lambda c: F.floor(F.col(c) / resolution_ns).cast("bigint")
+    return kernels.select(
+        "rank", "seq_id", "tid", F.lit(USER_FUNCTION_ID).cast("smallint").alias("func_id"), F.lit(USER).alias("category"), F.lit(0).alias("level"), tick("start_ns").alias("tick_start"), tick("end_ns").alias("tick_end"),
+        (F.col("start_ns") / 1e9).alias("tstart"), (F.col("end_ns") / 1e9).alias("tend"), F.lit(2).alias("arg_count"), user_function_args(F.lit("reserved"), F.col("name")).alias("args"),
+    )

@@ -239,8 +239,12 @@ def o12_file_ends(spark, d):
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    """The calls as a binary trace with merged signatures; its folder. Starts are raised where they fall, as the format wants."""
-    c = calls(spark, sf_dir).filter("args is not null and tick_start is not null").withColumn("func_id", F.coalesce("func_id", F.lit(facts.USER_FUNCTION_ID)))
+    """The calls as a binary trace with merged signatures; its folder.
+
+    As the format wants, starts are raised where they fall, and calls without arguments have an empty list. A call without
+    a start can't be written.
+    """
+    c = calls(spark, sf_dir).filter("tick_start is not null").withColumn("func_id", F.coalesce("func_id", F.lit(facts.USER_FUNCTION_ID))).withColumn("args", F.coalesce("args", F.array().cast("array<string>")))
     rising = scan(c, ["rank"], ["seq_id"], {"_prev": ("max", F.col("tick_start"), False)}, 4096)
     c = rising.withColumn("tick_start", F.greatest("tick_start", "_prev")).withColumn("tick_end", F.greatest("tick_end", "tick_start", "_prev")).drop("_prev")
     names = [r[0] for r in functions(spark, sf_dir).filter(f"func_id <> {facts.USER_FUNCTION_ID}").orderBy("func_id").select("name").collect()]
@@ -250,9 +254,37 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
 
 
 def s8_round_trip(spark, d):
-    """Calls written as a binary trace and decoded again."""
+    """Calls written as a binary trace and decoded again, row by row."""
     back = trace.read_trace(spark, _written(spark, d))
-    return back.groupBy("rank").agg(F.count("*").alias("n_calls"), F.max("tick_start").alias("last_tick"), F.sum(F.size("args").cast("bigint")).alias("n_args"))
+    return back.select("rank", "seq_id", "tid", "func_id", "category", "level", "tick_start", "tick_end", "arg_count", _text("args").alias("args"))
+
+
+def s4_signature_table(spark, d):
+    """The signature table of a written trace with merged signatures."""
+    s = trace.read_trace(spark, _written(spark, d), "cst")
+    return s.select("rank", "tid", "func_id", "level", _text("args").alias("args"), "count")
+
+
+def a19_grammars(spark, d):
+    """Ranks and distinct grammars of a written trace, and whether sharing them takes no more numbers."""
+    path = _written(spark, d)
+    g = trace.grammar_statistics(trace.read_trace(spark, path, "cfg"), trace.read_trace(spark, path, "ug"))
+    return g.select("n_ranks", "n_grammars", (F.col("ints_after") <= F.col("ints_before")).alias("no_more"))
+
+
+def s16_kernels(spark, d):
+    """GPU kernels as calls, shown by their symbol; made from events, those of errors without an end."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) * 1000
+    end = F.when(F.col("event_type") != "error", start + F.floor("value").cast("bigint") * 1000 + F.col("event_id") % 1000)
+    k = e.select((F.col("user_id") % 8).cast("int").alias("rank"), F.col("event_id").alias("seq_id"), F.lit(0).cast("bigint").alias("tid"), F.concat(F.lit("kernel_"), "event_type").alias("name"), start.alias("start_ns"), end.alias("end_ns"))
+    c = facts.kernel_calls(k)
+    return c.select("rank", "seq_id", facts.function_name(F.col("func_id"), F.lit(None).cast("string"), F.col("args")).alias("func"), "category", "tick_start", "tick_end", "arg_count")
+
+
+def s17_hdf5_names(spark, d):
+    """Names behind the numbers of HDF5 datatype classes, property list classes and selection operators."""
+    return facts.h5_names(calls(spark, d))
 
 
 def x2_expanded_lengths(spark, d):
@@ -309,7 +341,7 @@ _QUERIES = (
     a8_files_per_rank, a9_file_modes, a10_layers, a11_metadata_counts, a12_sizes, a13_overlap_flags, a15_conflict_counts, a18_function_signatures,
     f1_accepted_paths, f5_layers_on, f6_blanked, f7_function_flags, f10_timeline_calls, j1_named_calls, j2_conflicts, j3_collectives, j6_completions,
     j7_communicators, j9_next_sync, k1_depths, k2_caller_codes, k3_caller_report, k10_text, k11_export, k12_timeline, k13_conflict_lines,
-    k17_linear_offsets, k17_order_lines, k18_offset_series, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s8_round_trip, st1_running_totals,
+    k17_linear_offsets, k17_order_lines, k18_offset_series, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s4_signature_table, s8_round_trip, s16_kernels, s17_hdf5_names, a19_grammars, st1_running_totals,
     a2_rollup, w1_access_pattern, w1_access_pattern_per_rank, w3_delta_times, w10_sessions, x2_expanded_lengths, x4_absolute_times, x6_categories,
 )
 
@@ -442,6 +474,15 @@ _WALK = f"""
 """
 
 
+#: What the format keeps of a call: starts never fall, blanks in arguments are underscores and missing ones question marks.
+_WRITTEN = """
+wr as (select rank, seq_id, coalesce(tid, 0) as tid, coalesce(func_id, 255)::smallint as func_id, coalesce(level, 0) as level, len(coalesce(args, []))::int as n_args,
+  array_to_string(list_transform(coalesce(args, []), lambda x: coalesce(replace(x, ' ', '_'), '???')), ',') as args, tick_end,
+  max(tick_start) over (partition by rank order by seq_id rows unbounded preceding) as tick_start from calls where tick_start is not null),
+written as (select wr.* exclude (tick_end), greatest(tick_end, tick_start) as tick_end from wr)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     constructors = " union all ".join(f"select args[{a + 1}] as comm, try_cast(args[{b + 1}] as int) as local_rank, rank as world_rank from calls where func = '{f}'" for f, (a, b) in mpi.CONSTRUCTORS.items())
     return {
@@ -522,8 +563,17 @@ select rank, seq_id, case when level = m.at + 1 then coalesce(m.fh, '-') else '-
 select rank, seq_id, filename, sum(case when func in {_OPENS} then 1 else 0 end) over (partition by rank, filename order by seq_id rows unbounded preceding)::bigint as session from f where starts_with(filename, '/')""",
         "k10_text": f"""with {_CALLS} select rank, seq_id, coalesce(printf('%.7f', tstart), 'null') || ' ' || coalesce(printf('%.7f', tend), 'null') || ' ' || func || ' ' || level || ' ' || category || ' (' ||
  case when coalesce(func_id, 0) = 255 then '' else coalesce(array_to_string(list_transform(args, lambda x: ' ' || x), ''), '') end || ' )' as line from calls""",
-        "s8_round_trip": f"with {_CALLS} select rank, count(*)::bigint as n_calls, max(tick_start) as last_tick, sum(len(args))::bigint as n_args from calls where args is not null and tick_start is not null group by 1",
-        "x2_expanded_lengths": f"with {_CALLS} select rank, count(*)::bigint as n_calls from calls where args is not null and tick_start is not null group by 1",
+        "s8_round_trip": f"with {_CALLS}, {_WRITTEN} select rank, row_number() over (partition by rank order by seq_id) - 1 as seq_id, tid, func_id, case when func_id = 255 then 4 else (select any_value(category) from function_list f where f.func_id = written.func_id) end as category, level, tick_start, tick_end, n_args as arg_count, args from written",
+        "x2_expanded_lengths": f"with {_CALLS} select rank, count(*)::bigint as n_calls from calls where tick_start is not null group by 1",
+        "s4_signature_table": f"with {_CALLS}, {_WRITTEN} select min(rank) as rank, tid, func_id, level, args, count(*)::bigint as count from written group by tid, func_id, level, args",
+        "a19_grammars": f"with {_CALLS}, {_WRITTEN}, g as (select rank, list((tid, func_id, level, args) order by seq_id) as s from written group by 1) select count(*)::bigint as n_ranks, count(distinct s)::bigint as n_grammars, true as no_more from g",
+        "s16_kernels": """select (user_id % 8)::int as rank, event_id as seq_id, 'kernel_' || event_type as func, 4 as category, (epoch_us(ts) - 1704067200000000) * 10 as tick_start,
+  case when event_type <> 'error' then ((epoch_us(ts) - 1704067200000000) * 1000 + floor(value)::bigint * 1000 + event_id % 1000) // 100 end as tick_end, 2 as arg_count from events""",
+        "s17_hdf5_names": f"""with {_CALLS} select rank, seq_id, func, case func
+  when 'H5Tcreate' then coalesce(['H5T_INTEGER','H5T_FLOAT','H5T_TIME','H5T_STRING','H5T_BITFIELD','H5T_OPAQUE','H5T_COMPOUND','H5T_REFERENCE','H5T_ENUM','H5T_VLEN','H5T_ARRAY'][try_cast(args[1] as int) + 1], args[1])
+  when 'H5Pcreate' then coalesce(['H5P_ROOT','H5P_OBJECT_CREATE','H5P_FILE_CREATE','H5P_FILE_ACCESS','H5P_DATASET_CREATE','H5P_DATASET_ACCESS','H5P_DATASET_XFER','H5P_FILE_MOUNT','H5P_GROUP_CREATE','H5P_GROUP_ACCESS'][try_cast(args[1] as int) + 1], args[1])
+  else coalesce(['H5S_SELECT_SET','H5S_SELECT_OR','H5S_SELECT_AND','H5S_SELECT_XOR','H5S_SELECT_NOTB','H5S_SELECT_NOTA','H5S_SELECT_APPEND','H5S_SELECT_PREPEND'][try_cast(args[2] as int) + 1], args[2]) end as name
+from calls where func in ('H5Tcreate','H5Pcreate','H5Sselect_elements','H5Sselect_hyperslab')""",
         "x4_absolute_times": f"with {_CALLS} select rank, seq_id, tick_start, tick_end, tick_start * 1e-7::double as tstart, tick_end * 1e-7::double as tend from calls",
         "x6_categories": "select func_id, category from function_list",
     }

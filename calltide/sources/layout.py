@@ -197,42 +197,171 @@ def expanded_length(rules: dict[int, np.ndarray]) -> int:
     return length(ROOT_RULE)
 
 
-def compress(ids: np.ndarray, max_rules: int = 256, least: int = 4) -> dict[int, list[tuple[int, int]]]:
-    """A grammar for ids: runs become exponents, then the most frequent pair of symbols becomes a rule, again and again."""
-
-    def runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for v, e in pairs:
-            if out and out[-1][0] == v:
-                out[-1] = (v, out[-1][1] + e)
-            else:
-                out.append((v, e))
-        return out
-
-    edges = np.flatnonzero(np.diff(ids)) + 1 if len(ids) else np.zeros(0, int)
-    starts = np.concatenate([[0], edges]).astype(int) if len(ids) else edges
-    body = list(zip(ids[starts].tolist(), np.diff(np.append(starts, len(ids))).tolist())) if len(ids) else []
-    rules: dict[int, list[tuple[int, int]]] = {}
-    while len(rules) < max_rules and len(body) > 2 * least:
-        count: dict[tuple, int] = {}
-        last = None
-        for k in range(len(body) - 1):
-            pair = (body[k], body[k + 1])
-            if pair != last:
-                count[pair] = count.get(pair, 0) + 1
-            last = pair if pair != last else None
-        best = max(count, key=lambda p: (count[p], p))
-        if count[best] < least:
-            break
-        rule = -2 - len(rules)
-        rules[rule] = list(best)
-        new, k = [], 0
-        while k < len(body):
-            if k + 1 < len(body) and (body[k], body[k + 1]) == best:
-                new.append((rule, 1))
-                k += 2
+class Sequence:
+    """A sequence that turns into a grammar while symbols are appended (Sequitur, with exponents for runs).
+
+    Two neighbouring symbols, with their exponents, stand in the grammar only once: where they come again, both places
+    become a rule. A rule that is used once, without an exponent, is put back in its place. Every append takes constant
+    time on average, so a sequence is read once, whatever its length.
+    """
+
+    def __init__(self) -> None:
+        self.value: list[int] = []
+        self.times: list[int] = []
+        self.after: list[int] = []
+        self.before: list[int] = []
+        self.live: list[bool] = []
+        self.owner: dict[int, int] = {}  # guard -> rule
+        self.guard: dict[int, int] = {}  # rule -> guard, the node before its first and behind its last symbol
+        self.uses: dict[int, set[int]] = {}  # rule -> nodes that use it
+        self.places: dict[tuple, int] = {}  # two symbols -> the node of the first, where they stand
+        self.made = ROOT_RULE
+        self.root = self._rule()
+
+    def _node(self, value: int, times: int) -> int:
+        k = len(self.value)
+        self.value.append(value)
+        self.times.append(times)
+        self.after.append(k)
+        self.before.append(k)
+        self.live.append(True)
+        if value < 0 and k not in self.owner and value in self.uses:
+            self.uses[value].add(k)
+        return k
+
+    def _rule(self) -> int:
+        rule, self.made = self.made, self.made - 1
+        g = self._node(0, 0)
+        self.owner[g], self.guard[rule], self.uses[rule] = rule, g, set()
+        return rule
+
+    def _link(self, a: int, b: int) -> None:
+        self.after[a], self.before[b] = b, a
+
+    def _pair(self, a: int) -> tuple | None:
+        b = self.after[a]
+        if a in self.owner or b in self.owner:
+            return None
+        return self.value[a], self.times[a], self.value[b], self.times[b]
+
+    def _forget(self, a: int) -> None:
+        """The pair that begins at a no longer stands there."""
+        key = self._pair(a)
+        if key is not None and self.places.get(key) == a:
+            del self.places[key]
+
+    def _drop(self, k: int) -> None:
+        self.live[k] = False
+        if self.value[k] in self.uses and k not in self.owner:
+            self.uses[self.value[k]].discard(k)
+
+    def append(self, value: int) -> None:
+        g = self.guard[self.root]
+        last = self.before[g]
+        if last != g and self.value[last] == value:
+            self._forget(self.before[last])
+            self.times[last] += 1
+            self._settle([self.before[last]])
+            return
+        k = self._node(value, 1)
+        self._link(last, k)
+        self._link(k, g)
+        self._settle([last])
+
+    def _replace(self, a: int, rule: int, pending: list[int]) -> None:
+        """The pair at a becomes the rule; equal neighbours become one symbol."""
+        b = self.after[a]
+        left, right = self.before[a], self.after[b]
+        for x in (left, a, b):
+            self._forget(x)
+        self._drop(a)
+        self._drop(b)
+        times = 1
+        if left not in self.owner and self.value[left] == rule:
+            times += self.times[left]
+            self._forget(self.before[left])
+            self._drop(left)
+            left = self.before[left]
+        if right not in self.owner and self.value[right] == rule:
+            times += self.times[right]
+            self._forget(right)
+            self._drop(right)
+            right = self.after[right]
+        k = self._node(rule, times)
+        self._link(left, k)
+        self._link(k, right)
+        pending += [k, left]
+
+    def _settle(self, pending: list[int]) -> None:
+        while pending:
+            a = pending.pop()
+            if not self.live[a]:
+                continue
+            key = self._pair(a)
+            if key is None:
+                continue
+            other = self.places.get(key)
+            if other is None:
+                self.places[key] = a
+                continue
+            if other == a or self.after[other] == a or self.after[a] == other:
+                continue
+            end = self.after[self.after[other]]
+            if self.before[other] in self.owner and end in self.owner and self.owner[end] != self.root:
+                rule = self.owner[end]  # the pair is a whole rule already
+                self._replace(a, rule, pending)
             else:
-                new.append(body[k])
-                k += 1
-        body = runs(new)
-    return {ROOT_RULE: body, **rules}
+                rule = self._rule()
+                g = self.guard[rule]
+                x, y = self._node(*key[:2]), self._node(*key[2:])
+                for p, q in ((g, x), (x, y), (y, g)):
+                    self._link(p, q)
+                self._replace(other, rule, pending)
+                if self.live[a] and self._pair(a) == key:
+                    self._replace(a, rule, pending)
+                self.places[key] = x
+            self._put_back(rule, pending)
+
+    def _put_back(self, rule: int, pending: list[int]) -> None:
+        """Rules that only this one uses, and once, stand in it themselves."""
+        g = self.guard[rule]
+        for k in (self.after[g], self.before[g]):
+            inner = self.value[k]
+            if k == g or not self.live[k] or inner not in self.uses or len(self.uses[inner]) != 1 or self.times[k] != 1:
+                continue
+            left, right, ig = self.before[k], self.after[k], self.guard[inner]
+            self._forget(left)
+            self._forget(k)
+            self._drop(k)
+            first, last = self.after[ig], self.before[ig]
+            self._link(left, first)
+            self._link(last, right)
+            self.live[ig] = False
+            del self.owner[ig], self.guard[inner], self.uses[inner]
+            pending += [last, left]
+
+    def rules(self) -> dict[int, list[tuple[int, int]]]:
+        """Bodies as (symbol, exponent); rules are numbered in the order in which they are met."""
+        number, order = {self.root: ROOT_RULE}, [self.root]
+        bodies: dict[int, list[tuple[int, int]]] = {}
+        for rule in order:
+            body, k = [], self.after[self.guard[rule]]
+            while k not in self.owner:
+                v = self.value[k]
+                if v in self.uses:
+                    if v not in number:
+                        number[v] = ROOT_RULE - len(number)
+                        order.append(v)
+                    v = number[v]
+                body.append((v, self.times[k]))
+                k = self.after[k]
+            bodies[number[rule]] = body
+        return bodies
+
+
+def compress(ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """A grammar for ids (non-negative), in one pass."""
+    s = Sequence()
+    for i in ids.tolist():
+        s.append(i)
+    return s.rules()

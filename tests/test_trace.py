@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,7 +389,6 @@ def test_version_is_checked(spark, tmp_path):
 
 
 def test_grammars():
-    import numpy as np
 
     nested = {-1: np.array([[-2, 3], [2, 1]]), -2: np.array([[0, 2], [1, 1]])}
     assert np.concatenate(list(layout.expand(nested))).tolist() == [0, 0, 1] * 3 + [2] and layout.expanded_length(nested) == 10
@@ -446,3 +446,60 @@ def test_rates_of_the_whole_table(spark, tmp_path):
     spark.createDataFrame(rows, "event_type string, value double, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.from_us // 3_600_000_000 % 24, r.event_type, r.n_calls, r.bytes) for r in events.st2_rates(spark, str(tmp_path)).collect()}
     assert got == {(1, "click", 2, 5), (2, "view", 1, 7), (9, "view", 1, 4), (9, "click", 1, 1)}
+
+
+def test_grammars_hold_no_pair_twice_and_no_idle_rule():
+    rnd = random.Random(21)
+    for _ in range(400):
+        ids = [rnd.randrange(rnd.choice([2, 3, 9])) for _ in range(rnd.randrange(60))]
+        ids = ids[: rnd.randrange(1, 9)] * rnd.randrange(1, 9) + ids
+        rules = layout.compress(np.array(ids, np.int64))
+        assert [int(x) for part in layout.expand({k: np.array(v, np.int64).reshape(-1, 2) for k, v in rules.items()}) for x in part] == ids
+        pairs = [(x, y) for body in rules.values() for x, y in zip(body, body[1:])]
+        assert len(pairs) == len(set(pairs)) and all(x[0] != y[0] for x, y in pairs)
+        used = {}
+        for v, n in (x for body in rules.values() for x in body):
+            used[v] = used.get(v, 0) + n
+        assert all(used[r] > 1 for r in rules if r != layout.ROOT_RULE)
+    assert layout.compress(np.array([0, 0, 1, 0, 0, 1, 2])) == {-1: [(-2, 2), (2, 1)], -2: [(0, 2), (1, 1)]}
+    many = layout.compress(np.array([rnd.randrange(3000) for _ in range(30_000)]))
+    assert len(many) > 257  # no bound on rules
+
+
+def test_names_of_hdf5_and_kernels(spark):
+    rows = [(0, 4, "LE", True), (0, 1, "BE", False), (0, 8, "native", True), (1, 4, "VAX", True), (1, 8, "BE", True), (1, 16, "native", True), (6, None, None, None), (1, 3, "LE", True), (99, 1, "LE", True), (None, 1, "LE", True)]
+    df = spark.createDataFrame(rows, "c int, s int, o string, g boolean")
+    got = [r[0] for r in df.select(facts.h5_type_name(F.col("c"), F.col("s"), F.col("o"), F.col("g"))).collect()]
+    assert got == ["H5T_STD_I32LE", "H5T_STD_U8BE", "H5T_NATIVE_LONG", "H5T_VAX_F32", "H5T_IEEE_F64BE", "H5T_NATIVE_LDOUBLE", "H5T_COMPOUND", "1", "99", None]
+    c = calls(spark, [(0, 0, "H5Tcreate", ["1", "8"]), (0, 1, "H5Pcreate", ["5"]), (0, 2, "H5Sselect_elements", ["0", "77"]), (0, 3, "H5Dopen1", ["1", "a"]), (0, 4, "H5Pcreate", [])])
+    assert {(r.seq_id, r.name) for r in facts.h5_names(c).collect()} == {(0, "H5T_FLOAT"), (1, "H5P_DATASET_ACCESS"), (2, "77"), (4, None)}
+    k = spark.createDataFrame([(0, 1, 5, "axpy", 1_000, 2_050), (0, 2, 5, None, 3_000, None)], "rank int, seq_id bigint, tid bigint, name string, start_ns bigint, end_ns bigint")
+    out = {r.seq_id: r for r in facts.kernel_calls(k).collect()}
+    assert (out[1].func_id, out[1].tick_start, out[1].tick_end, out[1].args) == (255, 10, 20, ["reserved", "axpy"]) and (out[2].tick_end, out[2].args) == (None, ["reserved", None])
+
+
+def test_rows_of_a_channel_meet_whatever_the_plan(spark):
+    """Receives of any tag, with completions known: the plan's joins must not keep rows of a channel apart."""
+    rows = [(r, s, "MPI_Send", ["%p", "1", "BYTE", str((r + 1) % 4), str(s % 3), "w"]) for r in range(4) for s in range(0, 40, 2)]
+    rows += [(r, s, "MPI_Recv", ["%p", "1", "BYTE", str((r - 1) % 4), "-1", "w", "%p"]) for r in range(4) for s in range(1, 40, 2)]
+    m = mpi.normalize(calls(spark, rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.src, r.dst, r.send_seq, r.recv_seq) for r in mpi.point_to_point(m, mpi.completions(m)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(r, (r + 1) % 4, s, s + 1) for r in range(4) for s in range(0, 40, 2)}
+
+
+def test_caller_report_and_filters(spark):
+    assert len(callers.CALLER_REPORT) == 20 and callers.CALLER_REPORT[10:13] == ("opendir", "readdir", "closedir") and "rmdir" not in callers.CALLER_REPORT
+    rows = [(0, 0, "rename", ["/dev/a", "/b"]), (0, 1, "symlinkat", ["/ok", "/dev/a", "/ok"]), (0, 2, "symlinkat", ["/dev/a", "/ok", "/x"]), (0, 3, "tmpfile", []), (0, 4, "umask", ["7"]), (0, 5, "fread", ["%p", "1", "1", "/dev/a"]), (0, 6, "open", [])]
+    got = {r.seq_id for r in facts.filter_paths(calls(spark, rows), ("/dev/",)).collect()}
+    assert got == {0, 2, 3, 4}
+    assert {r.seq_id for r in facts.filter_paths(calls(spark, rows), (), ("/ok",)).collect()} == {0, 2, 3, 4}
+
+
+def test_clocks_by_rounds_raise_rather_than_stop(spark):
+    e = spark.createDataFrame([(0, 0, 1, 1, "p2p", None), (1, 2, 2, 3, "p2p", None), (2, 4, 0, 5, "p2p", None)], "src_rank int, src_seq bigint, dst_rank int, dst_seq bigint, kind string, grp bigint")
+    with pytest.raises(RuntimeError):
+        happens_before.clocks_by_rounds(happens_before.ordered_calls(e), e, max_rounds=1)
