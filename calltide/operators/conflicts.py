@@ -9,6 +9,9 @@ from calltide.operators.sequence import scan
 from calltide.runtime import BROADCAST_ROWS, cut
 
 
+SALTS = 32
+
+
 def _tiles(first, last, size) -> F.Column:  # noqa: ANN001
     return F.sequence(F.floor(first / size), F.floor(last / size))
 
@@ -35,8 +38,11 @@ def conflict_pairs(ranges: DataFrame, smallest: int = 4096) -> DataFrame:
     tile = F.pow(F.lit(2.0), F.col("cls")).cast("bigint")
     home = rows.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), tile)))
     classes = cut(rows.groupBy(F.col("filename").alias("_f")).agg(F.collect_set("cls").alias("classes")), "size-classes")  # at most 63 numbers a file
-    few = classes.count() <= BROADCAST_ROWS
-    asking = rows.join(F.broadcast(classes) if few else classes, F.col("filename") == F.col("_f")).drop("_f")
+    if classes.count() <= BROADCAST_ROWS:
+        asking = rows.join(F.broadcast(classes), F.col("filename") == F.col("_f")).drop("_f")
+    else:  # one file may hold a large part of all ranges
+        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+        asking = rows.withColumn("_salt", F.pmod("id", F.lit(SALTS))).join(classes.withColumn("_s", F.explode(salts)), (F.col("filename") == F.col("_f")) & (F.col("_salt") == F.col("_s"))).drop("_f", "_s", "_salt")
     asking = asking.withColumn("ask", F.explode(F.filter("classes", lambda c: c >= F.col("cls")))).drop("classes")
     size = F.pow(F.lit(2.0), F.col("ask")).cast("bigint")
     asking = asking.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), size)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,23 +86,26 @@ def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by filename and time; a file's end and its ranks' cursors are all that is held between rows."""
     name, end, cursors = None, 0, {}
     for b in batches:
-        out = []
-        for r in b.itertuples(index=False):
-            if r.filename != name:
-                name, end, cursors = r.filename, 0, {}
-            if r.kind in ("data", "at"):
-                offset = int(r.at if r.kind == "at" else cursors.get(r.rank, 0)) if not (r.kind == "at" and pd.isna(r.at)) else None
-                if offset is None:
-                    continue
-                if r.kind == "data":
-                    cursors[r.rank] = offset + int(r.amount)
-                end = max(end, offset + int(r.amount))
-                out.append((r.filename, r.rank, r.seq_id, r.tick, offset, int(r.amount), r.is_read, r.mpifh))
-            elif r.kind == "move":
-                cursors[r.rank] = cursors.get(r.rank, 0) + int(r.amount)
+        # what a row has no use for stays in the batch; only places of data calls are noted
+        offsets, data = [], []
+        for k, (file, rank, kind, amount, at) in enumerate(zip(b["filename"].tolist(), b["rank"].tolist(), b["kind"].tolist(), b["amount"].tolist(), b["at"].tolist())):
+            if file != name:
+                name, end, cursors = file, 0, {}
+            if kind == "data":
+                offset = cursors.get(rank, 0)
+                cursors[rank] = offset + amount
+            elif kind == "at":
+                offset = at
             else:
-                cursors[r.rank] = {"set": int(r.amount), "end": end, "close": 0}[r.kind]
-        yield pd.DataFrame(out, columns=["filename", "rank", "seq_id", "tick", "offset", "count", "is_read", "mpifh"])
+                cursors[rank] = cursors.get(rank, 0) + amount if kind == "move" else amount if kind == "set" else end if kind == "end" else 0
+                continue
+            end = max(end, offset + amount)
+            offsets.append(offset)
+            data.append(k)
+        out = b.iloc[data]
+        yield pd.DataFrame({
+            "filename": out["filename"], "rank": out["rank"], "seq_id": out["seq_id"], "tick": out["tick"], "offset": np.array(offsets, np.int64), "count": out["amount"], "is_read": out["is_read"], "mpifh": out["mpifh"],
+        })
 
 
 def intervals(calls: DataFrame, flag_abi: str = "linux", count_fprintf: bool = False, width: int = TICK_BLOCK, per_rank_handles: bool = True) -> DataFrame:
@@ -117,8 +121,8 @@ def intervals(calls: DataFrame, flag_abi: str = "linux", count_fprintf: bool = F
     same = F.col("filename") == F.col("_f")
     plain = _by_window(events.join(dependent, same, "left_anti"), width).filter(F.col("kind").isin("data", "at") & F.col("offset").isNotNull())
     plain = plain.select("filename", "rank", "seq_id", "tick", "offset", F.col("amount").alias("count"), "is_read", "mpifh")
-    walked = together(events.join(dependent, same, "left_semi"), "filename").sortWithinPartitions("filename", "tick", "rank", "seq_id")
-    walked = walked.select("filename", "rank", "seq_id", "tick", "kind", "amount", "at", "is_read", "mpifh").mapInPandas(walk, INTERVAL_SCHEMA)
+    walked = together(events.join(dependent, same, "left_semi").filter("kind <> 'at' or at is not null"), "filename").sortWithinPartitions("filename", "tick", "rank", "seq_id")
+    walked = walked.select("filename", "rank", "seq_id", "tick", "kind", "amount", F.coalesce("at", F.lit(0)).alias("at"), "is_read", "mpifh").mapInPandas(walk, INTERVAL_SCHEMA)
     return plain.unionByName(walked)
 
 

@@ -10,7 +10,7 @@ from calltide.functions.names import plain_name, plain_name_sql
 from calltide.operators import callers, conflicts, happens_before, mpi, offsets, stats
 from calltide.operators.calls import distinct_rows
 from calltide.operators.sequence import scan
-from calltide.runtime import cut, new_path
+from calltide.runtime import cut, new_path, qualified
 from calltide.sources import export, trace
 from calltide.streaming import live
 
@@ -248,7 +248,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     rising = scan(c, ["rank"], ["seq_id"], {"_prev": ("max", F.col("tick_start"), False)}, 4096)
     c = rising.withColumn("tick_start", F.greatest("tick_start", "_prev")).withColumn("tick_end", F.greatest("tick_end", "tick_start", "_prev")).drop("_prev")
     names = [r[0] for r in functions(spark, sf_dir).filter(f"func_id <> {facts.USER_FUNCTION_ID}").orderBy("func_id").select("name").collect()]
-    path = new_path(spark, "trace").removeprefix("file://").removeprefix("file:")
+    path = qualified(spark, new_path(spark, "trace"))
     trace.write_trace(cut(c, "calls"), path, names, merge_ranks=True)
     return path
 

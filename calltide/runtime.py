@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark resolves it to, so that code outside Spark takes the same one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to all executors, where it isn't installed: functions that run in Python workers import it."""
+    folder = tempfile.mkdtemp(prefix="calltide-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/calltide", "zip", package.parent, package.name))
+
+
 def together(df: DataFrame, *keys: str) -> DataFrame:
     """df with all rows of a key in one partition.
 

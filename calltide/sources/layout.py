@@ -39,6 +39,14 @@ class Folder:
         with self.fs.open_output_stream(f"{self.path}/{name}") as f:
             f.write(data)
 
+    def create(self, name: str):
+        """A stream into a new file."""
+        self.fs.create_dir(self.path, recursive=True)
+        return self.fs.open_output_stream(f"{self.path}/{name}")
+
+    def exists(self, name: str) -> bool:
+        return self.fs.get_file_info(f"{self.path}/{name}").type == afs.FileType.File
+
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.path}/{name}")
 
@@ -122,9 +130,13 @@ def read_signatures(folder: Folder, name: str) -> list[tuple]:
     return sorted(out, key=lambda s: s[0])
 
 
+def pack_signature(terminal_id: int, rank: int, count: int, key: bytes) -> bytes:
+    return SIGNATURE_HEAD.pack(terminal_id, rank, len(key), count) + key
+
+
 def pack_signatures(rows: list[tuple[int, int, int, bytes]]) -> bytes:
     """rows: (terminal_id, rank, count, key)."""
-    return struct.pack("<i", len(rows)) + b"".join(SIGNATURE_HEAD.pack(t, r, len(k), c) + k for t, r, c, k in rows)
+    return struct.pack("<i", len(rows)) + b"".join(pack_signature(*r) for r in rows)
 
 
 def read_grammar(folder: Folder, name: str) -> dict[int, np.ndarray]:

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from calltide.operators.sequence import scan
 from calltide.operators.stats import merge_signatures
 from calltide.runtime import cut, together
 from calltide.schema import TABLES
 from calltide.sources import layout as L
 
 
+#: Ending of a rank's own grammar until equal ones are shared.
+OWN_GRAMMAR = ".own"
+
+
 class RankPartition(InputPartition):
     def __init__(self, rank: int):
         super().__init__(rank)
@@ -158,7 +164,7 @@ def _encode(path: str, with_ids: bool):
             grammar = L.pack_grammar(L.compress(np.array(ids, np.int32)))
             digest = hashlib.sha256(grammar).hexdigest()
             folder.write(f"{rank}.ts", b"".join(times))
-            folder.write(f"{rank}.cfg", grammar)
+            folder.write(f"{rank}{OWN_GRAMMAR}" if with_ids else f"{rank}.cfg", grammar)
             if not with_ids:
                 folder.write(f"{rank}.cst", L.pack_signatures([(t, rank, counts[t], k) for k, t in keys.items()]))
             return pd.DataFrame({"rank": [rank], "grammar": [digest], "n_calls": [len(ids)]})
@@ -192,14 +198,57 @@ def _encode(path: str, with_ids: bool):
     return run
 
 
+def _stream(rows: DataFrame, order: str, path: str, name: str, head: bytes, pack: Callable[[Any], bytes], foot: bytes = b"") -> None:
+    """One file with the rows in order, written by one task that holds a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with L.Folder(path).create(name) as f:
+            f.write(head)
+            for b in batches:
+                f.write(b"".join(pack(r) for r in b.to_dict("records")))
+            f.write(foot)
+        yield pd.DataFrame({"done": [True]})
+
+    rows.repartition(1).sortWithinPartitions(order).mapInPandas(run, "done boolean").collect()
+
+
+def _share_grammars(done: DataFrame, path: str) -> None:
+    """Keep one file of each distinct grammar, under its number; ranks are given numbers by ug.mt.
+
+    Numbers follow the lowest rank that has the grammar. Copies are made before anything is deleted, and again if a task
+    is repeated, so no lost executor leaves a hole.
+    """
+    firsts = done.groupBy("grammar").agg(F.min("rank").alias("first")).withColumn("_all", F.lit(0))
+    numbered = cut(scan(firsts, ["_all"], ["first"], {"number": ("sum", F.lit(1), False)}, 1 << 16).select("grammar", "first", F.col("number").cast("int").alias("number")), "grammars")
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = L.Folder(path)
+        for b in batches:
+            for first, number in zip(b["first"].tolist(), b["number"].tolist()):
+                folder.write(f"{number}.cfg", folder.read(f"{first}{OWN_GRAMMAR}"))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder = L.Folder(path)
+        for b in batches:
+            for r in b["rank"].tolist():
+                if folder.exists(f"{r}{OWN_GRAMMAR}"):
+                    folder.delete(f"{r}{OWN_GRAMMAR}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    n_grammars = numbered.mapInPandas(copy, "n bigint").agg(F.sum("n")).first()[0] or 0
+    ranks = done.join(numbered, "grammar").select("rank", "number")
+    _stream(ranks, "rank", path, "ug.mt", b"", lambda r: struct.pack("<i", r["number"]), struct.pack("<i", n_grammars))
+    done.select("rank").mapInPandas(delete, "n bigint").agg(F.sum("n")).first()
+
+
 def write_trace(records: DataFrame, path: str, functions: Sequence[str], merge_ranks: bool = False, start_ts: float = 0.0, resolution: float = 1e-7, metadata_name: str = "trace.mt") -> DataFrame:
     """Write records (rank, seq_id, tid, func_id, level, args, tick_start, tick_end) as a trace directory in a shared folder.
 
     Ranks are numbered from 0; seq_id gives the order. With merge_ranks all ranks share one signature table and equal
     grammars are stored once. Returns rank, grammar (digest) and n_calls. Starts have to rise within a rank. Every rank's
-    files are written whole under their own names, so a repeated task replaces them.
+    files are written whole under their own names, so a repeated task replaces them; all files are written by executors.
     """
-    folder = L.Folder(path)
     rows = records.select("rank", "seq_id", F.coalesce("tid", F.lit(0)).cast("bigint").alias("tid"), "func_id", F.coalesce("level", F.lit(0)).alias("level"), "args", "tick_start", F.coalesce("tick_end", "tick_start").alias("tick_end"))
     if merge_ranks:
         key = ["tid", "func_id", "level", "args"]
@@ -207,24 +256,19 @@ def write_trace(records: DataFrame, path: str, functions: Sequence[str], merge_r
         merged = cut(merge_signatures(own), "merged-signatures")
         on = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key]
         rows = rows.alias("r").join(merged.alias("m"), on).select("r.*", F.col("m.terminal_id").alias("_merged"))
-        table = merged.orderBy("terminal_id").toLocalIterator()
-        folder.write("0.cst", L.pack_signatures([(r["terminal_id"], r["rank"], r["count"], L.pack_key(r["tid"], r["func_id"], r["level"], list(r["args"] or []))) for r in table]))
+
+        def packed(r: dict) -> bytes:
+            args = r["args"] if r["args"] is not None else []
+            return L.pack_signature(int(r["terminal_id"]), int(r["rank"]), int(r["count"]), L.pack_key(int(r["tid"]), int(r["func_id"]), int(r["level"]), list(args)))
+
+        _stream(merged, "terminal_id", path, "0.cst", struct.pack("<i", merged.count()), packed)
     ordered = together(rows, "rank").sortWithinPartitions("rank", "seq_id")
-    done = ordered.mapInPandas(_encode(path, merge_ranks), "rank int, grammar string, n_calls bigint").toPandas().sort_values("rank").reset_index(drop=True)
-    n = int(done["rank"].max()) + 1 if len(done) else 0
+    done = cut(ordered.mapInPandas(_encode(path, merge_ranks), "rank int, grammar string, n_calls bigint"), "written-ranks")
+    n = (done.agg(F.max("rank")).first()[0] or 0) + 1 if done.take(1) else 0
     if merge_ranks:
-        numbers = {g: i for i, g in enumerate(dict.fromkeys(done["grammar"]))}
-        keep: dict[int, int] = {}
-        for r, g in zip(done["rank"], done["grammar"]):
-            keep.setdefault(numbers[g], r)
-        data = {i: folder.read(f"{r}.cfg") for i, r in keep.items()}
-        for r in done["rank"]:
-            folder.delete(f"{r}.cfg")
-        for i, d in data.items():
-            folder.write(f"{i}.cfg", d)
-        folder.write("ug.mt", struct.pack(f"<{n}ii", *(numbers[g] for g in done["grammar"]), len(numbers)))
-    L.write_metadata(folder, L.Metadata(n, start_ts, resolution, 0, 0, int(merge_ranks), list(functions)), metadata_name)
-    return records.sparkSession.createDataFrame(done) if len(done) else records.sparkSession.createDataFrame([], "rank int, grammar string, n_calls bigint")
+        _share_grammars(done, path)
+    L.write_metadata(L.Folder(path), L.Metadata(n, start_ts, resolution, 0, 0, int(merge_ranks), list(functions)), metadata_name)
+    return done
 
 
 def grammar_statistics(cfg: DataFrame, ug: DataFrame) -> DataFrame:

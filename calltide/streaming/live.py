@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,21 +59,24 @@ def live_offsets(events: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         end, ranks, cursors = state.get if state.exists else (0, [], [])
         at = dict(zip(ranks or [], cursors or []))
-        rows = pd.concat(list(batches)).sort_values(["tick", "rank", "seq_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.kind in ("data", "at"):
-                offset = int(r.at) if r.kind == "at" else at.get(r.rank, 0)
-                if r.kind == "data":
-                    at[r.rank] = offset + int(r.amount)
-                end = max(end, offset + int(r.amount))
-                out.append((key[0], r.rank, r.seq_id, r.tick, offset, int(r.amount), r.is_read))
-            elif r.kind == "move":
-                at[r.rank] = at.get(r.rank, 0) + int(r.amount)
+        rows = pd.concat(list(batches)).sort_values(["tick", "rank", "seq_id"]).assign(filename=key[0])
+        placed, moved = [], []
+        for rank, kind, amount, place in zip(rows["rank"].tolist(), rows["kind"].tolist(), rows["amount"].tolist(), rows["at"].tolist()):
+            offset = None
+            if kind == "data":
+                offset = at.get(rank, 0)
+                at[rank] = offset + amount
+            elif kind == "at":
+                offset = None if place != place or place is None else int(place)
             else:
-                at[r.rank] = {"set": int(r.amount), "end": end, "close": 0}[r.kind]
+                at[rank] = at.get(rank, 0) + amount if kind == "move" else amount if kind == "set" else end if kind == "end" else 0
+            if offset is not None:
+                end = max(end, offset + amount)
+                placed.append(offset)
+            moved.append(offset is not None)
         state.update((end, list(at), list(at.values())))
-        yield pd.DataFrame(out, columns=["filename", "rank", "seq_id", "tick", "offset", "count", "is_read"])
+        out = rows[np.array(moved, bool)]
+        yield out.assign(offset=np.array(placed, np.int64), count=out["amount"])[["filename", "rank", "seq_id", "tick", "offset", "count", "is_read"]]
 
     return events.groupBy("filename").applyInPandasWithState(step, CURSOR_OUT, CURSOR_STATE, "append", GroupStateTimeout.NoTimeout)
 
