@@ -73,6 +73,9 @@ FILLER_WORDS = frozenset((
     "ullamcorper", "ultrices", "urna", "ut", "varius", "vehicula", "vel", "velit", "venenatis", "vestibulum", "vitae", "vivamus",
     "volutpat", "vulputate",
 ))
+FILLER_SHARE = 0.6
+#: Marks in the codes of words.
+_PLAIN, _FILLER = 1 << 40, 1 << 41
 #: Forms of trusted messages.
 _TRUSTED_FORM = re.compile(
     r"(?:http |status |error |code )?(?:error |status |code )?[45]\d\d ?[.:|-]|(?:insert|type|write|put|paste|add|enter) [\w ]{2,40} (?:here|below this line|in this (?:box|place|field))\b"
@@ -96,8 +99,8 @@ _ODD = re.compile(r"[\"“„«{}$#<>%&_@\[\]]")
 _PREFIX = re.compile(r"^[\s>|#*-]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?![a-zà-ÿ])")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\x01\w+")
-_NUMBER = re.compile(r"\d+")
-_WORDS = re.compile(r"[^\W\d_]+")
+_DIGITS = str.maketrans("123456789", "000000000")
+_ZEROS = re.compile("00+")
 _TAG = re.compile(r"</?(?:html|head|title|body|h1|h2|p|div|noscript|center|hr)\b[^>]*>", re.I)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 
@@ -130,24 +133,28 @@ class Features:
     """
 
     def __init__(self) -> None:
-        self.hashes: dict[str, int] = {}
-
-    def _hash(self, token: str) -> int:
-        h = self.hashes.get(token)
-        if h is None:
-            if len(self.hashes) > 500_000:
-                self.hashes.clear()
-            # numbers have no word feature, only pairs with their neighbours
-            kind = -1 if token.isdigit() else 1
-            h = self.hashes[token] = kind * (1 + zlib.crc32(("#" if kind < 0 else token if len(token) < 40 else "\x02long").encode()))
-        return h
-
-    def of(self, passages: Sequence[str]) -> list[np.ndarray]:
-        """The sorted feature numbers of each passage; none for one without words."""
+        self.codes: dict[str, int] = {}
+
+    def _code(self, token: str) -> int:
+        """A word's hash from 1 on, with marks for words and for filler words; negative for numbers."""
+        c = self.codes.get(token)
+        if c is None:
+            if len(self.codes) > 500_000:
+                self.codes.clear()
+            if token.isdigit():  # numbers have no word feature, only pairs with their neighbours
+                c = -1 - zlib.crc32(b"#")
+            else:
+                c = 1 + zlib.crc32((token if len(token) < 40 else "\x02long").encode())
+                c |= (_PLAIN if token[0] != "\x01" else 0) | (_FILLER if token in FILLER_WORDS else 0)
+            self.codes[token] = c
+        return c
+
+    def of(self, passages: Sequence[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The sorted feature numbers of each passage, none for one without words; and whether it is pseudo-Latin filler."""
         tokens = [_TOKEN.findall(p.lower()) for p in passages]
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        signed = np.fromiter((self._hash(t) for ts in tokens for t in ts), np.int64, int(lengths.sum()))
-        h, owner = np.abs(signed), np.repeat(np.arange(len(tokens)), lengths)
+        signed = np.fromiter((self._code(t) for ts in tokens for t in ts), np.int64, int(lengths.sum()))
+        h, owner = np.abs(signed) & (_PLAIN - 1), np.repeat(np.arange(len(tokens)), lengths)
         single = signed > 0
         words = (h * 0x9E3779B1 & 0xFFFFFFFF) >> 16
         follows = owner[1:] == owner[:-1]
@@ -157,7 +164,9 @@ class Features:
         repeats = np.flatnonzero((many >= 3) & (different * 2 <= many))
         every = _distinct(np.concatenate([own, owner[1:][follows] * DIMENSIONS + pairs[follows], repeats * DIMENSIONS + DIMENSIONS - 1]))
         ends = np.searchsorted(every, np.arange(1, len(tokens)) * DIMENSIONS)
-        return np.split((every % DIMENSIONS).astype(np.int32), ends) if len(tokens) else []
+        plain = np.bincount(owner[single & (signed & _PLAIN > 0)], minlength=len(tokens))
+        latin = (plain >= 4) & (np.bincount(owner[single & (signed & _FILLER > 0)], minlength=len(tokens)) >= FILLER_SHARE * plain)
+        return (np.split((every % DIMENSIONS).astype(np.int32), ends) if len(tokens) else []), latin
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -165,9 +174,10 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def filler(passage: str) -> bool:
-    plain = _WORDS.findall(passage.lower())
-    return len(plain) >= 4 and sum(w in FILLER_WORDS for w in plain) >= 0.6 * len(plain)
+def without_numbers(passage: str) -> str:
+    """The passage with every number replaced by 0."""
+    out = passage.translate(_DIGITS)
+    return _ZEROS.sub("0", out) if "00" in out else out
 
 
 #: The first words of the trusted forms.
@@ -206,12 +216,12 @@ def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str
                 known.clear()
             met: dict[str, tuple] = {}
             # numbers don't matter to features, so many passages have been met before
-            same = {p: _NUMBER.sub("0", p) for p in dict.fromkeys(r[2] for r in rows)}
+            same = {p: without_numbers(p) for p in dict.fromkeys(r[2] for r in rows)}
             new = [s for s in dict.fromkeys(same.values()) if s not in known]
-            known.update(zip(new, zip(features.of(new), map(filler, new))))
+            known.update(zip(new, zip(*features.of(new))))
             for p, s in same.items():
                 f, latin = known[s]
-                met[p] = (f, latin or trusted(p)) if len(f) else None
+                met[p] = (f, bool(latin) or trusted(p)) if len(f) else None
             out = [(i, k, *m) for i, k, p in rows if (m := met[p])]
             yield pd.DataFrame(out, columns=["doc_id", "passage", "feats", "trusted"])
 
