@@ -50,6 +50,9 @@ class Folder:
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.path}/{name}")
 
+    def sizes(self) -> dict[str, int]:
+        return {i.base_name: i.size for i in self.fs.get_file_info(afs.FileSelector(self.path)) if i.type == afs.FileType.File}
+
     def names(self) -> list[str]:
         return [i.base_name for i in self.fs.get_file_info(afs.FileSelector(self.path)) if i.type == afs.FileType.File]
 
@@ -157,8 +160,11 @@ def pack_grammar(rules: dict[int, list[tuple[int, int]]]) -> bytes:
     return np.array(flat, "<i4").tobytes()
 
 
-def expand(rules: dict[int, np.ndarray], chunk: int = 1 << 16) -> Iterator[np.ndarray]:
-    """The terminals a grammar stands for, in order, in arrays of about ``chunk``; short rules are expanded once and repeated."""
+def expand(rules: dict[int, np.ndarray], chunk: int = 1 << 16, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
+    """The terminals a grammar stands for from number ``start`` to ``stop``, in order, in arrays of about ``chunk``.
+
+    Short rules are expanded once and repeated; what comes before ``start`` is passed over by the lengths of rules.
+    """
     short: dict[int, np.ndarray] = {}
     lengths: dict[int, int] = {}
 
@@ -173,26 +179,34 @@ def expand(rules: dict[int, np.ndarray], chunk: int = 1 << 16) -> Iterator[np.nd
             short[rule] = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         return short[rule]
 
-    def walk(rule: int) -> Iterator[np.ndarray]:
+    def walk(rule: int, skip: int) -> Iterator[np.ndarray]:
         if length(rule) <= chunk:
-            yield whole(rule)
+            yield whole(rule)[skip:]
             return
         for v, e in rules[rule].tolist():
+            unit = 1 if v >= 0 else length(v)
+            passed = min(e, skip // unit)
+            e, skip = e - passed, skip - passed * unit
             if v >= 0:
                 while e > 0:
                     yield np.full(min(e, chunk), v, np.int32)
                     e -= chunk
             else:
                 for _ in range(e):
-                    yield from walk(v)
+                    yield from walk(v, skip)
+                    skip = 0
 
+    left = length(ROOT_RULE) - start if stop is None else stop - start
     held, n = [], 0
-    for part in walk(ROOT_RULE):
-        held.append(part)
-        n += len(part)
-        if n >= chunk:
+    for part in walk(ROOT_RULE, start) if left > 0 else ():
+        held.append(part[:left])
+        n += len(held[-1])
+        left -= len(held[-1])
+        if n >= chunk or left <= 0:
             yield np.concatenate(held)
             held, n = [], 0
+        if left <= 0:
+            return
     if n:
         yield np.concatenate(held)
 

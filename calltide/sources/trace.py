@@ -3,8 +3,8 @@
     spark.dataSource.register(TraceSource)
     spark.read.format("calltide").option("table", "records").load(folder)
 
-Tables: records, cst, cfg, ug, functions and meta. Records are read with one partition per rank; a filter on rank skips
-the other ranks' files.
+Tables: records, cst, cfg, ug, functions and meta. Records are read with one partition per rank, or several where it has very many
+calls; a filter on rank skips the other ranks' files.
 """
 
 from __future__ import annotations
@@ -33,14 +33,20 @@ from calltide.sources import layout as L
 OWN_GRAMMAR = ".own"
 
 
+#: Calls of a rank that one task decodes. Times are distances, so a later part first sums up those before it (8 bytes a call).
+CALLS_PER_TASK = 1 << 26
+TIME_BYTES = 8
+
+
 class RankPartition(InputPartition):
-    def __init__(self, rank: int):
+    def __init__(self, rank: int, start: int = 0, stop: int | None = None):
         super().__init__(rank)
+        self.start, self.stop = start, stop
 
 
 class TraceReader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table, self.ranks = path, table, None
+    def __init__(self, path: str, table: str, calls_per_task: int = CALLS_PER_TASK):
+        self.path, self.table, self.calls_per_task, self.ranks = path, table, calls_per_task, None
 
     def pushFilters(self, filters):  # noqa: N802
         """Equality on rank prunes partitions; every filter is applied again by Spark."""
@@ -58,7 +64,15 @@ class TraceReader(DataSourceReader):
             return [RankPartition(0)]
         if self.table == "cfg":
             return [RankPartition(g) for g in sorted(set(grammar_numbers(L.Folder(self.path), meta)))]
-        return [RankPartition(r) for r in range(meta.total_ranks) if self.ranks is None or r in self.ranks]
+        wanted = [r for r in range(meta.total_ranks) if self.ranks is None or r in self.ranks]
+        if self.table != "records":
+            return [RankPartition(r) for r in wanted]
+        sizes = L.Folder(self.path).sizes()
+        parts = []
+        for r in wanted:
+            n = sizes.get(f"{r}.ts", 0) // TIME_BYTES
+            parts += [RankPartition(r, a, min(n, a + self.calls_per_task)) for a in range(0, max(n, 1), self.calls_per_task)]
+        return parts
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         folder = L.Folder(self.path)
@@ -66,7 +80,7 @@ class TraceReader(DataSourceReader):
         schema = to_arrow_schema(TABLES[self.table])
         n = partition.value
         if self.table == "records":
-            yield from decode(folder, meta, n, schema)
+            yield from decode(folder, meta, n, schema, partition.start, partition.stop)
             return
         if self.table == "meta":
             rows = [meta.row()]
@@ -89,8 +103,18 @@ def grammar_numbers(folder: L.Folder, meta: L.Metadata) -> list[int]:
     return list(struct.unpack_from(f"<{meta.total_ranks}i", folder.read("ug.mt")))
 
 
-def decode(folder: L.Folder, meta: L.Metadata, rank: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The records of one rank, in chunks. Times are those of the rank itself, with merged signatures too."""
+def _time_before(ts: Any, calls: int) -> int:
+    """The start of the last of the first ``calls`` calls; the file is then at the next."""
+    total = 0
+    while calls > 0:
+        n = min(calls, 1 << 22)
+        total += int(np.frombuffer(ts.read(TIME_BYTES * n), "<u4").reshape(-1, 2)[:, 0].sum(dtype=np.int64))
+        calls -= n
+    return total
+
+
+def decode(folder: L.Folder, meta: L.Metadata, rank: int, schema: pa.Schema, first: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of one rank from number ``first`` to ``stop``, in chunks. Times are those of the rank itself, with merged signatures too."""
     merged = bool(meta.interprocess_compression)
     signatures = L.read_signatures(folder, f"{0 if merged else rank}.cst")
     by_id = {s[0]: k for k, s in enumerate(signatures)}
@@ -107,13 +131,14 @@ def decode(folder: L.Folder, meta: L.Metadata, rank: int, schema: pa.Schema) ->
     for t, k in by_id.items():
         lookup[t] = k
     number = grammar_numbers(folder, meta)[rank]
-    base, seq = 0, 0
+    rules, seq = L.read_grammar(folder, f"{number}.cfg"), first
     with folder.open(f"{rank}.ts") as ts:
-        for ids in L.expand(L.read_grammar(folder, f"{number}.cfg")):
+        if ts.size() < TIME_BYTES * L.expanded_length(rules):
+            raise ValueError(f"rank {rank} has fewer times than calls")
+        base = _time_before(ts, first)
+        for ids in L.expand(rules, start=first, stop=stop):
             n = len(ids)
-            d = np.frombuffer(ts.read(8 * n), "<u4").reshape(-1, 2).astype(np.int64)
-            if len(d) < n:
-                raise ValueError(f"rank {rank} has fewer times than calls")
+            d = np.frombuffer(ts.read(TIME_BYTES * n), "<u4").reshape(-1, 2).astype(np.int64)
             start = base + np.cumsum(d[:, 0])
             end = start - d[:, 0] + d[:, 1]
             base = int(start[-1])
@@ -143,7 +168,7 @@ class TraceSource(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return TraceReader(self.options["path"], self._table())
+        return TraceReader(self.options["path"], self._table(), int(self.options.get("callsPerTask", CALLS_PER_TASK)))
 
 
 def read_trace(spark: SparkSession, path: str, table: str = "records") -> DataFrame:

@@ -503,3 +503,21 @@ def test_clocks_by_rounds_raise_rather_than_stop(spark):
     e = spark.createDataFrame([(0, 0, 1, 1, "p2p", None), (1, 2, 2, 3, "p2p", None), (2, 4, 0, 5, "p2p", None)], "src_rank int, src_seq bigint, dst_rank int, dst_seq bigint, kind string, grp bigint")
     with pytest.raises(RuntimeError):
         happens_before.clocks_by_rounds(happens_before.ordered_calls(e), e, max_rounds=1)
+
+
+def test_ranks_are_read_in_parts(spark, tmp_path):
+    rnd = random.Random(31)
+    rows = [(r, s, rnd.choice(["open", "read", "close"]), [f"/f{rnd.randrange(3)}"], 0, s * 10 + rnd.randrange(9)) for r in range(3) for s in range((40, 0, 23)[r])]
+    df = calls(spark, rows).withColumn("func_id", F.when(F.col("func") == "open", 0).when(F.col("func") == "read", 1).otherwise(2).cast("smallint"))
+    for merge in (False, True):
+        path = f"{tmp_path}/{merge}"
+        trace.write_trace(df.withColumn("rank", F.when(F.col("rank") == 2, 1).otherwise(F.col("rank"))), path, ["open", "read", "close"], merge_ranks=merge)
+        whole = trace.read_trace(spark, path)
+        parts = spark.read.format("calltide").option("path", path).option("callsPerTask", 7).load()
+        key = lambda d: sorted((r["rank"], r.seq_id, r.func, tuple(r.args), r.tick_start, r.tick_end) for r in d.collect())
+        assert key(whole) == key(parts) and len(key(whole)) == 63 and parts.rdd.getNumPartitions() > 6
+    rules = {k: np.array(v, np.int64).reshape(-1, 2) for k, v in layout.compress(np.array([1, 2, 2, 3] * 50 + [4] * 9)).items()}
+    every = np.concatenate(list(layout.expand(rules))).tolist()
+    for chunk in (1, 5, 1000):
+        for a, z in ((0, 5), (3, 4), (190, 209), (7, 7), (100, None), (209, 209)):
+            assert [int(x) for part in layout.expand(rules, chunk, a, z) for x in part] == every[a:z]
