@@ -179,46 +179,55 @@ def read_trace(spark: SparkSession, path: str, table: str = "records") -> DataFr
 
 def _encode(path: str, with_ids: bool):
     """Write .ts, .cfg and (without given ids) .cst of each rank from rows sorted by rank and seq_id. A rank's signatures and
-    terminal ids are held, its rows are not."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folder = L.Folder(path)
-        rank, keys, counts, ids, times, last = None, {}, [], [], [], 0
-
-        def close() -> pd.DataFrame:
-            grammar = L.pack_grammar(L.compress(np.array(ids, np.int32)))
-            digest = hashlib.sha256(grammar).hexdigest()
-            folder.write(f"{rank}.ts", b"".join(times))
-            folder.write(f"{rank}{OWN_GRAMMAR}" if with_ids else f"{rank}.cfg", grammar)
+    its grammar are held; rows aren't, and times go straight into their file."""
+
+    class Rank:
+        def __init__(self, rank: int):
+            self.rank, self.calls, self.last = rank, 0, 0
+            self.keys: dict[bytes, int] = {}
+            self.counts: list[int] = []
+            self.grammar = L.Sequence()
+            self.times = L.Folder(path).create(f"{rank}.ts")
+
+        def add(self, rows: pd.DataFrame) -> None:
+            start, end = rows["tick_start"].to_numpy(np.int64), rows["tick_end"].to_numpy(np.int64)
+            before = np.concatenate([[self.last], start[:-1]])
+            d = np.stack([start - before, end - before], 1)
+            if d.min() < 0 or d.max() >= 1 << 32:
+                raise OverflowError(f"rank {self.rank}: a time is before the previous start, or too far from it for 32 bits")
+            self.last = int(start[-1])
+            self.times.write(d.astype("<u4").tobytes())
+            self.calls += len(rows)
+            for i in rows["_merged"].tolist() if with_ids else map(self.signature, rows["tid"], rows["func_id"], rows["level"], rows["args"]):
+                self.grammar.append(i)
+
+        def signature(self, tid: int, func_id: int, level: int, args: list | None) -> int:
+            key = L.pack_key(int(tid), int(func_id), int(level), [] if args is None else list(args))
+            i = self.keys.setdefault(key, len(self.counts))
+            if i == len(self.counts):
+                self.counts.append(0)
+            self.counts[i] += 1
+            return i
+
+        def close(self) -> pd.DataFrame:
+            self.times.close()
+            folder, grammar = L.Folder(path), L.pack_grammar(self.grammar.rules())
+            folder.write(f"{self.rank}{OWN_GRAMMAR}" if with_ids else f"{self.rank}.cfg", grammar)
             if not with_ids:
-                folder.write(f"{rank}.cst", L.pack_signatures([(t, rank, counts[t], k) for k, t in keys.items()]))
-            return pd.DataFrame({"rank": [rank], "grammar": [digest], "n_calls": [len(ids)]})
+                folder.write(f"{self.rank}.cst", L.pack_signatures([(t, self.rank, self.counts[t], k) for k, t in self.keys.items()]))
+            return pd.DataFrame({"rank": [self.rank], "grammar": [hashlib.sha256(grammar).hexdigest()], "n_calls": [self.calls]})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one: Rank | None = None
         for b in batches:
-            for r, group in b.groupby("rank", sort=False):
-                if r != rank:
-                    if rank is not None:
-                        yield close()
-                    rank, keys, counts, ids, times, last = int(r), {}, [], [], [], 0
-                start, end = group["tick_start"].to_numpy(np.int64), group["tick_end"].to_numpy(np.int64)
-                prev = np.concatenate([[last], start[:-1]])
-                d = np.stack([start - prev, end - prev], 1)
-                if d.min() < 0 or d.max() >= 1 << 32:
-                    raise OverflowError(f"rank {rank}: a time is before the previous start, or too far from it for 32 bits")
-                last = int(start[-1])
-                times.append(d.astype("<u4").tobytes())
-                if with_ids:
-                    ids += group["_merged"].tolist()
-                    continue
-                for tid, f, lv, args in zip(group["tid"], group["func_id"], group["level"], group["args"]):
-                    key = L.pack_key(int(tid), int(f), int(lv), [] if args is None else list(args))
-                    if key not in keys:
-                        keys[key] = len(counts)
-                        counts.append(0)
-                    counts[keys[key]] += 1
-                    ids.append(keys[key])
-        if rank is not None:
-            yield close()
+            for r, rows in b.groupby("rank", sort=False):
+                if one is None or r != one.rank:
+                    if one is not None:
+                        yield one.close()
+                    one = Rank(int(r))
+                one.add(rows)
+        if one is not None:
+            yield one.close()
 
     return run
 
