@@ -183,3 +183,18 @@ def offsets_over_ranks(ranges: DataFrame, first_files: int = 12) -> DataFrame:
     """The report's series of offsets: time, rank, offset and kind for the first files by name."""
     names = ranges.select("filename").distinct().orderBy("filename").limit(first_files)
     return ranges.join(F.broadcast(names), "filename", "left_semi").select("filename", "rank", "tick", "offset", "count", "is_read")
+
+
+def io_activity(calls: DataFrame) -> DataFrame:
+    """The report's time lines: begin and end of every read and write of a rank, MPI-IO and HDF5 left out."""
+    f = F.col("func")
+    kinds = F.array_compact(F.array(F.when(any_of(f, ["write", "fprintf"]), "write"), F.when(f.contains("read"), "read")))
+    return calls.filter(~any_of(f, ["MPI", "H5"])).select("rank", "seq_id", F.explode(kinds).alias("kind"), "tick_start", "tick_end")
+
+
+def offsets_over_time(found: DataFrame, calls: DataFrame, first_files: int = 12) -> DataFrame:
+    """The report's series of offsets against time: where each access of the first files by name begins and ends, and when."""
+    names = found.select("filename").distinct().orderBy("filename").limit(first_files)
+    ends = calls.select("rank", "seq_id", "tick_end")
+    rows = found.join(F.broadcast(names), "filename", "left_semi").join(ends, ["rank", "seq_id"])
+    return rows.select("filename", "rank", "seq_id", F.col("tick").alias("from_tick"), F.col("tick_end").alias("to_tick"), F.col("offset").alias("from_byte"), (F.col("offset") + F.col("count")).alias("to_byte"))

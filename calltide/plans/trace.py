@@ -219,6 +219,14 @@ def k18_offset_series(spark, d):
     return stats.offsets_over_ranks(ranges(spark, d))
 
 
+def k18_io_activity(spark, d):
+    return stats.io_activity(calls(spark, d))
+
+
+def k18_offset_times(spark, d):
+    return stats.offsets_over_time(o1_intervals(spark, d), calls(spark, d))
+
+
 def m1_mpi_calls(spark, d):
     m = mpi.normalize(calls(spark, d))
     return m.withColumn("req", _text("req")).withColumn("tindx", _text("tindx"))
@@ -341,7 +349,7 @@ _QUERIES = (
     a8_files_per_rank, a9_file_modes, a10_layers, a11_metadata_counts, a12_sizes, a13_overlap_flags, a15_conflict_counts, a18_function_signatures,
     f1_accepted_paths, f5_layers_on, f6_blanked, f7_function_flags, f10_timeline_calls, j1_named_calls, j2_conflicts, j3_collectives, j6_completions,
     j7_communicators, j9_next_sync, k1_depths, k2_caller_codes, k3_caller_report, k10_text, k11_export, k12_timeline, k13_conflict_lines,
-    k17_linear_offsets, k17_order_lines, k18_offset_series, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s4_signature_table, s8_round_trip, s16_kernels, s17_hdf5_names, a19_grammars, st1_running_totals,
+    k17_linear_offsets, k17_order_lines, k18_offset_series, k18_io_activity, k18_offset_times, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s4_signature_table, s8_round_trip, s16_kernels, s17_hdf5_names, a19_grammars, st1_running_totals,
     a2_rollup, w1_access_pattern, w1_access_pattern_per_rank, w3_delta_times, w10_sessions, x2_expanded_lengths, x4_absolute_times, x6_categories,
 )
 
@@ -551,6 +559,10 @@ from calls where level = 0 or category in (0, 1, 3)""",
         "o1_intervals": f'with recursive {_CALLS}, {_WALK} select filename, rank, seq_id, tick, off as "offset", n as count, is_read, mpifh from w where is_data',
         "o12_file_ends": f"with recursive {_CALLS}, {_WALK} select filename, max(off + n) as eof from w where is_data group by 1",
         "k18_offset_series": f'with {_RANGES} select filename, rank, tick, "offset", count, is_read from ranges where filename in (select distinct filename from ranges order by filename limit 12)',
+        "k18_io_activity": f"""with {_CALLS}, k as (select *, unnest(case when contains(func, 'write') or contains(func, 'fprintf') then ['write'] else [] end || case when contains(func, 'read') then ['read'] else [] end) as kind from calls where not contains(func, 'MPI') and not contains(func, 'H5'))
+select rank, seq_id, kind, tick_start, tick_end from k""",
+        "k18_offset_times": f"""with recursive {_CALLS}, {_WALK} select w.filename, w.rank, w.seq_id, w.tick as from_tick, c.tick_end as to_tick, w.off as from_byte, w.off + w.n as to_byte from w join calls c on c.rank = w.rank and c.seq_id = w.seq_id
+where w.is_data and w.filename in (select distinct filename from w where is_data order by filename limit 12)""",
         "m1_mpi_calls": f"with {_CALLS}, {_mpi_sql()} select rank, seq_id, func, role, src, dst, stag, rtag, comm, coalesce(array_to_string(req, ','), '') as req, coalesce(array_to_string(tindx, ','), '') as tindx, done from mpi",
         "o2_handles": f"""with {_CALLS}, h as (select rank, seq_id, category, level, last_value(case when category = 1 and {_DATA} then {{'fh': args[1], 'at': level}} end ignore nulls) over (partition by rank order by tick_start, seq_id rows between unbounded preceding and 1 preceding) as m from calls where args is not null)
 select rank, seq_id, case when level = m.at + 1 then coalesce(m.fh, '-') else '-' end as mpifh from h where category = 0""",

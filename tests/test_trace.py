@@ -521,3 +521,26 @@ def test_ranks_are_read_in_parts(spark, tmp_path):
     for chunk in (1, 5, 1000):
         for a, z in ((0, 5), (3, 4), (190, 209), (7, 7), (100, None), (209, 209)):
             assert [int(x) for part in layout.expand(rules, chunk, a, z) for x in part] == every[a:z]
+
+
+def test_argument_places_are_those_of_the_listed_layouts(spark):
+    """The places of matched calls' arguments against the layouts in the given list of functions."""
+    layouts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/function_list.parquet").collect():
+        layouts[r.name] = max(layouts.get(r.name, []), list(r.args), key=len)
+    names = {
+        "src": {"source", "root"}, "dst": {"dest"}, "stag": {"tag", "sendtag"}, "rtag": {"tag", "recvtag"}, "comm": {"comm", "newcomm", "comm_cart"}, "req": {"r", "request", "fh"},
+        "reqs": {"requests_str"}, "flag": {"flag", "outcount"}, "tindx": {"indx"}, "tindxs": {"indices_str"}, "status": {"status", "status_p"},
+    }
+    checked = 0
+    for name, places in mpi.ARGUMENTS.items():
+        for field, place in places.items():
+            if layouts.get(name):
+                assert layouts[name][place].split(":")[0] in names[field], (name, field)
+                checked += 1
+    assert checked > 80
+    for name in ("fread", "mmap", "__xstat", "symlinkat", "open", "access"):
+        assert layouts[name][facts.FILE_ARGUMENTS.get(name, 0)] == "file:path"
+    assert all("file:path" not in layouts[n] for n in facts.NEVER_FILTERED if n in layouts)
+    for name, place in facts.OFFSET_ARGUMENTS.items():
+        assert not layouts.get(name) or "offset" in layouts[name][place], name
