@@ -10,11 +10,13 @@ so much less that a quarter fewer groups hold it; else, and after a round of one
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calltide.runtime import cut
@@ -43,10 +45,15 @@ def encoding(vocabulary: str):
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataFrame:
-    """doc_id and n_tokens of every row; a null or empty text has 0. Whole texts are encoded."""
+    """doc_id and n_tokens of every row; a null or empty text has 0. Whole texts are encoded.
+
+    ``vocabulary`` is a file that the driver reads; executors get it from there.
+    """
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        enc = encoding(SparkFiles.get(name))
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["_text"]]})
 

@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,11 +207,11 @@ class Trust:
 def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> DataFrame:
     """doc_id, passage (number), feats and trusted for every passage of every text."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         features, trusted = Features(), Trust(beginnings)
         for b in batches:
-            rows = [(i, k, p) for i, t in zip(b["doc_id"], b["_text"]) for k, p in enumerate(passages(t))]
+            rows = [(i, k, p) for i, t in enumerate(b.column("_text").to_pylist()) for k, p in enumerate(passages(t))]
             if len(known) > REMEMBERED:
                 known.clear()
             met: dict[str, tuple] = {}
@@ -223,10 +223,25 @@ def passage_table(docs: DataFrame, doc_id: str, text: str, beginnings: tuple[str
                 f, latin = known[s]
                 met[p] = (f, bool(latin) or trusted(p)) if len(f) else None
             out = [(i, k, *m) for i, k, p in rows if (m := met[p])]
-            yield pd.DataFrame(out, columns=["doc_id", "passage", "feats", "trusted"])
+            feats = [r[2] for r in out]
+            ends = np.cumsum([0, *map(len, feats)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id").take(pa.array([r[0] for r in out], pa.int64())),
+                    pa.array([r[1] for r in out], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *feats]))),
+                    pa.array([r[3] for r in out], pa.bool_()),
+                ],
+                names=["doc_id", "passage", "feats", "trusted"],
+            )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text is not null")
-    return rows.mapInPandas(scan, f"doc_id {dict(docs.dtypes)[doc_id]}, passage int, feats array<int>, trusted boolean")
+    return rows.mapInArrow(scan, f"doc_id {dict(docs.dtypes)[doc_id]}, passage int, feats array<int>, trusted boolean")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, one after another, and the lengths of the lists."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
 
 class Model:
@@ -246,14 +261,13 @@ class Model:
         weights[every == 0] = 0  # features never seen say nothing
         return cls(weights, float(np.log(share / (1 - share))))
 
-    def log_odds(self, feats: pd.Series) -> np.ndarray:
-        lengths = feats.str.len().to_numpy()
-        flat = np.concatenate(feats.to_list())
+    def log_odds(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For passages whose features are lists of these lengths in ``flat``; none is empty."""
         return np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(lengths)[:-1]])) * EVIDENCE + self.prior
 
-    def membership(self, feats: pd.Series, known: np.ndarray) -> np.ndarray:
-        odds = np.clip(self.log_odds(feats) - JOIN_MARGIN, -500, 500)
-        return np.where(known, 1.0, np.where(feats.str.len().to_numpy() >= JOIN_FEATURES, 1 / (1 + np.exp(-odds)), 0.0))
+    def membership(self, flat: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> np.ndarray:
+        odds = np.clip(self.log_odds(flat, lengths) - JOIN_MARGIN, -500, 500)
+        return np.where(known, 1.0, np.where(lengths >= JOIN_FEATURES, 1 / (1 + np.exp(-odds)), 0.0))
 
 
 def train(table: DataFrame) -> tuple[Model | None, int]:
@@ -267,23 +281,23 @@ def train(table: DataFrame) -> tuple[Model | None, int]:
     def counts(model: Model | None) -> tuple[np.ndarray, np.ndarray, float, float]:
         shared = spark.sparkContext.broadcast(model)
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos, every = np.zeros(DIMENSIONS + 1, np.int64), np.zeros(DIMENSIONS + 1, np.int64)
             for b in batches:
                 if not len(b):
                     continue
-                known, lengths, n = b["trusted"].to_numpy(bool), b["feats"].str.len().to_numpy(), b["n"].to_numpy(np.int64)
-                weight = known.astype(float) if shared.value is None else shared.value.membership(b["feats"], known)
+                known, n = b.column("trusted").to_numpy(zero_copy_only=False), b.column("n").to_numpy()
+                flat, lengths = _lists(b.column("feats"))
+                weight = known.astype(float) if shared.value is None else shared.value.membership(flat, lengths, known)
                 weight = np.rint(weight / UNIT).astype(np.int64) * n
-                flat = np.concatenate(b["feats"].to_list())
                 np.add.at(pos, flat, np.repeat(weight, lengths))
                 np.add.at(every, flat, np.repeat(n, lengths))
                 pos[-1] += weight.sum()
                 every[-1] += n.sum()
             used = np.nonzero(every)[0]
-            yield pd.DataFrame({"f": used.astype(np.int32), "pos": pos[used], "every": every[used]})
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(pos[used]), pa.array(every[used])], names=["f", "pos", "every"])
 
-        sums = distinct.mapInPandas(scan, "f int, pos bigint, every bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
+        sums = distinct.mapInArrow(scan, "f int, pos bigint, every bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
         got = sums.toPandas()  # at most DIMENSIONS + 1 rows
         shared.unpersist()
         pos, every = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
@@ -311,13 +325,14 @@ def score_passages(table: DataFrame, model: Model | None) -> DataFrame:
         return table.select("doc_id", "passage", "trusted", F.lit(float("-inf")).alias("log_odds"))
     shared = table.sparkSession.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield b.assign(log_odds=shared.value.log_odds(b["feats"])).drop(columns="feats")
+                odds = shared.value.log_odds(*_lists(b.column("feats")))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("passage"), b.column("trusted"), pa.array(odds)], names=["doc_id", "passage", "trusted", "log_odds"])
 
     kind = dict(table.dtypes)["doc_id"]
-    return table.mapInPandas(scan, f"doc_id {kind}, passage int, trusted boolean, log_odds double")
+    return table.mapInArrow(scan, f"doc_id {kind}, passage int, trusted boolean, log_odds double")
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, beginnings: tuple[str, ...] = TRUSTED_BEGINNINGS) -> DataFrame:
