@@ -349,8 +349,9 @@ _QUERIES = (
     a8_files_per_rank, a9_file_modes, a10_layers, a11_metadata_counts, a12_sizes, a13_overlap_flags, a15_conflict_counts, a18_function_signatures,
     f1_accepted_paths, f5_layers_on, f6_blanked, f7_function_flags, f10_timeline_calls, j1_named_calls, j2_conflicts, j3_collectives, j6_completions,
     j7_communicators, j9_next_sync, k1_depths, k2_caller_codes, k3_caller_report, k10_text, k11_export, k12_timeline, k13_conflict_lines,
-    k17_linear_offsets, k17_order_lines, k18_offset_series, k18_io_activity, k18_offset_times, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends, s4_signature_table, s8_round_trip, s16_kernels, s17_hdf5_names, a19_grammars, st1_running_totals,
-    a2_rollup, w1_access_pattern, w1_access_pattern_per_rank, w3_delta_times, w10_sessions, x2_expanded_lengths, x4_absolute_times, x6_categories,
+    k17_linear_offsets, k17_order_lines, k18_offset_series, k18_io_activity, k18_offset_times, m1_mpi_calls, o1_intervals, o2_handles, o12_file_ends,
+    s4_signature_table, s8_round_trip, s16_kernels, s17_hdf5_names, a19_grammars, st1_running_totals, a2_rollup, w1_access_pattern,
+    w1_access_pattern_per_rank, w3_delta_times, w10_sessions, x2_expanded_lengths, x4_absolute_times, x6_categories,
 )
 
 
