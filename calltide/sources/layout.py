@@ -50,6 +50,11 @@ class Folder:
     def open(self, name: str):
         return self.fs.open_input_file(f"{self.path}/{name}")
 
+    def state(self, name: str) -> tuple:
+        """What changes when the file is written again."""
+        i = self.fs.get_file_info(f"{self.path}/{name}")
+        return name, i.size, i.mtime_ns
+
     def sizes(self) -> dict[str, int]:
         return {i.base_name: i.size for i in self.fs.get_file_info(afs.FileSelector(self.path)) if i.type == afs.FileType.File}
 
@@ -73,13 +78,16 @@ class Metadata:
     interprocess_compression: int
     functions: list[str] = field(default_factory=list)
 
-    def category(self, func_id: int) -> int:
+    def __post_init__(self) -> None:
         first = lambda part: next((i for i, n in enumerate(self.functions) if part in n), len(self.functions))
+        self.first_mpi, self.first_hdf5 = first("MPI"), first("H5")
+
+    def category(self, func_id: int) -> int:
         if func_id == USER_FUNCTION_ID:
             return 4
-        if func_id < first("MPI"):
+        if func_id < self.first_mpi:
             return 0
-        if func_id < first("H5"):
+        if func_id < self.first_hdf5:
             return 1 if self.functions[func_id].startswith("MPI_File") else 2
         return 3
 

@@ -113,23 +113,35 @@ def _time_before(ts: Any, calls: int) -> int:
     return total
 
 
+#: The signatures read last by this process: ranks of a trace with merged signatures share them.
+_KEPT: dict[tuple, tuple[dict[str, pa.Array], np.ndarray]] = {}
+
+
+def _signature_columns(folder: L.Folder, name: str, meta: L.Metadata) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The columns of a record that its signature gives, and each terminal id's place in them."""
+    key = (folder.path, *folder.state(name))
+    if key not in _KEPT:
+        signatures = L.read_signatures(folder, name)
+        table = {
+            "tid": pa.array([s[3] for s in signatures], pa.int64()),
+            "func_id": pa.array([s[4] for s in signatures], pa.int16()),
+            "func": pa.array([(s[6][1] if len(s[6]) > 1 else None) if s[4] == L.USER_FUNCTION_ID else meta.functions[s[4]] for s in signatures], pa.string()),
+            "category": pa.array([meta.category(s[4]) for s in signatures], pa.int32()),
+            "level": pa.array([s[5] for s in signatures], pa.int32()),
+            "arg_count": pa.array([len(s[6]) for s in signatures], pa.int32()),
+            "args": pa.array([s[6] for s in signatures], pa.list_(pa.string())),
+        }
+        lookup = np.zeros(max((s[0] for s in signatures), default=0) + 1, np.int64)
+        for k, s in enumerate(signatures):
+            lookup[s[0]] = k
+        _KEPT.clear()
+        _KEPT[key] = table, lookup
+    return _KEPT[key]
+
+
 def decode(folder: L.Folder, meta: L.Metadata, rank: int, schema: pa.Schema, first: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
     """The records of one rank from number ``first`` to ``stop``, in chunks. Times are those of the rank itself, with merged signatures too."""
-    merged = bool(meta.interprocess_compression)
-    signatures = L.read_signatures(folder, f"{0 if merged else rank}.cst")
-    by_id = {s[0]: k for k, s in enumerate(signatures)}
-    table = {
-        "tid": pa.array([s[3] for s in signatures], pa.int64()),
-        "func_id": pa.array([s[4] for s in signatures], pa.int16()),
-        "func": pa.array([(s[6][1] if len(s[6]) > 1 else None) if s[4] == L.USER_FUNCTION_ID else meta.functions[s[4]] for s in signatures], pa.string()),
-        "category": pa.array([meta.category(s[4]) for s in signatures], pa.int32()),
-        "level": pa.array([s[5] for s in signatures], pa.int32()),
-        "arg_count": pa.array([len(s[6]) for s in signatures], pa.int32()),
-        "args": pa.array([s[6] for s in signatures], pa.list_(pa.string())),
-    }
-    lookup = np.zeros(max(by_id, default=0) + 1, np.int64)
-    for t, k in by_id.items():
-        lookup[t] = k
+    table, lookup = _signature_columns(folder, f"{0 if meta.interprocess_compression else rank}.cst", meta)
     number = grammar_numbers(folder, meta)[rank]
     rules, seq = L.read_grammar(folder, f"{number}.cfg"), first
     with folder.open(f"{rank}.ts") as ts:
