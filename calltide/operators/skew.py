@@ -4,6 +4,9 @@ No row is ever grouped by its key alone. Every pass counts values in bins per ke
 so what is shuffled per key is bounded by the number of bins, not by the key's rows. A wanted rank lies in one bin. If
 all values in that bin are equal the rank is resolved; otherwise the bin's own smallest and largest value become the
 next, finer range. A range that holds two different values always splits, so the passes end with exact values.
+
+Tables with rows per key are joined by sorting both sides: Spark would judge them by the size of their files, in which
+such rows are many times smaller, and gather them in the driver to broadcast them. Only counted ranges are broadcast.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ def _pick(hist: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     cumulated = hist.withColumn("_to", upto).withColumn("_before", F.col("_to") - F.col("_n"))
     w = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by], "q", "_rank")
     on = [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by] + [F.col("_rank") >= F.col("_before"), F.col("_rank") < F.col("_to")]
-    return cumulated.join(w, on).drop(*[f"_w_{c}" for c in by], "_to").withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before")
+    return cumulated.join(w.hint("merge"), on).drop(*[f"_w_{c}" for c in by], "_to").withColumn("_rank", F.col("_rank") - F.col("_before")).drop("_before")
 
 
 def _attach(rows: DataFrame, ranges: DataFrame, n_ranges: int, on: list[str], inside: Column) -> DataFrame:
@@ -50,7 +53,7 @@ def _attach(rows: DataFrame, ranges: DataFrame, n_ranges: int, on: list[str], in
     if n_ranges <= BROADCAST_ROWS:
         out = rows.join(F.broadcast(r), [*same, inside])
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v", "_last"), F.lit(SALTS)))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v", "_last"), F.lit(SALTS))).hint("merge")
         r = r.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         out = salted.join(r, [*same, F.col("_salt") == F.col("_rsalt"), inside]).drop("_salt", "_rsalt")
     return out.drop(*[f"_r_{c}" for c in on])
@@ -103,7 +106,7 @@ def key_results(df: DataFrame, fields: Sequence[str], value: Column, last: Colum
     for d in done[1:]:
         resolved = resolved.unionByName(d)
     wide = resolved.groupBy(*key).agg(*[F.max(F.when(F.col("q") == float(p), F.col("_lo"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in probs])
-    out = cut(totals.alias("t").join(wide.alias("w"), [F.col(f"t.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key], "left").select("t.*", *[f"w.{c}" for c in wide.columns if c not in key]), "key-results")
+    out = cut(totals.alias("t").join(wide.alias("w").hint("merge"), [F.col(f"t.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key], "left").select("t.*", *[f"w.{c}" for c in wide.columns if c not in key]), "key-results")
     if candidates is not None:
         release(candidates)
     return out

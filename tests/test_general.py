@@ -134,6 +134,17 @@ def test_key_results_exact(spark, monkeypatch, broadcast):
     assert key_results(df.limit(0), ["rank"], F.col("v"), F.col("t")).count() == 0
 
 
+def test_rows_per_key_are_not_broadcast(spark, monkeypatch):
+    import calltide.operators.skew as skew
+
+    plans, cut = [], skew.cut
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    df = spark.createDataFrame([(i % 7, i / 3) for i in range(400)], "rank int, v double")
+    assert key_results(df, ["rank"], F.col("v"), F.lit(None).cast("bigint")).count() == 7
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_heavy_keys_without_values(spark):
     df = spark.createDataFrame([(1, None)] * 5 + [(None, None)] * 95, "rank int, v double")
     out = key_results(df, ["rank"], F.col("v"), F.lit(None).cast("bigint"))
