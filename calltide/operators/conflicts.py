@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calltide.operators.sequence import scan
@@ -16,7 +18,7 @@ def _tiles(first, last, size) -> F.Column:  # noqa: ANN001
     return F.sequence(F.floor(first / size), F.floor(last / size))
 
 
-def conflict_pairs(ranges: DataFrame, smallest: int = 4096) -> DataFrame:
+def conflict_pairs(ranges: DataFrame, smallest: int | None = 4096, carried: Sequence[str] = (), also: Callable[[str, str], dict[str, Column]] | None = None) -> DataFrame:
     """filename and the two accesses (rank, seq, rw, fh, offset) of every conflicting pair, each pair once.
 
     ``ranges`` has filename, rank, seq_id, offset, count, is_read and mpifh. Two accesses conflict if their ranks differ,
@@ -25,25 +27,37 @@ def conflict_pairs(ranges: DataFrame, smallest: int = 4096) -> DataFrame:
 
     Ranges are tiled by size class: a range lies in at most two tiles of the smallest power of two that is no less than
     its length, and asks at most two tiles in each larger class that occurs. So neither a hot file nor a very long range
-    is compared with all others, and every pair is met in just one tile.
+    is compared with all others, and every pair is met in just one tile. With ``smallest`` None, a file's smallest class is
+    that of its median length. ``also`` makes further columns of a pair from the names of its two sides, which have the
+    columns ``carried``; it has to give the same for the sides swapped.
     """
     rows = ranges.filter("filename is not null and rank is not null and `offset` is not null and `count` >= 0").select(
         "filename", "rank", F.col("seq_id").alias("seq"), F.coalesce("is_read", F.lit(False)).alias("is_read"), F.col("offset").alias("a"),
-        (F.col("offset") + F.col("count")).alias("z"), F.coalesce("mpifh", F.lit("-")).alias("fh"),
+        (F.col("offset") + F.col("count")).alias("z"), F.coalesce("mpifh", F.lit("-")).alias("fh"), *carried,
     )
-    length = F.greatest(F.col("z") - F.col("a"), F.lit(smallest))
+    length = F.greatest(F.col("z") - F.col("a"), F.lit(smallest or 1))
     rows = rows.withColumn("cls", F.ceil(F.log2(length)).cast("int"))
     rows = rows.withColumn("last", F.greatest(F.col("a"), F.col("z") - 1))
     rows = rows.withColumn("id", F.xxhash64("rank", "seq", "a", "z", "is_read", "fh"))
-    tile = F.pow(F.lit(2.0), F.col("cls")).cast("bigint")
-    home = rows.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), tile)))
-    classes = cut(rows.groupBy(F.col("filename").alias("_f")).agg(F.collect_set("cls").alias("classes")), "size-classes")  # at most 63 numbers a file
+    sizes = rows.groupBy(F.col("filename").alias("_f"), "cls").agg(F.count("*").alias("n"))  # at most 63 a file
+    if smallest is None:
+        upto = F.sum("n").over(Window.partitionBy("_f").orderBy("cls"))
+        all_ = F.sum("n").over(Window.partitionBy("_f"))
+        sizes = sizes.withColumn("_upto", upto).withColumn("_all", all_)
+        sizes = sizes.withColumn("least", F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("cls"))).over(Window.partitionBy("_f")))
+        sizes = sizes.select("_f", "least", F.greatest("cls", "least").alias("cls"))
+    else:
+        sizes = sizes.withColumn("least", F.lit(0))
+    classes = cut(sizes.groupBy("_f").agg(F.collect_set("cls").alias("classes"), F.max("least").alias("least")), "size-classes")
     if classes.count() <= BROADCAST_ROWS:
         asking = rows.join(F.broadcast(classes), F.col("filename") == F.col("_f")).drop("_f")
     else:  # one file may hold a large part of all ranges
         salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
         asking = rows.withColumn("_salt", F.pmod("id", F.lit(SALTS))).join(classes.withColumn("_s", F.explode(salts)), (F.col("filename") == F.col("_f")) & (F.col("_salt") == F.col("_s"))).drop("_f", "_s", "_salt")
-    asking = asking.withColumn("ask", F.explode(F.filter("classes", lambda c: c >= F.col("cls")))).drop("classes")
+    sized = asking.withColumn("cls", F.greatest("cls", "least")).drop("least")
+    tile = F.pow(F.lit(2.0), F.col("cls")).cast("bigint")
+    home = sized.drop("classes").withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), tile)))
+    asking = sized.withColumn("ask", F.explode(F.filter("classes", lambda c: c >= F.col("cls")))).drop("classes")
     size = F.pow(F.lit(2.0), F.col("ask")).cast("bigint")
     asking = asking.withColumn("tile", F.explode(_tiles(F.col("a"), F.col("last"), size)))
     l, r = asking.alias("l"), home.alias("r")
@@ -60,15 +74,12 @@ def conflict_pairs(ranges: DataFrame, smallest: int = 4096) -> DataFrame:
         & ((F.col("l.cls") < F.col("r.cls")) | (F.col("l.rank") < F.col("r.rank")))
     )
     joined = l.join(r, met)
-    swap = F.struct("l.a", "l.rank", "l.seq") > F.struct("r.a", "r.rank", "r.seq")
+    # ranks of a pair differ
+    swap = (F.col("l.a") > F.col("r.a")) | ((F.col("l.a") == F.col("r.a")) & (F.col("l.rank") > F.col("r.rank")))
     rw = lambda s: F.when(F.col(f"{s}.is_read"), "read").otherwise("write")
-
-    def side(s: str) -> F.Column:
-        return F.struct(F.col(f"{s}.rank").alias("rank"), F.col(f"{s}.seq").alias("seq"), rw(s).alias("rw"), F.col(f"{s}.fh").alias("fh"), F.col(f"{s}.a").alias("offset"))
-
-    ordered = joined.select(F.col("l.filename").alias("filename"), F.when(swap, side("r")).otherwise(side("l")).alias("x"), F.when(swap, side("l")).otherwise(side("r")).alias("y"))
-    fields = ("rank", "seq", "rw", "fh", "offset")
-    return ordered.select("filename", *[F.col(f"x.{c}").alias(f"{c}1") for c in fields], *[F.col(f"y.{c}").alias(f"{c}2") for c in fields])
+    fields = {"rank": lambda s: F.col(f"{s}.rank"), "seq": lambda s: F.col(f"{s}.seq"), "rw": rw, "fh": lambda s: F.col(f"{s}.fh"), "offset": lambda s: F.col(f"{s}.a")}
+    sides = [F.when(swap, c(x)).otherwise(c(y)).alias(f"{f}{i}") for i, x, y in ((1, "r", "l"), (2, "l", "r")) for f, c in fields.items()]
+    return joined.select(F.col("l.filename").alias("filename"), *sides, *[c.alias(f) for f, c in (also("l", "r") if also else {}).items()])
 
 
 def conflicts_per_access(pairs: DataFrame) -> DataFrame:
