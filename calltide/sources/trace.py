@@ -38,10 +38,29 @@ CALLS_PER_TASK = 1 << 26
 TIME_BYTES = 8
 
 
+#: Calls, and ranks or grammars, that a task reads one after another where each of them is short.
+CALLS_TOGETHER, FILES_TOGETHER = 1 << 18, 1024
+
+
 class RankPartition(InputPartition):
-    def __init__(self, rank: int, start: int = 0, stop: int | None = None):
-        super().__init__(rank)
-        self.start, self.stop = start, stop
+    """Parts (number, start, stop) that one task reads; the number is a rank or a grammar."""
+
+    def __init__(self, parts: list[tuple[int, int, int | None]]):
+        super().__init__(parts)
+
+
+def _grouped(parts: list[tuple[int, int, int | None]], calls: int = CALLS_TOGETHER) -> list[RankPartition]:
+    """Parts in tasks: neighbours share one up to so many calls and FILES_TOGETHER parts."""
+    out, held = [], 0
+    for p in parts:
+        n = max(1, (p[2] or 0) - p[1])
+        if out and held + n <= calls and len(out[-1]) < FILES_TOGETHER:
+            out[-1].append(p)
+            held += n
+        else:
+            out.append([p])
+            held = n
+    return [RankPartition(p) for p in out]
 
 
 class TraceReader(DataSourceReader):
@@ -59,42 +78,45 @@ class TraceReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         meta = L.read_metadata(L.Folder(self.path))
         if self.table in ("meta", "functions", "ug"):
-            return [RankPartition(0)]
+            return [RankPartition([(0, 0, None)])]
         if self.table == "cst" and meta.interprocess_compression:
-            return [RankPartition(0)]
+            return [RankPartition([(0, 0, None)])]
         if self.table == "cfg":
-            return [RankPartition(g) for g in sorted(set(grammar_numbers(L.Folder(self.path), meta)))]
+            return _grouped([(g, 0, None) for g in sorted(set(grammar_numbers(L.Folder(self.path), meta)))])
         wanted = [r for r in range(meta.total_ranks) if self.ranks is None or r in self.ranks]
         if self.table != "records":
-            return [RankPartition(r) for r in wanted]
+            return _grouped([(r, 0, None) for r in wanted])
         sizes = L.Folder(self.path).sizes()
         parts = []
         for r in wanted:
             n = sizes.get(f"{r}.ts", 0) // TIME_BYTES
-            parts += [RankPartition(r, a, min(n, a + self.calls_per_task)) for a in range(0, max(n, 1), self.calls_per_task)]
-        return parts
+            parts += [(r, a, min(n, a + self.calls_per_task)) for a in range(0, max(n, 1), self.calls_per_task)]
+        return _grouped(parts, min(self.calls_per_task, CALLS_TOGETHER))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         folder = L.Folder(self.path)
         meta = L.read_metadata(folder)
         schema = to_arrow_schema(TABLES[self.table])
-        n = partition.value
         if self.table == "records":
-            yield from decode(folder, meta, n, schema, partition.start, partition.stop)
+            numbers = grammar_numbers(folder, meta)
+            for rank, start, stop in partition.value:
+                yield from decode(folder, meta, rank, numbers[rank], schema, start, stop)
             return
-        if self.table == "meta":
-            rows = [meta.row()]
-        elif self.table == "functions":
-            rows = [(i, name, meta.category(i)) for i, name in enumerate(meta.functions)]
-        elif self.table == "ug":
-            rows = list(enumerate(grammar_numbers(folder, meta)))
-        elif self.table == "cst":
-            rows = [(r if meta.interprocess_compression else n, t, c, tid, f, lv, args) for t, r, c, tid, f, lv, args in L.read_signatures(folder, f"{n}.cst")]
-        else:
-            rows = [(n, rule, k, int(v), int(e)) for rule, body in L.read_grammar(folder, f"{n}.cfg").items() for k, (v, e) in enumerate(body)]
+        rows = [row for n, _, _ in partition.value for row in self._rows(folder, meta, n)]
         columns = list(zip(*rows)) if rows else [[] for _ in schema]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    def _rows(self, folder: L.Folder, meta: L.Metadata, n: int) -> list[tuple]:
+        if self.table == "meta":
+            return [meta.row()]
+        if self.table == "functions":
+            return [(i, name, meta.category(i)) for i, name in enumerate(meta.functions)]
+        if self.table == "ug":
+            return list(enumerate(grammar_numbers(folder, meta)))
+        if self.table == "cst":
+            return [(r if meta.interprocess_compression else n, t, c, tid, f, lv, args) for t, r, c, tid, f, lv, args in L.read_signatures(folder, f"{n}.cst")]
+        return [(n, rule, k, int(v), int(e)) for rule, body in L.read_grammar(folder, f"{n}.cfg").items() for k, (v, e) in enumerate(body)]
+
 
 def grammar_numbers(folder: L.Folder, meta: L.Metadata) -> list[int]:
     """The grammar of each rank: its own number, or what ug.mt says."""
@@ -139,10 +161,9 @@ def _signature_columns(folder: L.Folder, name: str, meta: L.Metadata) -> tuple[d
     return _KEPT[key]
 
 
-def decode(folder: L.Folder, meta: L.Metadata, rank: int, schema: pa.Schema, first: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+def decode(folder: L.Folder, meta: L.Metadata, rank: int, number: int, schema: pa.Schema, first: int = 0, stop: int | None = None) -> Iterator[pa.RecordBatch]:
     """The records of one rank from number ``first`` to ``stop``, in chunks. Times are those of the rank itself, with merged signatures too."""
     table, lookup = _signature_columns(folder, f"{0 if meta.interprocess_compression else rank}.cst", meta)
-    number = grammar_numbers(folder, meta)[rank]
     rules, seq = L.read_grammar(folder, f"{number}.cfg"), first
     with folder.open(f"{rank}.ts") as ts:
         if ts.size() < TIME_BYTES * L.expanded_length(rules):
@@ -221,25 +242,29 @@ def _encode(path: str, with_ids: bool):
             self.counts[i] += 1
             return i
 
-        def close(self) -> pd.DataFrame:
+        def close(self) -> tuple[int, str, int]:
             self.times.close()
             folder, grammar = L.Folder(path), L.pack_grammar(self.grammar.rules())
             folder.write(f"{self.rank}{OWN_GRAMMAR}" if with_ids else f"{self.rank}.cfg", grammar)
             if not with_ids:
                 folder.write(f"{self.rank}.cst", L.pack_signatures([(t, self.rank, self.counts[t], k) for k, t in self.keys.items()]))
-            return pd.DataFrame({"rank": [self.rank], "grammar": [hashlib.sha256(grammar).hexdigest()], "n_calls": [self.calls]})
+            return self.rank, hashlib.sha256(grammar).hexdigest(), self.calls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one: Rank | None = None
+        table = lambda done: pd.DataFrame(done, columns=["rank", "grammar", "n_calls"])
         for b in batches:
+            done = []
             for r, rows in b.groupby("rank", sort=False):
                 if one is None or r != one.rank:
                     if one is not None:
-                        yield one.close()
+                        done.append(one.close())
                     one = Rank(int(r))
                 one.add(rows)
+            if done:
+                yield table(done)
         if one is not None:
-            yield one.close()
+            yield table([one.close()])
 
     return run
 
@@ -282,7 +307,8 @@ def _share_grammars(done: DataFrame, path: str) -> None:
                     folder.delete(f"{r}{OWN_GRAMMAR}")
             yield pd.DataFrame({"n": [len(b)]})
 
-    n_grammars = numbered.mapInPandas(copy, "n bigint").agg(F.sum("n")).first()[0] or 0
+    # a small table is one task's, its files are many
+    n_grammars = numbered.repartition(done.sparkSession.sparkContext.defaultParallelism).mapInPandas(copy, "n bigint").agg(F.sum("n")).first()[0] or 0
     ranks = done.join(numbered, "grammar").select("rank", "number")
     _stream(ranks, "rank", path, "ug.mt", b"", lambda r: struct.pack("<i", r["number"]), struct.pack("<i", n_grammars))
     done.select("rank").mapInPandas(delete, "n bigint").agg(F.sum("n")).first()
@@ -330,8 +356,8 @@ def expanded_lengths(cfg: DataFrame) -> DataFrame:
 
     Repetitions are multiplied down from the root rule; one round per level of nesting. Grammars have no cycles.
     """
-    body = cfg.select("ug_id", "rule_id", "val", F.col("exp").cast("bigint").alias("exp"))
-    at = cfg.select("ug_id").distinct().select("ug_id", F.lit(L.ROOT_RULE).alias("rule_id"), F.lit(1).cast("bigint").alias("times"))
+    body = cut(cfg.select("ug_id", "rule_id", "val", F.col("exp").cast("bigint").alias("exp")), "rules")  # read in every round
+    at = body.select("ug_id").distinct().select("ug_id", F.lit(L.ROOT_RULE).alias("rule_id"), F.lit(1).cast("bigint").alias("times"))
     parts = []
     while True:
         used = cut(body.join(at, ["ug_id", "rule_id"]).select("ug_id", "val", (F.col("exp") * F.col("times")).alias("times")), "rule-uses")

@@ -549,6 +549,21 @@ def test_ranks_are_read_in_parts(spark, tmp_path):
             assert [int(x) for part in layout.expand(rules, chunk, a, z) for x in part] == every[a:z]
 
 
+def test_short_ranks_share_a_task(spark, tmp_path):
+    rows = [(r, s, "open", [f"/f{r}"] * (s % (r + 1)), 0, s * 10) for r in range(30) for s in range(1 + r % 4)]
+    df = calls(spark, rows).withColumn("func_id", F.lit(0).cast("smallint"))
+    for merge in (False, True):
+        path = f"{tmp_path}/{merge}"
+        trace.write_trace(df, path, ["open"], merge_ranks=merge)
+        read = {t: trace.read_trace(spark, path, t) for t in ("records", "cfg", "cst", "ug")}
+        assert sorted((r["rank"], r.seq_id) for r in read["records"].collect()) == [(r, s) for r, s, *_ in rows]
+        assert [d.rdd.getNumPartitions() for d in read.values()] == [1, 1, 1, 1]
+        lengths = read["ug"].join(trace.expanded_lengths(read["cfg"]), "ug_id")
+        assert {r["rank"]: r.n_calls for r in lengths.collect()} == {r: 1 + r % 4 for r in range(30)}
+        assert {r["rank"] for r in read["records"].filter("rank = 7").collect()} == {7}
+    assert [[len(p.value) for p in trace._grouped([(0, 0, 5), (1, 0, 5), (2, 0, 3), (2, 3, 9)], 10)]] == [[2, 2]]
+
+
 def test_argument_places_are_those_of_the_listed_layouts(spark):
     """The places of matched calls' arguments against the layouts in the given list of functions."""
     layouts = {}
